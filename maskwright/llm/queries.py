@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import simhash
+from maskwright.llm import dac, packing, simhash
+from maskwright.llm.runtime import Stages
+
+TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as directly addressable codes on disk, read back: doc_id, start, n_tokens, ids_crc32."""
+    path = Stages(spark, "dac").path("corpus")
+    dac.write_corpus(_table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return dac.read_documents(spark, path)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1024 tokens, one row a piece."""
+    found = packing.pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0, keep_ids=False)
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
