@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import dac, packing, simhash
+from maskwright.llm import dac, language_id, nbsvm, packing, sharding, simhash
 from maskwright.llm.runtime import Stages
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
@@ -34,12 +34,33 @@ def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.add_predictions(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens, one row a piece."""
     found = packing.pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0, keep_ids=False)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = nbsvm.add_scores(docs, nbsvm.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 8 and its slot there, under the law of equal row counts."""
+    found = sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return found.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,19 @@ def add_columns(
     return rest.mapInArrow(over, T.StructType([*rest.schema.fields, *fields]))
 
 
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[pa.Array], np.ndarray], max_rows: int = 128) -> DataFrame:
+    """The rows of ``df`` for whose texts ``decide`` is true; no column is added, renamed or dropped."""
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, max_rows):
+                batch = whole.slice(start, max_rows)
+                yield batch.filter(pa.array(decide(batch.column(at)), pa.bool_()))
+
+    return df.mapInArrow(over, df.schema)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

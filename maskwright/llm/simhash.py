@@ -223,11 +223,11 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, tau: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, tau: int = 2, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each near-duplicate group, with all of its columns: the smallest id (rows without an id come last)."""
     spark = docs.sparkSession
     stages, columns = Stages(spark, "simhash-keep"), docs.columns
-    rows = stages.write(add_fingerprints(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    rows = stages.write(add_fingerprints(docs, text_col, width).withColumn("rid", F.monotonically_increasing_id()), "rows")
     groups = near_duplicates(rows.select("fp", "rid", F.col(id_col).alias("doc_id")), tau)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best"))
     return rows.join(best.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select(*columns)
