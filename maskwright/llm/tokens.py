@@ -2,8 +2,8 @@
 
 A text is cut where its pre-tokenizer always cuts, and each distinct stretch is encoded once per worker and looked up
 afterwards: natural text repeats its words, so most of the library's work falls away while the ids stay the same.
-Distinct stretches of a batch are found in Arrow's hash kernel; unseen ones are encoded many at a time, joined by a
-special token. Texts that hold the special token's own string, or white space that the cut rule doesn't know, are encoded whole.
+Distinct stretches of a batch are found in Arrow's hash kernel; unseen ones are encoded many at a time as ready-cut
+words. Texts with white space that the cut rule doesn't know are encoded whole.
 """
 
 from __future__ import annotations
@@ -47,14 +47,10 @@ def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Encoder:
     """ids of whole texts; ``most`` bounds the distinct stretches remembered by a worker."""
 
-    def __init__(self, tokenizer: str | Tokenizer, separator: str, cuts: Callable = word_cuts, rare: str = RARE_SPACE, most: int = 1_000_000):
-        make = (lambda: Tokenizer.from_file(tokenizer)) if isinstance(tokenizer, str) else (lambda: Tokenizer.from_str(tokenizer.to_str()))
-        self.plain, self.joined = make(), make()
-        self.plain.encode_special_tokens = True
-        self.separator, self.mark = separator, self.joined.token_to_id(separator)
-        self.cuts, self.most = cuts, most
-        literal = "".join(rf"\x{{{ord(c):x}}}" for c in separator)
-        self.rare = f"{rare}|{literal}" if rare else literal
+    def __init__(self, tokenizer: str | Tokenizer, cuts: Callable = word_cuts, rare: str = RARE_SPACE, most: int = 600_000):
+        self.tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.cuts, self.rare, self.most = cuts, rare, most
         self._forget()
 
     def _forget(self) -> None:
@@ -64,13 +60,13 @@ class Encoder:
         self.n = 0
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [b.decode() for b in new]
-        groups = [self.separator.join(texts[i : i + 5000]) for i in range(0, len(texts), 5000)]
-        parts = [np.array(e.ids + [self.mark], np.uint32) for e in self.joined.encode_batch(groups, add_special_tokens=False)]
-        flat = np.concatenate(parts)
-        at = np.flatnonzero(flat == self.mark)
-        lengths = np.diff(at, prepend=-1) - 1
-        flat = flat[flat != self.mark]
+        flat, lengths = [], []
+        for i in range(0, len(new), 5000):
+            words = [b.decode() for b in new[i : i + 5000]]
+            found = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+            flat.append(np.array(found.ids, np.uint32))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+        flat, lengths = np.concatenate(flat), np.concatenate(lengths)
         had = int(self.ends[self.n])
         while had + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -88,7 +84,7 @@ class Encoder:
         rare = np.asarray(pc.match_substring_regex(texts, self.rare))
         whole = np.flatnonzero(rare)
         if len(whole):
-            found = self.plain.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
+            found = self.tokenizer.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
             for i, e in zip(whole, found):
                 out[i] = np.array(e.ids, np.uint32)
         usual = np.flatnonzero(~rare)
@@ -134,11 +130,11 @@ def _by_bytes(texts: pa.Array, rows: np.ndarray, most: int = 6_000_000) -> Itera
         begin, base = stop, ends[stop - 1]
 
 
-_held: dict[tuple, Encoder] = {}
+_held: dict[str, Encoder] = {}
 
 
-def encoder(path: str, separator: str = "<|endoftext|>") -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file: loaded once for each Python process."""
-    if (path, separator) not in _held:
-        _held[path, separator] = Encoder(path, separator)
-    return _held[path, separator]
+    if path not in _held:
+        _held[path] = Encoder(path)
+    return _held[path]

@@ -22,7 +22,7 @@ def test_cached_encoding_equals_whole_encoding(spark, name):
     plain.encode_special_tokens = True
     want = [e.ids for e in plain.encode_batch([t or "" for t in TEXTS + docs], add_special_tokens=False)]
     for most in (100, 1_000_000):
-        got = Encoder(path, "<|endoftext|>", most=most).encode(pa.array(TEXTS + docs))
+        got = Encoder(path, most=most).encode(pa.array(TEXTS + docs))
         assert [g.tolist() for g in got] == want
 
 
