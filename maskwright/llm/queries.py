@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, sharding, simhash
+from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, robust_quality, sentencepiece_codec, sharding, simhash, url_filter
 from maskwright.llm.runtime import Stages
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
@@ -19,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: token counts, digest of the ids, and whether the text came back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece_codec.digest_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return found.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every document: 3-word shingles, at most 2 differing bits."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +34,75 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def url_captures(pages: DataFrame) -> DataFrame:
+    """``pages`` have no fetch time: each page is given a day in two years, by its id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") * 37 % 730).cast("int")).alias("fetch_day"))
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``: additions, removals, and returns, for hosts, parents and path prefixes."""
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    parts = url_filter.url_parts(pages.select("page_id", "url")).where("host is not null")
+    hosts = parts.groupBy("host").agg(F.min("page_id").alias("first"))
+    entry = lambda action, n: F.struct(F.lit(action).alias("action"), day(n).alias("day"))
+    none = F.array().cast("array<struct<action:string,day:date>>")
+    first = F.col("first")
+    begun = first * 13 % 500
+    steps = F.concat(
+        F.when(first % 5 != 4, F.array(entry("add", begun))).otherwise(none),
+        F.when(first % 2 == 0, F.array(entry("remove", begun + 90))).otherwise(none),
+        F.when(first % 4 == 0, F.array(entry("add", begun + 180))).otherwise(none),
+    )
+    listed = hosts.select(F.lit("domain").alias("kind"), F.col("host").alias("key"), F.element_at(F.array(*map(F.lit, ["adult", "malware", "spam"])), (first % 3 + 1).cast("int")).alias("category"), F.inline(steps))
+    parents = hosts.select(F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1).alias("key")).where("key <> ''").distinct()
+    watched = parents.select(F.lit("domain").alias("kind"), "key", F.lit("watch").alias("category"), F.inline(F.array(entry("add", F.lit(600)), entry("remove", F.lit(640)))))
+    sections = parts.where("path <> ''").groupBy(F.concat_ws("/", "host", F.split("path", "/")[0]).alias("key")).agg(F.min("page_id").alias("first"))
+    sections = sections.where(first % 7 == 0).select(F.lit("prefix").alias("kind"), "key", F.lit("section").alias("category"), F.lit("add").alias("action"), day(first % 300).alias("day"))
+    return listed.unionByName(watched).unionByName(sections)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active on its fetch day."""
+    pages = _table(spark, sf_dir, "pages")
+    found = url_filter.evaluate(url_captures(pages), url_entries(pages))
+    return found.select("page_id", "host", "fetch_day", "hits", "categories", "blocked")
+
+
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetch_day,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:3] AS segs
+  FROM pages),
+hosts AS (SELECT host, min(page_id) AS f FROM parts WHERE host IS NOT NULL GROUP BY host),
+entries AS (
+  SELECT 'domain' AS kind, host AS key, ['adult', 'malware', 'spam'][f % 3 + 1] AS category, s.action, DATE '2023-01-01' + CAST(f * 13 % 500 + s.plus AS INTEGER) AS day
+  FROM hosts, (VALUES ('add', 0, 1), ('remove', 90, 2), ('add', 180, 3)) s(action, plus, k)
+  WHERE (k = 1 AND f % 5 <> 4) OR (k = 2 AND f % 2 = 0) OR (k = 3 AND f % 4 = 0)
+  UNION ALL
+  SELECT 'domain', key, 'watch', action, day
+  FROM (SELECT DISTINCT regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS key FROM hosts), (VALUES ('add', DATE '2023-01-01' + 600), ('remove', DATE '2023-01-01' + 640)) s(action, day)
+  WHERE key <> ''
+  UNION ALL
+  SELECT 'prefix', key, 'section', 'add', DATE '2023-01-01' + CAST(f % 300 AS INTEGER)
+  FROM (SELECT host || '/' || segs[1] AS key, min(page_id) AS f FROM parts WHERE host IS NOT NULL AND len(segs) > 0 GROUP BY 1) WHERE f % 7 = 0),
+daily AS (SELECT kind, key, category, day, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY kind, key, category ORDER BY day) AS until FROM daily),
+wanted AS (
+  SELECT page_id, fetch_day, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM (SELECT page_id, fetch_day, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetch_day, 'prefix', host || '/' || array_to_string(segs[1:i], '/')
+  FROM (SELECT page_id, fetch_day, host, segs, unnest(range(1, len(segs) + 1)) AS i FROM parts WHERE host IS NOT NULL)),
+met AS (
+  SELECT page_id, count(*) AS hits, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
+  FROM wanted JOIN spans USING (kind, key)
+  WHERE action = 'add' AND fetch_day >= day AND (until IS NULL OR fetch_day < until) GROUP BY page_id)
+SELECT page_id, host, fetch_day, coalesce(hits, 0) AS hits, coalesce(categories, '') AS categories, hits IS NOT NULL AS blocked
+FROM parts LEFT JOIN met USING (page_id)
+"""
+
+
 def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as directly addressable codes on disk, read back: doc_id, start, n_tokens, ids_crc32."""
     path = Stages(spark, "dac").path("corpus")
@@ -34,6 +110,11 @@ def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics, base rules and the robust outlier verdict of every document."""
+    return robust_quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -71,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": OP3_SQL}

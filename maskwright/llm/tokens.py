@@ -8,6 +8,7 @@ words. Texts with white space that the cut rule doesn't know are encoded whole.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in each Python worker
+
 # White space of the Unicode standard outside ASCII, and the four ASCII separators that only some engines count.
 RARE_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -47,7 +50,7 @@ def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Encoder:
     """ids of whole texts; ``most`` bounds the distinct stretches remembered by a worker."""
 
-    def __init__(self, tokenizer: str | Tokenizer, cuts: Callable = word_cuts, rare: str = RARE_SPACE, most: int = 600_000):
+    def __init__(self, tokenizer: str | Tokenizer, cuts: Callable = word_cuts, rare: str | None = RARE_SPACE, most: int = 600_000):
         self.tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cuts, self.rare, self.most = cuts, rare, most
@@ -61,11 +64,12 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         flat, lengths = [], []
-        for i in range(0, len(new), 5000):
-            words = [b.decode() for b in new[i : i + 5000]]
-            found = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
-            flat.append(np.array(found.ids, np.uint32))
-            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+        for i in range(0, len(new), 40_000):
+            # Groups of ready-cut words are encoded in parallel by the library's threads.
+            groups = [[b.decode() for b in new[k : k + 5000]] for k in range(i, min(i + 40_000, len(new)), 5000)]
+            for words, found in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+                flat.append(np.array(found.ids, np.uint32))
+                lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
         flat, lengths = np.concatenate(flat), np.concatenate(lengths)
         had = int(self.ends[self.n])
         while had + len(flat) > len(self.ids):
@@ -81,7 +85,7 @@ class Encoder:
         """One uint32 array of ids for each text; null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        rare = np.asarray(pc.match_substring_regex(texts, self.rare))
+        rare = np.asarray(pc.match_substring_regex(texts, self.rare)) if self.rare else np.zeros(len(texts), bool)
         whole = np.flatnonzero(rare)
         if len(whole):
             found = self.tokenizer.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
