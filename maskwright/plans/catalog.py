@@ -5,11 +5,348 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions import checks, detectors, fixed
+from maskwright.functions import text as T
+from maskwright.operators import masking, pages, review, spatial
+from maskwright.plans import reports
+from maskwright.sources.tables import document_lines, page_text, table
+from maskwright.streaming import watch
+
+KEYS = ["doc_id", "line_index"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_index, parts[i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents))"
+
+
+def query(sql: str | None = None):
+    def add(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            SQL[make.__name__] = sql
+        return make
+
+    return add
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _found(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return detectors.detect(_lines(spark, sf_dir), KEYS, only=[kind]).select(*KEYS, "text")
+
+
+# --- detectors over whole documents, line by line -------------------------------------------------------------------
+
+
+@query()
+def document_detections(spark, sf_dir):
+    """All detectors over all documents, with the review policy."""
+    found = review.add_review(detectors.detect(_lines(spark, sf_dir), KEYS))
+    return found.select(*KEYS, "type", "rule_id", "label", "text", "span", "start", "occurrence", "labeled", "needs_review", "validation", F.array_join("warnings", " ").alias("warnings"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS text FROM lines")
+def email_detections(spark, sf_dir):
+    return _found(spark, sf_dir, "email")
+
+
+@query(f"""WITH {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)*(?::[0-9]+)?')) AS r FROM lines)
+SELECT DISTINCT doc_id, line_index, r AS text FROM runs
+WHERE regexp_full_match(r, '(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\\.){{3}}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?::[0-9]{{1,5}})?')
+AND (NOT contains(r, ':') OR CAST(split_part(r, ':', 2) AS INTEGER) BETWEEN 1 AND 65535)""")
+def ipv4_detections(spark, sf_dir):
+    return _found(spark, sf_dir, "ipv4")
+
+
+LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST(substr({d}, i, 1) AS INTEGER) ELSE CAST(substr({d}, i, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr({d}, i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+@query(f"""WITH {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9](?:[ \\t-]?[0-9])*')) AS r FROM lines),
+cards AS (SELECT *, regexp_replace(r, '[^0-9]', '', 'g') AS d FROM runs)
+SELECT DISTINCT doc_id, line_index, r AS text FROM cards WHERE length(d) BETWEEN 13 AND 19 AND {LUHN.format(d='d')} AND replace(d, d[1], '') <> ''""")
+def credit_card_detections(spark, sf_dir):
+    return _found(spark, sf_dir, "credit_card")
+
+
+@query(f"""WITH {LINES}, found AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '\\b[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*(?:"[^"]*"|[^\\s"]\\S*)')) AS m FROM lines),
+parts AS (SELECT doc_id, line_index, regexp_extract(m, '^([A-Za-z0-9_]+)', 1) AS key, trim(regexp_replace(m, '^[A-Za-z0-9_]+\\s*=\\s*', ''), '"') AS text FROM found)
+SELECT doc_id, line_index, key, text, length(text) < 8 AS needs_review FROM parts WHERE regexp_matches(key, '(?i)SECRET|TOKEN|PASSWORD|PASSWD|PWD|API_KEY|PRIVATE_KEY|ACCESS_KEY') AND text <> ''""")
+def env_secret_detections(spark, sf_dir):
+    return detectors.detect(_lines(spark, sf_dir), KEYS, only=["env_secret"]).select(*KEYS, "key", "text", "needs_review")
+
+
+@query(f"WITH {LINES} SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '\\+[0-9]{{1,3}}(?:[ ().-]*[0-9]){{8,14}}\\b')) AS text FROM lines")
+def phone_detections(spark, sf_dir):
+    return _found(spark, sf_dir, "phone")
+
+
+@query()
+def page_detections(spark, sf_dir):
+    """All detectors over the visible text of the pages."""
+    lines = document_lines(page_text(table(spark, sf_dir, "pages")), "page_id")
+    return review.add_review(detectors.detect(lines, KEYS)).select(F.col("doc_id").alias("page_id"), "line_index", "type", "rule_id", "text", "start", "validation", "needs_review")
+
+
+@query()
+def conversation_detections(spark, sf_dir):
+    """All detectors over every turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return review.add_review(detectors.detect(turns, ["conv_id", "turn", "role"])).select("conv_id", "turn", "role", "type", "text", "start", "validation", "needs_review")
+
+
+# --- normalisers ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<!--.*?-->', ' ', 'g'),
+  '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/title)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ')) AS text_md5 FROM pages""")
+def html_text(spark, sf_dir):
+    return page_text(table(spark, sf_dir, "pages")).select("page_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(lower(translate(coalesce(text, ''), 'İIŞşĞğÜüÖöÇçıâîû', 'iissgguuoocciaiu'))) AS folded_md5 FROM documents")
+def folded_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_turkish(F.coalesce("text", F.lit("")))).alias("folded_md5"))
+
+
+@query(r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text), '[‐‑‒–—−]', '-', 'g'), '[＿﹍﹎]', '_', 'g'), '\s*([_-])\s*', '\1', 'g'), '\s+', '', 'g'), '[.,;:!?]+$', '')) AS credential_md5 FROM conversations")
+def credential_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.normalize_credential(F.col("text"))).alias("credential_md5"))
+
+
+@query(r"""SELECT doc_id, md5(translate(text, 'OoIl|SsBb', '001115588')) AS digits_md5, md5(regexp_replace(lower(text), '\s+', '', 'g')) AS compared_md5 FROM documents""")
+def corrected_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.correct_digits(F.col("text"))).alias("digits_md5"), F.md5(T.detection_text(F.col("text"))).alias("compared_md5"))
+
+
+@query("SELECT o_orderkey, 'redacted-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') || CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.jpg' ELSE '.png' END AS file_name FROM orders")
+def redacted_names(spark, sf_dir):
+    ext = F.when(F.col("o_orderkey") % 3 == 0, "a.PDF").when(F.col("o_orderkey") % 3 == 1, "b.jpg").otherwise("c.exe")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.redacted_name(F.col("o_orderdate"), ext).alias("file_name"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, 'Make') AND contains(text, 'Model') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'Exif') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'DateTime') THEN 1 ELSE 0 END
++ CASE WHEN contains(text, 'http://ns.adobe.com/xap') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, 'GPSLatitude|GPSLongitude|\\bGPS\\b') THEN 1 ELSE 0 END AS markers FROM documents""")
+def metadata_markers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.metadata_markers(F.col("text").cast("binary"))).alias("markers"))
+
+
+# --- validators over numbers made from keys --------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, {LUHN.format(d='d')} AS valid FROM (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey * 7919 AS VARCHAR), 15, '0') AS d FROM orders)")
+def luhn_validity(spark, sf_dir):
+    number = F.concat(F.lit("4"), F.lpad((F.col("o_orderkey") * 7919).cast("string"), 15, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.luhn(number).alias("valid"))
+
+
+_AT = "CAST(substr(d, {k}, 1) AS INTEGER)"
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, CAST(10000000000 + o_orderkey * 97 AS VARCHAR) AS d FROM orders),
+s AS (SELECT *, {' + '.join(_AT.format(k=k) for k in (1, 3, 5, 7, 9))} AS odd, {' + '.join(_AT.format(k=k) for k in (2, 4, 6, 8))} AS even FROM n)
+SELECT o_orderkey, ((odd * 7 - even) % 10 + 10) % 10 = {_AT.format(k=10)} AND (odd + even + {_AT.format(k=10)}) % 10 = {_AT.format(k=11)} AS valid FROM s""")
+def tckn_validity(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.tckn((F.col("o_orderkey") * 97 + 10000000000).cast("string")).alias("valid"))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 31 AS VARCHAR), 10, '0') AS d FROM orders),
+s AS (SELECT *, {' + '.join(f"(CASE WHEN ({_AT.format(k=k)} + {10 - k}) % 10 <> 0 AND (({_AT.format(k=k)} + {10 - k}) % 10 * {1 << (10 - k)}) % 9 = 0 THEN 9 ELSE (({_AT.format(k=k)} + {10 - k}) % 10 * {1 << (10 - k)}) % 9 END)" for k in range(1, 10))} AS total FROM n)
+SELECT o_orderkey, (10 - total % 10) % 10 = {_AT.format(k=10)} AS valid FROM s""")
+def vkn_validity(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.vkn(F.lpad((F.col("o_orderkey") * 31).cast("string"), 10, "0")).alias("valid"))
+
+
+@query("""SELECT c_custkey, TRUE AS structure, CAST(lpad(CAST(CAST(c_custkey AS BIGINT) * 1234577 AS VARCHAR), 18, '0') || '1314' || lpad(CAST(c_custkey % 97 + 2 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1 AS checksum FROM customer""")
+def iban_validity(spark, sf_dir):
+    number = F.concat(F.lit("de"), F.lpad((F.col("c_custkey") % 97 + 2).cast("string"), 2, "0"), F.lit(" "), F.lpad((F.col("c_custkey").cast("long") * 1234577).cast("string"), 18, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", checks.iban_structure(number).alias("structure"), checks.iban_checksum(number).alias("checksum"))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 99991 % 1000000000 AS VARCHAR), 9, '0') AS d FROM orders),
+s AS (SELECT *, CAST(d[1:2] AS INTEGER) AS p, CAST(d[1:3] AS INTEGER) AS a FROM n)
+SELECT o_orderkey, a NOT IN (0, 666) AND a < 900 AND d[4:5] <> '00' AND d[6:9] <> '0000' AS ssn,
+  (p <= 12 OR p BETWEEN 21 AND 32 OR p BETWEEN 61 AND 72 OR p = 80) AND (3 * ({' + '.join(_AT.format(k=k) for k in (1, 4, 7))}) + 7 * ({' + '.join(_AT.format(k=k) for k in (2, 5, 8))}) + {' + '.join(_AT.format(k=k) for k in (3, 6, 9))}) % 10 = 0 AS routing FROM s""")
+def us_number_validity(spark, sf_dir):
+    number = F.lpad((F.col("o_orderkey") * 99991 % 1000000000).cast("string"), 9, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.ssn(number).alias("ssn"), checks.aba(number).alias("routing"))
+
+
+# --- set-level operators over boxes made from order lines --------------------------------------------------------------
+
+_TYPES = ["phone", "email", "person_name", "session_id", "custom_rule", "location", "ipv4"]
+
+
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order, a detection for each of its lines."""
+    rows = table(spark, sf_dir, "lineitem")
+    k = F.col("l_linenumber")
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), ((F.col("l_partkey") + k) % len(_TYPES) + 1).cast("int"))
+    x, y = (F.col("l_partkey") % 60).cast("double"), (F.col("l_suppkey") % 12).cast("double")
+    made = rows.select(F.col("l_orderkey").alias("page"), k.alias("id"), k.alias("ordinal"), kind.alias("type"), F.concat(F.lit("v"), F.col("l_partkey") % 5).alias("text"), x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_quantity")).alias("x1"), (y + 12).alias("y1"))
+    return made.withColumns({"rule_id": F.when(F.col("type") == "custom_rule", "custom-id"), "label": F.col("type")})
+
+
+BOXES = f"""boxes AS (SELECT l_orderkey AS page, l_linenumber AS id, {_TYPES}[(l_partkey + l_linenumber) % {len(_TYPES)} + 1] AS type,
+  CAST(l_partkey % 60 AS DOUBLE) AS x0, CAST(l_suppkey % 12 AS DOUBLE) AS y0, CAST(l_partkey % 60 AS DOUBLE) + 10 + l_quantity AS x1, CAST(l_suppkey % 12 AS DOUBLE) + 12 AS y1 FROM lineitem)"""
+
+
+@query(f"""WITH {BOXES}, r AS (SELECT *, CASE type WHEN 'email' THEN 2 WHEN 'ipv4' THEN 4 WHEN 'phone' THEN 6 WHEN 'person_name' THEN 7 WHEN 'location' THEN 8 ELSE 9 END AS rk FROM boxes)
+SELECT page, id, type FROM r a WHERE a.type IN ('email', 'ipv4') OR NOT EXISTS (SELECT 1 FROM r b WHERE b.page = a.page AND b.id <> a.id AND b.rk < a.rk
+  AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.45 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))""")
+def suppressed_boxes(spark, sf_dir):
+    return spatial.suppress(line_boxes(spark, sf_dir), ["page"]).select("page", "id", "type")
+
+
+@query()
+def deduplicated_boxes(spark, sf_dir):
+    return spatial.deduplicate(line_boxes(spark, sf_dir), ["page"]).select("page", "id", "type")
+
+
+@query(f"WITH {BOXES} SELECT page, id, x0 AS x, y0 AS y, least(x1, 64) - x0 AS w, least(y1, 20) - y0 AS h, '#000000' AS color FROM boxes WHERE least(x1, 64) > x0 AND least(y1, 20) > y0")
+def redaction_rectangles(spark, sf_dir):
+    found = line_boxes(spark, sf_dir).withColumns({"width": F.lit(64.0), "height": F.lit(20.0)})
+    return spatial.hardened(spatial.redactions(found, "blur")).select("page", "id", "x", "y", "w", "h", "color")
+
+
+_TOOL_ROWS = ", ".join(f"('{slug}', '{kind}')" for slug, kinds in fixed.TOOLS.items() for kind in kinds)
+
+
+@query(f"WITH {BOXES}, tools(slug, type) AS (VALUES {_TOOL_ROWS}) SELECT slug, type, count(*) AS n FROM boxes JOIN tools USING (type) GROUP BY ALL")
+def tool_views(spark, sf_dir):
+    """What each preset shows of the detections."""
+    return review.for_tools(line_boxes(spark, sf_dir), review.tools_table(spark)).groupBy("slug", "type").agg(F.count("*").alias("n"))
+
+
+_KINDS = ["credit_card", "phone", "person_name", "iban", "vkn", "env_secret", "ipv4", "seed_phrase", "other"]
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, {_KINDS}[o_orderkey % 9 + 1] AS type, o_orderkey % 4 = 0 AS flagged, o_orderkey % 7 < 2 AS failed, o_orderkey % 101 AS confidence FROM orders)
+SELECT o_orderkey, CASE WHEN type = 'seed_phrase' OR (type = 'vkn' AND flagged) OR (type = 'env_secret' AND flagged) THEN 'unverified' WHEN (type = 'iban' AND NOT failed) OR type = 'credit_card' THEN 'checksum'
+  WHEN type = 'iban' THEN 'unverified' WHEN type = 'person_name' THEN 'contextual' WHEN type IN ('phone', 'vkn', 'env_secret', 'ipv4') THEN 'pattern' ELSE 'unverified' END AS validation,
+  type = 'seed_phrase' OR (type IN ('vkn', 'env_secret') AND flagged) AS needs_review,
+  CAST((type = 'seed_phrase' OR (type IN ('vkn', 'env_secret') AND flagged)) AS INTEGER) + CAST(type = 'iban' AND failed AS INTEGER) + CAST(type = 'person_name' AS INTEGER) + CAST(confidence < 70 AS INTEGER) AS warnings FROM d""")
+def review_ladder(spark, sf_dir):
+    k = F.col("o_orderkey")
+    kind, flagged, failed = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 9 + 1).cast("int")), k % 4 == 0, k % 7 < 2
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), flagged.alias("flagged"), failed.alias("failed"), (k % 101).alias("ocr"))
+    iban, hint = F.col("kind") == "iban", F.when(F.col("flagged") & (F.col("kind") == "vkn"), "vkn_unverified").when(F.col("flagged") & (F.col("kind") == "env_secret"), "short_secret")
+    made = rows.withColumns({"type": F.when(iban, "custom_rule").otherwise(F.col("kind")), "rule_id": F.when(iban, "iban"), "text": F.lit("long enough"), "hint": hint, "labeled": F.lit(False), "ocr_corrected": F.lit(False), "carrier_skipped": F.lit(False), "iban_checksum_valid": iban & ~F.col("failed"), "iban_checksum_failed": iban & F.col("failed")})
+    return review.add_review(made, "ocr").select("o_orderkey", "validation", "needs_review", F.size("warnings").alias("warnings"))
+
+
+@query("""WITH f AS (SELECT c_custkey, c_mktsegment, 'scan' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN '.png' ELSE '.pdf' END AS name FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, name ORDER BY c_custkey) AS k FROM f)
+SELECT c_custkey, CASE WHEN k = 1 THEN name ELSE name[1:length(name) - 4] || '-' || k || name[length(name) - 3:] END AS zip_name FROM n""")
+def zip_names(spark, sf_dir):
+    name = F.concat(F.lit("a/b/scan"), "c_nationkey", F.when(F.col("c_custkey") % 2 == 0, ".png").otherwise(".pdf"))
+    return masking.unique_names(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", name.alias("name")), ["c_mktsegment"], "c_custkey").select("c_custkey", "zip_name")
+
+
+@query("""WITH f AS (SELECT c_custkey, c_nationkey, c_custkey % 3 <> 0 AND c_custkey % 50 <> 7 AS ok FROM customer),
+n AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM f)
+SELECT c_custkey, CASE WHEN NOT ok THEN 'skipped' WHEN k <= 20 THEN 'queued' ELSE 'over_limit' END AS status FROM n""")
+def batch_selection(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(k % 3 == 0, "x.gif").when(k % 3 == 1, "x.JPEG").otherwise("x.pdf").alias("name"), F.when(k % 50 == 7, 30_000_000).otherwise(1000).alias("size"))
+    return masking.select_batch(rows, ["c_nationkey"], "c_custkey").select("c_custkey", "status")
+
+
+# --- positional operators ------------------------------------------------------------------------------------------------
+
+BENCH_WORDS = r"""ln AS (SELECT item_id, CAST(i - 1 AS INTEGER) AS line_index, parts[i] AS text FROM (SELECT item_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM benchmark)),
+w AS (SELECT item_id, line_index, CAST(k - 1 AS INTEGER) AS word_index, ws[k] AS text FROM (SELECT item_id, line_index, regexp_extract_all(text, '\S+') AS ws, unnest(range(1, len(regexp_extract_all(text, '\S+')) + 1)) AS k FROM ln))"""
+
+
+def _benchmark_lines(spark, sf_dir):
+    return pages.lay_out(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(f"WITH {BENCH_WORDS} SELECT item_id, line_index, word_index, text FROM w")
+def page_words(spark, sf_dir):
+    return pages.words_of(_benchmark_lines(spark, sf_dir), ["doc_id", "page"]).select(F.col("doc_id").alias("item_id"), "line_index", "word_index", "text")
+
+
+@query(f"WITH {BENCH_WORDS} SELECT a.item_id, a.line_index, a.word_index AS first_word, count(*) AS n_words, string_agg(b.text, ' ' ORDER BY b.word_index) AS spaced FROM w a JOIN (SELECT unnest(range(1, 13)) AS n) s ON TRUE JOIN w b ON a.item_id = b.item_id AND a.line_index = b.line_index AND b.word_index BETWEEN a.word_index AND a.word_index + n - 1 GROUP BY a.item_id, a.line_index, a.word_index, n HAVING count(*) = n")
+def word_candidates(spark, sf_dir):
+    """All runs of up to twelve adjacent words of the benchmark's lines."""
+    words = pages.words_of(_benchmark_lines(spark, sf_dir), ["doc_id", "page"])
+    return pages.candidates(words, ["doc_id", "page"]).select(F.col("doc_id").alias("item_id"), "line_index", "first_word", F.col("n_words").cast("long").alias("n_words"), "spaced")
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, line_index, trim(text, ' ') AS t FROM lines WHERE trim(text, ' ') <> ''),
+n AS (SELECT *, lead(line_index, 1) OVER w AS i1, lead(line_index, 2) OVER w AS i2, lead(t, 1) OVER w AS t1 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)),
+p AS (SELECT *, NOT regexp_matches(t, '[.!?:]$') AND i1 = line_index + 1 AS w0, NOT regexp_matches(t1, '[.!?:]$') AND i2 = i1 + 1 AS w1 FROM n)
+SELECT doc_id, line_index, CASE WHEN w1 THEN 3 ELSE 2 END AS n_lines FROM p WHERE w0""")
+def wrapped_lines(spark, sf_dir):
+    """Chains of two or three lines that read on, by place and punctuation."""
+    return pages.wrapped_windows(pages.lay_out(table(spark, sf_dir, "documents")), ["doc_id", "page"]).select("doc_id", "line_index", "n_lines")
+
+
+@query()
+def placed_detections(spark, sf_dir):
+    """Detections of the documents with the boxes of their words, less shadowed ones."""
+    keys = ["doc_id", "page"]
+    lines = pages.lay_out(table(spark, sf_dir, "documents"))
+    found = review.add_review(detectors.detect(lines, [*keys, "line_index"]))
+    boxed = pages.place(found, pages.words_of(lines.join(found.select(*keys, "line_index").distinct(), [*keys, "line_index"], "left_semi"), keys), keys)
+    named = boxed.withColumn("id", F.xxhash64(*keys, "line_index", "type", "span", "occurrence"))
+    return spatial.suppress(named, keys).select(*keys, "line_index", "type", "text", "x0", "y0", "x1", "y1", "validation")
+
+
+@query()
+def seed_phrase_windows(spark, sf_dir):
+    """Runs of list words in the turns; the list is the 2048 most frequent plain words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word rlike '^[a-z]+$'")
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(2048)
+    return pages.seed_phrases(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], top)
+
+
+# --- masking ---------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def masked_documents(spark, sf_dir):
+    """Every document with its automatic detections covered: digest, covered characters and values left over."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = document_lines(docs)
+    found = review.automatic(review.add_review(detectors.detect(lines, KEYS)))
+    covered = masking.mask(lines, found, KEYS)
+    left = masking.leaks(covered, found, KEYS).groupBy("doc_id").agg(F.count("*").alias("n_leaks"))
+    made = covered.groupBy("doc_id").agg(F.sum(F.length("masked") - F.length(F.replace("masked", F.lit("█"), F.lit("")))).alias("n_covered"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "masked"))), lambda x: x["masked"]), "\n")).alias("masked_md5"))
+    return docs.select("doc_id").join(made, "doc_id", "left").join(left, "doc_id", "left").select("doc_id", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "masked_md5", F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"))
+
+
+# --- reports and streams ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LINES}, e AS (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS text FROM lines)
+SELECT lang, source, count(*) AS n FROM e JOIN documents d USING (doc_id) GROUP BY ROLLUP (lang, source)""")
+def email_rollup(spark, sf_dir):
+    found = _found(spark, sf_dir, "email")
+    return reports.rollup(found, table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query()
+def detection_summary(spark, sf_dir):
+    """Detections by language and type, those for review apart."""
+    found = review.add_review(detectors.detect(_lines(spark, sf_dir), KEYS))
+    return reports.summary(found, table(spark, sf_dir, "documents"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_rows, sum(CAST(regexp_matches(props, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS BIGINT)) AS n_with_email FROM events GROUP BY 1")
+def event_windows(spark, sf_dir):
+    """The streaming aggregation over the whole table."""
+    return watch.email_counts(table(spark, sf_dir, "events"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
