@@ -113,11 +113,29 @@ def phone_hits(text: Column, blank_numbers: bool = True) -> Column:
     return F.filter(F.transform(longest, lambda t: F.struct((F.instr(source, t) - 1).alias("start"), t.alias("raw"), *[F.lit("").alias(f"g{k}") for k in range(1, 5)])), lambda h: h["start"] >= 0)
 
 
-def place_hits(text: Column) -> Column:
-    folded = T.fold_turkish(text)
+def _label_head(labels: list[str]) -> str:
+    every = "|".join(x.replace(" ", r"\s+") for x in sorted(labels, key=len, reverse=True))
+    return rf"(?:^|[^a-z0-9])(?:{every})(?![a-z0-9])\s*[:\-–]\s*"
+
+
+def _place_guard(text: Column, folded: Column) -> Column:
+    """Tests without which neither a labelled place nor a province in context can be found, the cheap one first."""
+    provinces = "|".join(fixed.PROVINCES)
+    labelled = rf"(?<![a-z0-9])(?:{'|'.join(x.replace(' ', spelled(chr(92) + 's') + '+') for x in fixed.PLACE_LABELS)}|{fixed.PLACE_CONTEXT_LABELS})(?![a-z0-9])\s*[:\-–]"
+    named = rf"(?<![a-z0-9])(?:(?:in|at)\s+(?:{provinces})|(?:{provinces})\s+(?:ili|merkez|sehri))"
+    return (text.rlike("[:–-]") & folded.rlike(spelled(labelled))) | folded.rlike(spelled(named))
+
+
+def _may_hold_token(text: Column) -> Column:
+    """A prefix of a known kind, or forty characters on end; blanks around dashes may be closed up first."""
+    prefix = r"(?i)api[\s_-]*(?:test|live)|gh[pousr]\s*[_＿﹍﹎]|github|eyJ|[spr]k[\s_＿﹍﹎‐-―−-]*(?:live|test)|sk\s*[-‐-―−]|A(?:KIA|SIA|ROA|IDA)|://"
+    return text.rlike(spelled(prefix)) | text.rlike("[A-Za-z0-9+/_=-]{40}") | (text.rlike("[-_‐-―−＿﹍﹎]") & T.one_dash(text).rlike("[A-Za-z0-9+/_=-]{40}"))
+
+
+def place_hits(text: Column, folded: Column) -> Column:
     labels = "|".join(x.replace(" ", r"\s+") for x in sorted(fixed.PLACE_LABELS, key=len, reverse=True))
     stop = rf"(?:^|[^a-z0-9])(?:{labels}|email|e-mail|phone|tel|name|customer|employee|ad\s+soyad|musteri)\s*[:\-–]"
-    heads = located(folded, rf"(?:^|[^a-z0-9])(?:{labels})(?![a-z0-9])\s*[:\-–]\s*")
+    heads = located(folded, _label_head(fixed.PLACE_LABELS))
 
     def value(h: Column) -> Column:
         at = h["start"] + F.length(h["raw"])
@@ -143,11 +161,9 @@ def place_hits(text: Column) -> Column:
     return F.filter(texts, lambda t: ~F.exists(texts, lambda o: (o != t) & F.contains(o, t)))
 
 
-def labelled_names(text: Column) -> Column:
+def labelled_names(text: Column, folded: Column) -> Column:
     """Up to three capitalised words after a name label."""
-    folded = T.fold_turkish(text)
-    labels = "|".join(x.replace(" ", r"\s+") for x in sorted(fixed.NAME_LABELS, key=len, reverse=True))
-    heads = located(folded, rf"(?:^|[^a-z0-9])(?:{labels})(?![a-z0-9])\s*[:\-–]\s*")
+    heads = located(folded, _label_head(fixed.NAME_LABELS))
     letter = "A-Za-z0-9_"
 
     def name(h: Column) -> Column:
@@ -164,11 +180,15 @@ def labelled_names(text: Column) -> Column:
     return F.filter(F.transform(heads, name), lambda v: v.isNotNull())
 
 
-def raw_hits(text: Column, rules: tuple[Rule, ...] = (), only: list[str] | None = None) -> Column:
-    """array<HIT>: what every family's pattern finds in a text, before acceptance; ``only`` limits the types."""
-    low = F.lower(text)
+def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...] = (), only: list[str] | None = None) -> Column:
+    """array<HIT>: what every family's pattern finds in a text, before acceptance; ``only`` limits the types.
+
+    ``low`` and ``folded`` are the text in lower case and without Turkish marks.
+    """
     has = lambda *words: _any([F.contains(low, F.lit(w)) for w in words])
-    many_digits = F.length(digits(text)) >= 9
+    many_digits = text.rlike("[0-9]") & (F.length(digits(text)) >= 9)
+    word = lambda p: folded.rlike(spelled(p))
+    titled = F.arrays_overlap(F.split(folded, "[^a-z]+"), F.array(*map(F.lit, [*fixed.GIVEN_NAMES, *{T.plain(t) for t in fixed.TITLES.split("|")}])))
     dotted = F.regexp_replace(F.regexp_replace(text, "[·•]", "."), spelled(r"(?<=[0-9])\s*\.\s*(?=[0-9])"), ".")
     key_block = rf"{fixed.KEY_HEADER}(?:[\x00-\x{{10ffff}}]*?{fixed.KEY_END}|[^\n]*(?:\n[^\n]*){{0,{fixed.KEY_LINES}}})"
     session = lambda: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(T.normalize_credential(text), F.lit(spelled(p)), F.lit(0)) for p in fixed.SESSIONS])))
@@ -184,17 +204,17 @@ def raw_hits(text: Column, rules: tuple[Rule, ...] = (), only: list[str] | None
         (["tckn"], text.rlike("[0-9OoIl|SsBb]{11}"), lambda: _hits("tckn", located(text, fixed.TCKN))),
         (["vkn"], text.rlike("[0-9OoIl|SsBb]{10}"), lambda: _hits("vkn", located(text, fixed.VKN))),
         (["custom_rule"], many_digits & text.rlike("[A-Z0-9]{2}[0-9]{2}"), lambda: _hits("iban", F.concat(located(text, fixed.IBAN), located(text, fixed.IBAN_DAMAGED)))),
-        (["api_token"], text.rlike("[A-Za-z0-9+/=-]{16}|_") | has("api", "sk ", "pk ", "rk ", "://"), lambda: _texts("api_token", api_token_texts(text))),
+        (["api_token"], _may_hold_token(text), lambda: _texts("api_token", api_token_texts(text))),
         (["connection_url"], has("://"), lambda: _texts("connection_url", connection_urls(text))),
         (["bearer_token"], has("bearer"), lambda: _hits("bearer_token", located(text, fixed.BEARER, 2))),
         (["env_secret"], has("="), lambda: _hits("env_secret", located(text, fixed.ENV, 4))),
         (["passport"], has("pasaport", "passport"), lambda: _texts("passport", F.filter(F.array(F.regexp_extract(text, spelled(fixed.PASSPORT), 1)), lambda t: t != ""))),
         (["session_id"], has("sess"), lambda: _texts("session_id", session())),
         (["private_key"], has("---"), lambda: _hits("private_key", located(text, key_block))),
-        (["person_name"], text.rlike(r"[:\-–]"), lambda: _texts("person_name", labelled_names(text))),
-        (["location"], text.rlike(r"[:\-–]") | has(*fixed.PROVINCES), lambda: _texts("location", place_hits(text))),
-        (["person_name"], F.lit(True), lambda: _hits("name_pair", located(text, rf"(?iu)(?:\b({fixed.TITLES})\.?\s+)?\b({fixed.NAME_WORD})\s+({fixed.NAME_WORD})\b", 3))),
-        *[(["custom_rule"], F.lit(True), lambda r=r: _hits(f"rule:{r.id}", located(text, ("(?i)" if r.ignore_case else "") + r.pattern))) for r in rules if r.enabled],
+        (["person_name"], text.rlike("[:–-]") & word(_label_head(fixed.NAME_LABELS)), lambda: _texts("person_name", labelled_names(text, folded))),
+        (["location"], _place_guard(text, folded), lambda: _texts("location", place_hits(text, folded))),
+        (["person_name"], titled, lambda: _hits("name_pair", located(text, rf"(?iu)(?:\b({fixed.TITLES})\.?\s+)?\b({fixed.NAME_WORD})\s+({fixed.NAME_WORD})\b", 3))),
+        *[(["custom_rule"], text.rlike("[0-9]{4}") if r.pattern == fixed.CUSTOM_ID else F.lit(True), lambda r=r: _hits(f"rule:{r.id}", located(text, ("(?i)" if r.ignore_case else "") + r.pattern))) for r in rules if r.enabled],
     ]
     return F.concat(F.array().cast(NONE), *[_if(test, found()) for types, test, found in families if only is None or set(types) & set(only)])
 
@@ -211,8 +231,9 @@ def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tupl
 
     ``keys`` name the row (document, page, line). A null text has no matches.
     """
-    source = rows.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    hits = source.select(*keys, "_text", F.inline(raw_hits(F.col("_text"), rules, only)))
+    # Lower-cased and folded text are read by many families: projections of their own build them once.
+    source = rows.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
+    hits = source.select(*keys, "_text", F.inline(raw_hits(F.col("_text"), F.col("_low"), F.col("_fold"), rules, only)))
     decided = _ibans(_decide(hits, rules)).where(F.col("type").isNotNull() if only is None else F.col("type").isin(only))
     return _unique(decided, keys)
 
