@@ -71,7 +71,13 @@ def api_token_texts(text: Column) -> Column:
     joined = F.regexp_replace(T.one_dash(text), spelled(r"(?i)\bapi\s+(test|live)\s+"), "api_$1_")
     every = [F.regexp_extract_all(joined, F.lit(spelled(p)), F.lit(0)) for p in fixed.API_TOKENS]
     kinds = lambda p: F.filter(F.regexp_extract_all(joined, F.lit(spelled(p)), F.lit(0)), lambda t: checks.mixed_kinds(t) & ~checks.log_identifier(t))
-    found = F.concat(stripe_texts(text), *every, connection_urls(text), kinds(fixed.AWS_SECRET), kinds(fixed.LONG_TOKEN))
+    # A long token may go on after one blank, where a scanner cut it: a short tail that is no word.
+    tailed = spelled(rf"({fixed.LONG_TOKEN})(?: ([A-Za-z0-9+/_=:.-]{{1,12}})(?![A-Za-z0-9+/_=:.-]))?")
+    pairs = F.zip_with(F.regexp_extract_all(joined, F.lit(tailed), F.lit(1)), F.regexp_extract_all(joined, F.lit(tailed), F.lit(2)), lambda t, e: F.struct(t.alias("t"), e.alias("e")))
+    long = F.filter(pairs, lambda x: checks.mixed_kinds(x["t"]) & ~checks.log_identifier(x["t"]))
+    tail = lambda e: ~F.contains(e, F.lit(".")) & ((F.length(e) <= 3) | e.rlike("[0-9+/=:]"))
+    longs = F.transform(long, lambda x: F.concat(x["t"], F.when(tail(x["e"]), x["e"]).otherwise("")))
+    found = F.concat(stripe_texts(text), *every, connection_urls(text), kinds(fixed.AWS_SECRET), longs)
     return F.filter(F.array_distinct(F.transform(found, T.format_api_token)), checks.api_token)
 
 

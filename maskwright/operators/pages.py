@@ -29,18 +29,14 @@ def lay_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def words_of(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Words of lines, their boxes in proportion to their characters; ``start`` is a word's place in its line."""
-    parts = F.split(F.col("text"), f"(?<={SPACE})(?={spelled('[^') + SPACE[1:]})|(?<={spelled('[^') + SPACE[1:]})(?={SPACE})", -1)
-    sized = lines.withColumn("_p", parts).withColumn("_l", F.transform("_p", F.length))
-    placed = F.aggregate(
-        F.arrays_zip(F.col("_p").alias("w"), F.col("_l").alias("n")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.when(F.trim(x["w"]) == "", s["out"]).otherwise(F.array_append(s["out"], F.struct(s["at"].alias("start"), x["w"].alias("text")))).alias("out")),
-        lambda s: s["out"],
-    )
-    rows = sized.select(*keys, "line_index", "confidence", F.length("text").alias("_n"), *[F.col(c).alias(f"_{c}") for c in BOX], F.posexplode(placed).alias("word_index", "_w"))
+    solid = SPACE.replace("[", "[^", 1)
+    pieces = F.split(F.col("text"), f"(?<={SPACE})(?={solid})|(?<={solid})(?={SPACE})", -1)
+    rows = lines.select(*keys, "line_index", "confidence", F.length("text").alias("_n"), *[F.col(c).alias(f"_{c}") for c in BOX], F.posexplode(pieces).alias("_k", "_w"))
+    line = Window.partitionBy(*keys, "line_index").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    is_word = (F.trim("_w") != "") & ~F.col("_w").rlike(f"^{SPACE}+$")
+    placed = rows.withColumns({"start": F.coalesce(F.sum(F.length("_w")).over(line), F.lit(0)).cast("int"), "word_index": F.coalesce(F.sum(is_word.cast("int")).over(line), F.lit(0)).cast("int")}).where(is_word)
     x = lambda at: F.col("_x0") + (F.col("_x1") - F.col("_x0")) * at / F.col("_n")
-    start = F.col("_w.start")
-    return rows.select(*keys, "line_index", "word_index", F.col("_w.text").alias("text"), start.alias("start"), x(start).alias("x0"), F.col("_y0").alias("y0"), x(start + F.length("_w.text")).alias("x1"), F.col("_y1").alias("y1"), "confidence")
+    return placed.select(*keys, "line_index", "word_index", F.col("_w").alias("text"), "start", x(F.col("start")).alias("x0"), F.col("_y0").alias("y0"), x(F.col("start") + F.length("_w")).alias("x1"), F.col("_y1").alias("y1"), "confidence")
 
 
 def adjacent(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
-from maskwright.operators import masking, pages, review, spatial
+from maskwright.operators import image, masking, pages, review, spatial, words
 from maskwright.plans import reports
 from maskwright.sources.tables import document_lines, page_text, table
 from maskwright.streaming import watch
@@ -64,9 +64,16 @@ def ipv4_detections(spark, sf_dir):
 LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST(substr({d}, i, 1) AS INTEGER) ELSE CAST(substr({d}, i, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr({d}, i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 
 
-@query(f"""WITH {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9](?:[ \\t-]?[0-9])*')) AS r FROM lines),
-cards AS (SELECT *, regexp_replace(r, '[^0-9]', '', 'g') AS d FROM runs)
-SELECT DISTINCT doc_id, line_index, r AS text FROM cards WHERE length(d) BETWEEN 13 AND 19 AND {LUHN.format(d='d')} AND replace(d, d[1], '') <> ''""")
+# The longest candidate from each number that no earlier candidate covers: runs of numbers with one blank or dash between.
+@query(f"""WITH RECURSIVE {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9](?:[ \\t-]?[0-9])*')) AS r FROM lines),
+step AS (SELECT doc_id, line_index, r AS rest, '' AS card FROM runs
+  UNION ALL
+  SELECT doc_id, line_index, CASE WHEN hit <> '' THEN ltrim(substr(rest, length(hit) + 1), ' -' || chr(9)) ELSE regexp_replace(rest, '^[0-9]+[ \\t-]?', '') END, hit
+  FROM (SELECT doc_id, line_index, rest, coalesce(list_max(list_filter(
+      list_transform(range(1, 20), lambda k: regexp_extract(rest, '^(?:[0-9]+[ \\t-]){{' || (k - 1) || '}}[0-9]+')),
+      lambda c: length(regexp_replace(c, '[^0-9]', '', 'g')) BETWEEN 13 AND 19)), '') AS hit FROM step WHERE rest <> '')),
+cards AS (SELECT doc_id, line_index, card, regexp_replace(card, '[^0-9]', '', 'g') AS d FROM step WHERE card <> '')
+SELECT DISTINCT doc_id, line_index, card AS text FROM cards WHERE {LUHN.format(d='d')} AND replace(d, d[1], '') <> ''""")
 def credit_card_detections(spark, sf_dir):
     return _found(spark, sf_dir, "credit_card")
 
@@ -78,7 +85,8 @@ def env_secret_detections(spark, sf_dir):
     return detectors.detect(_lines(spark, sf_dir), KEYS, only=["env_secret"]).select(*KEYS, "key", "text", "needs_review")
 
 
-@query(f"WITH {LINES} SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '\\+[0-9]{{1,3}}(?:[ ().-]*[0-9]){{8,14}}\\b')) AS text FROM lines")
+@query(f"""WITH {LINES}, clean AS (SELECT doc_id, line_index, regexp_replace(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\\b', ' ', 'g') AS text FROM lines)
+SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '\\+[0-9]{{1,3}}(?:[ ().-]*[0-9]){{8,14}}\\b')) AS text FROM clean""")
 def phone_detections(spark, sf_dir):
     return _found(spark, sf_dir, "phone")
 
@@ -306,6 +314,48 @@ def seed_phrase_windows(spark, sf_dir):
     return pages.seed_phrases(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], top)
 
 
+@query()
+def grouped_secrets(spark, sf_dir):
+    """Values that the words of a line make up together, over the documents as pages."""
+    keys = ["doc_id", "page"]
+    lines = pages.lay_out(table(spark, sf_dir, "documents")).where(F.col("text").rlike("[0-9@]"))
+    return words.grouped_secrets(pages.words_of(lines, keys), keys)
+
+
+@query()
+def row_phones(spark, sf_dir):
+    """Phone numbers over rows of words, over the documents as pages."""
+    keys = ["doc_id", "page"]
+    return words.phones_in_rows(pages.words_of(pages.lay_out(table(spark, sf_dir, "documents")), keys), keys).select("doc_id", "row", "text", "x0", "y0", "x1", "y1", "ocr_corrected")
+
+
+@query("""WITH s AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, c_custkey % 11 = 0 AND c_nationkey % 2 = 0 AS busy, c_custkey % 5 <> 0 OR c_nationkey % 3 = 0 AS done FROM customer),
+t AS (SELECT c_nationkey, count(*) AS n, min(CASE WHEN busy THEN k END) AS busy_at, sum(CAST(done AND NOT busy AS INTEGER)) AS d FROM s GROUP BY 1)
+SELECT c_nationkey, CASE WHEN busy_at IS NOT NULL THEN 'Processing image ' || busy_at || ' of ' || n || '...' WHEN d >= n THEN n || CASE WHEN n = 1 THEN ' image ready' ELSE ' images ready' END ELSE 'Processing image ' || (d + 1) || ' of ' || n || '...' END AS label FROM t""")
+def batch_labels(spark, sf_dir):
+    busy, done = (F.col("c_custkey") % 11 == 0) & (F.col("c_nationkey") % 2 == 0), (F.col("c_custkey") % 5 != 0) | (F.col("c_nationkey") % 3 == 0)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(busy, "processing").when(done, "completed").otherwise("queued").alias("status"))
+    return words.batch_label(rows, ["c_nationkey"], "c_custkey")
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS INTEGER)))) AS v FROM embeddings)
+SELECT vec_id, CAST(list_min(v) AS DOUBLE) AS lowest, CAST(list_max(v) AS DOUBLE) AS highest, list_sum(v) / len(v) AS mean, round(sqrt(greatest(list_sum(list_transform(v, lambda x: x * x)) / len(v) - (list_sum(v) / len(v)) * (list_sum(v) / len(v)), 0)), 4) AS sd, len(list_filter(v, lambda x: x < 128)) / len(v) AS foreground FROM p""")
+def gray_statistics(spark, sf_dir):
+    """Gray statistics of the embeddings read as pictures of 8 x 8 pixels."""
+    gray = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127).cast("int"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("p")).withColumn("s", image.gray_stats(F.col("p")))
+    return rows.select("vec_id", F.col("s.min").alias("lowest"), F.col("s.max").alias("highest"), "s.mean", F.round("s.sd", 4).alias("sd"), "s.foreground")
+
+
+@query()
+def prepared_images(spark, sf_dir):
+    """The embeddings as pictures, thresholded by their surroundings."""
+    gray = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127).cast("int"))))
+    packed = F.unhex(F.array_join(F.transform(gray, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), packed.alias("pixels"))
+    return image.prepare(rows, "adaptive").select("id", "width", "height", F.md5("pixels").alias("pixels_md5"), "error")
+
+
 # --- masking ---------------------------------------------------------------------------------------------------------------
 
 
