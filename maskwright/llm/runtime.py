@@ -106,3 +106,12 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def bounded_broadcast(small: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``small`` marked for broadcast only where its counted rows stay under the bound; else joined by shuffle."""
     return F.broadcast(small) if rows <= most else small
+
+
+def hash_sample(df: DataFrame, rows: int, wanted: int, seed: int, *columns: str) -> DataFrame:
+    """About twice ``wanted`` of the ``rows`` rows of ``df``, or all of a small table, drawn by a hash of ``columns``.
+
+    Callers cut the rest with a limit: what a task sends on is a share of its rows, and never ``wanted`` from each.
+    """
+    share = min(1.0, (2 * wanted + 64) / max(rows, 1))
+    return df.where(F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
