@@ -150,8 +150,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
 
         size = 0
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
                 for doc, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                     ids.append(doc)
                     held.append(np.concatenate([found, end]))

@@ -64,8 +64,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
     def cut(batches):
         coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
                 docs, starts, lengths, totals, ids = [], [], [], [], []
                 for doc, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                     all_ids = np.concatenate([found, end]).astype("<u4")
@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16384) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 8192) -> DataFrame:
     """``pieces`` (length in 1..capacity, any other columns) with sequence_id and offset."""
     stages = Stages(pieces.sparkSession, "packing")
     rows = stages.write(without(pieces, "sequence_id", "offset", "grp", "rid").withColumn("rid", F.monotonically_increasing_id()), "pieces")

@@ -16,8 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in each Python worker
-
 # White space of the Unicode standard outside ASCII, and the four ASCII separators that only some engines count.
 RARE_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -50,7 +48,9 @@ def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Encoder:
     """ids of whole texts; ``most`` bounds the distinct stretches remembered by a worker."""
 
-    def __init__(self, tokenizer: str | Tokenizer, cuts: Callable = word_cuts, rare: str | None = RARE_SPACE, most: int = 600_000):
+    def __init__(self, tokenizer: str | Tokenizer, cuts: Callable = word_cuts, rare: str | None = RARE_SPACE, most: int = 800_000, threads: int = 1):
+        # The library reads this once a process; a worker's first encoder decides.
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cuts, self.rare, self.most = cuts, rare, most
