@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.graph import connected_components
-from maskwright.llm.runtime import Stages, add_columns, without
+from maskwright.llm.runtime import Stages, add_columns, hash_sample, without
 
 BITS = 64
 BLOCK = 1 << 16  # shingles counted at a time, which bounds memory for very long texts
@@ -132,7 +132,7 @@ def allocate(costs: list[dict[int, float]], budget: int) -> tuple[float, list[in
 def plan_parts(fps: DataFrame, tau: int, sample: int = 4096, choices: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part. Candidate counts are estimated from at most ``sample`` fingerprints, in hash order."""
     n, moments = bit_moments(fps)
-    rows = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    rows = hash_sample(fps.select("fp"), n, sample, 2, "fp").orderBy(F.xxhash64("fp", F.lit(2)), "fp").limit(sample).collect()
     seen = np.array([r.fp for r in rows], np.int64).view(np.uint64)
     i, j = np.triu_indices(len(seen), 1)
     differ = seen[i] ^ seen[j]
@@ -151,7 +151,7 @@ def plan_parts(fps: DataFrame, tau: int, sample: int = 4096, choices: tuple[int,
                 pairs = (int((apart <= t).sum()) + 0.5) * scale if len(differ) else 0.0
                 cost[t] = n * (1 + ball[t]) + pairs
             costs.append(cost)
-        if -parts <= tau - parts + 1 <= parts * min(tau, 2):
+        if -parts <= tau - parts + 1 <= 2 * parts:
             cost, chosen = allocate(costs, tau - parts + 1)
             options.append((cost, parts, [(b, t) for b, t in zip(groups, chosen) if t >= 0]))
     return min(options)[2]
@@ -172,8 +172,8 @@ def _labelled(keys, part: int):
 
 def linked_pairs(fps: DataFrame, stages: Stages, tau: int = 2, hot: int = 256) -> DataFrame:
     """Pairs (src < dst) of distinct fingerprints at Hamming distance 1..tau. ``fps``: one row per fingerprint."""
-    if tau > 2:
-        raise ValueError("probing enumerates at most two flipped bits")
+    if not 0 <= tau <= 8:
+        raise ValueError("probing enumerates at most two flipped bits of a part, which serves distances up to eight")
     parts = plan_parts(fps, tau)
     fp = F.col("fp")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau

@@ -42,16 +42,16 @@ def test_query_matches_brute_force(spark):
     assert [r.component_id for r in rows] == slow_components([d.doc_id for d in docs], fps)
 
 
-@pytest.mark.parametrize("hot", [1, 4, 1000])
-def test_links_are_exact_even_in_hot_buckets(spark, hot):
+@pytest.mark.parametrize("hot, tau", [(1, 2), (4, 2), (1000, 2), (2, 5), (1000, 5), (3, 0), (2, 8)])
+def test_links_are_exact_even_in_hot_buckets(spark, hot, tau):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    near = [int(b) ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 4))) for b in base for _ in range(12)]
+    near = [int(b) ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, tau + 2))) for b in base for _ in range(12)]
     fps = sorted({int(x) for x in base} | set(near))
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    got = {tuple(sorted((r.src % (1 << 64), r.dst % (1 << 64)))) for r in simhash.linked_pairs(df, Stages(spark, "t"), hot=hot).collect()}
-    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
-    assert got == want and len(want) > 100
+    got = {tuple(sorted((r.src % (1 << 64), r.dst % (1 << 64)))) for r in simhash.linked_pairs(df, Stages(spark, "t"), tau, hot).collect()}
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= tau}
+    assert got == want and (len(want) > 100 or tau == 0)
 
 
 def test_thresholds_sum_to_the_budget():
