@@ -13,6 +13,7 @@ Ties go to the first language in alphabetical order. Extra columns pass through;
 from __future__ import annotations
 
 import dataclasses
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -133,17 +134,16 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, most: int = 4000) -> Model | None:
-    """Fits on about ``per_language`` labelled rows a language, ``most`` in all, in the order of a hash of the id."""
+    """Fits on about ``per_language`` labelled rows a language, ``most`` in all, drawn by a hash of the id."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
-    at = F.xxhash64("doc_id", F.lit(6))
-    share = F.lit(0.0)
     quota = max(1, min(per_language, most // len(counts)))
-    part = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))]), F.col("lang"))
-    share = F.coalesce(part, share)
-    chosen = rows.where(F.pmod(at, F.lit(1 << 30)) < share * (1 << 30)).orderBy(at, "doc_id").limit(most).select("lang", "text").collect()
+    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))])
+    # The shares bound what is drawn to about ``quota`` rows a language; the limit holds where one id has many rows.
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)) * (1 << 30))
+    chosen = sorted(drawn.limit(2 * most).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))[:most]
     return fit([r.text for r in chosen], [r.lang for r in chosen]) if chosen else None
 
 

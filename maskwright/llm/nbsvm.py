@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.language_id import held_out
-from maskwright.llm.runtime import add_columns, keep_rows
+from maskwright.llm.runtime import add_columns, hash_sample, keep_rows
 
 PLACES = 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -189,13 +189,17 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_class: int = 2000) -> Model:
-    """Fits on at most ``per_class`` labelled rows of each class, in the order of a hash of the id; held-out ids are never read."""
+    """Fits on at most ``per_class`` labelled rows of each class, drawn by a hash of the id; held-out ids are never read."""
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()).distinct()
-    at = F.xxhash64("doc_id", F.lit(8))
+    counts = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = [hash_sample(named.where(F.col("y") == y), n, per_class, 8, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(per_class) for y, n in sorted(counts.items())]
+    if not drawn:
+        return fit([], np.zeros(0, int))
     # At most twice per_class ids: a fixed bound, whatever the size of the tables.
-    chosen = named.where("y = 1").orderBy(at, "doc_id").limit(per_class).union(named.where("y = 0").orderBy(at, "doc_id").limit(per_class))
+    chosen = drawn[0].union(drawn[1]) if len(drawn) == 2 else drawn[0]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(at, "doc_id").limit(4 * per_class).select("text", "y").collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").limit(4 * per_class).collect()
+    found = sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     return fit([r.text for r in found], np.array([r.y for r in found], int))
 
 
