@@ -125,7 +125,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     solved = whiten @ np.linalg.solve(gram, mapped.T @ (target * weight[:, None]))
     fitted, truth = near @ solved, target.argmax(1)
     loss = {s: -np.log(_softmax(fitted * s)[np.arange(len(truth)), truth] + 1e-12).mean() for s in (1.0, 2.0, 4.0, 8.0)}
-    return Model(languages, (marks.T.astype(np.float64) @ solved).astype(np.float32), min(loss, key=loss.get))
+    return Model(languages, marks.T @ solved.astype(np.float32), min(loss, key=loss.get))
 
 
 def held_out(id_col: str = "doc_id"):

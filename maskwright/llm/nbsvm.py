@@ -172,7 +172,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         return Model(empty, empty, 0.0, 0.0, 0.5)
     if len(set(labels.tolist())) < 2:
         return Model(empty, empty, 0.0, 0.0, float(labels[0]))
-    rows = [r for a in range(0, len(texts), 128) for r in indicators(pa.array(texts[a : a + 128], pa.large_string()))]
+    rows = [r.astype(np.int32) for a in range(0, len(texts), 128) for r in indicators(pa.array(texts[a : a + 128], pa.large_string()))]
     rank = np.zeros(len(labels), int)
     for c in (0, 1):
         rank[labels == c] = np.arange((labels == c).sum())

@@ -134,22 +134,22 @@ def plan_parts(fps: DataFrame, tau: int, sample: int = 4096, choices: tuple[int,
     n, moments = bit_moments(fps)
     rows = hash_sample(fps.select("fp"), n, sample, 2, "fp").orderBy(F.xxhash64("fp", F.lit(2)), "fp").limit(sample).collect()
     seen = np.array([r.fp for r in rows], np.int64).view(np.uint64)
-    i, j = np.triu_indices(len(seen), 1)
-    differ = seen[i] ^ seen[j]
-    scale = n * (n - 1) / 2 / max(1, len(differ))
+    all_pairs = max(1, len(seen) * (len(seen) - 1) // 2)
+    scale = n * (n - 1) / 2 / all_pairs
     options = []
     for parts in choices:
         groups, costs = group_bits(n, moments, parts), []
         for bits in groups:
-            mask = np.uint64(sum(1 << b for b in bits))
-            apart = np.bitwise_count(differ & mask)
+            own = seen & np.uint64(sum(1 << b for b in bits))
+            apart = np.zeros(BITS + 1, np.int64)
+            for k in range(len(own) - 1):
+                apart += np.bincount(np.bitwise_count(own[k] ^ own[k + 1 :]), minlength=BITS + 1)
             w = len(bits)
             ball = {0: 1, 1: 1 + w, 2: 1 + w + w * (w - 1) // 2}
             cost = {-1: 0.0}
             for t in range(min(tau, 2) + 1):
-                # A few unseen pairs are allowed for: the sample can't show rates below one pair in all of its own.
-                pairs = (int((apart <= t).sum()) + 0.5) * scale if len(differ) else 0.0
-                cost[t] = n * (1 + ball[t]) + pairs
+                # Half a pair is added: the sample can't show rates below one pair in all of its own.
+                cost[t] = n * (1 + ball[t]) + (int(apart[: t + 1].sum()) + 0.5) * scale
             costs.append(cost)
         if -parts <= tau - parts + 1 <= 2 * parts:
             cost, chosen = allocate(costs, tau - parts + 1)
