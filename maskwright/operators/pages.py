@@ -107,8 +107,11 @@ def wrapped_windows(lines: DataFrame, keys: list[str], most_lines: int = 3) -> D
 
 
 def wrapped_ibans(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_index, text, compact: account numbers that end on the next line, with a sound structure once joined."""
-    pairs = wrapped_windows(lines, keys, 2).select(*keys, "line_index", F.get("texts", 0).alias("a"), F.get("texts", 1).alias("b"))
+    """keys, line_index, text, compact, parts: account numbers that end on the next line, with a sound structure once joined.
+
+    ``parts`` are the pieces: array<struct<line_index, span>>.
+    """
+    pairs = wrapped_windows(lines, keys, 2).select(*keys, "line_index", "line_indexes", F.get("texts", 0).alias("a"), F.get("texts", 1).alias("b"))
     head = F.regexp_extract("a", r"([A-Za-z]{2}[0-9]{2}(?:[ -]*[A-Za-z0-9]+)*) *$", 1)
     tail = F.regexp_extract("b", r"^([0-9][0-9A-Za-z -]*)", 1)
     rows = pairs.withColumns({"head": head, "tail": tail}).where("head <> '' and tail <> ''").withColumn("_c", T.compact_iban(F.col("head")))
@@ -116,7 +119,7 @@ def wrapped_ibans(lines: DataFrame, keys: list[str]) -> DataFrame:
     # As many characters as the country still lacks, with the blanks between them.
     shown = F.aggregate(F.split("tail", ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), lambda s, c: F.when((s["n"] >= F.col("_left")) | (c == ""), s).when(c.isin(" ", "-"), F.struct(s["n"].alias("n"), F.concat(s["s"], c).alias("s"))).otherwise(F.struct((s["n"] + 1).alias("n"), F.concat(s["s"], c).alias("s"))), lambda s: F.trim(s["s"]))
     rows = rows.withColumn("_s", shown).withColumn("compact", F.concat("_c", T.compact_iban(F.col("_s"))))
-    return rows.where(checks.iban_structure(F.col("compact"))).select(*keys, "line_index", F.concat_ws(" ", F.trim("head"), "_s").alias("text"), "compact")
+    return rows.where(checks.iban_structure(F.col("compact"))).select(*keys, "line_index", F.concat_ws(" ", F.trim("head"), "_s").alias("text"), "compact", F.arrays_zip(F.col("line_indexes").alias("line_index"), F.array(F.trim("head"), "_s").alias("span")).alias("parts"))
 
 
 def without_iban_heads(detections: DataFrame, wrapped: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
-from maskwright.operators import image, masking, pages, review, spatial, words
+from maskwright.operators import image, masking, pages, review, scan, spatial, words
 from maskwright.plans import reports
 from maskwright.sources.tables import document_lines, page_text, table
 from maskwright.streaming import watch
@@ -306,6 +306,13 @@ def placed_detections(spark, sf_dir):
     return spatial.suppress(named, keys).select(*keys, "line_index", "type", "text", "x0", "y0", "x1", "y1", "validation")
 
 
+@query()
+def scanned_pages(spark, sf_dir):
+    """The whole scan over the documents as pages: all sources, policy, duplicates and shadows removed."""
+    found = scan.scan(pages.lay_out(table(spark, sf_dir, "documents")), ["doc_id", "page"])
+    return found.select("doc_id", "page", "id", "source", "type", "rule_id", "label", "text", "line_index", "x0", "y0", "x1", "y1", "confidence", "validation", "needs_review", F.array_join("warnings", " ").alias("warnings"))
+
+
 @query()
 def seed_phrase_windows(spark, sf_dir):
     """Runs of list words in the turns; the list is the 2048 most frequent plain words of the benchmark."""
