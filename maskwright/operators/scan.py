@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, detectors, fixed
-from maskwright.functions import text as T
+from maskwright.functions.patterns import SPACE
 from maskwright.operators import pages, review, spatial, words
 from maskwright.operators.spatial import BOX
 
@@ -33,7 +33,8 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     at = [*keys, "line_index"]
     every = pages.words_of(lines, keys)
     found = detectors.detect(lines, at, rules=rules)
-    placed = [found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", "start", "hint", *HINTS)]
+    found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", "start", "hint", *HINTS)
+    placed = [found.where(F.col("start").isNotNull()), _located(found.where(F.col("start").isNull()), lines, at)]
 
     wrapped = pages.wrapped_ibans(lines, keys)
     pieces = wrapped.select(*keys, "text", "compact", F.explode("parts").alias("_p")).select(*keys, "text", "compact", "_p.line_index", "_p.span")
@@ -61,10 +62,16 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
 
 
 def _located(rows: DataFrame, lines: DataFrame, at: list[str]) -> DataFrame:
-    """Rows whose span is found in its line, with its place there."""
-    text = lines.select(*at, F.col("text").alias("_line"))
-    found = rows.drop("start").join(text, at).withColumn("start", F.instr(F.col("_line"), F.col("span")) - 1)
-    return found.where("start >= 0").drop("_line")
+    """Rows whose span is found in its line, with its place there; blanks inside the line's copy of it don't count."""
+    found = rows.drop("start").join(lines.select(*at, F.col("text").alias("_line")), at)
+    bare = lambda c: F.regexp_replace(c, f"{SPACE}+", "")
+    solid = SPACE.replace("[", "[^", 1)
+    upto = lambda n, tail: F.length(F.call_function("regexp_extract", F.col("_line"), F.concat(F.lit(f"^((?:{SPACE}*{solid}){{"), n.cast("string"), F.lit("}" + tail + ")")), F.lit(1)))
+    found = found.withColumns({"_whole": F.instr(F.col("_line"), F.col("span")), "_bare": F.instr(bare(F.col("_line")), bare(F.col("span")))}).where("_bare > 0")
+    first = F.when(F.col("_whole") > 0, F.col("_whole") - 1).otherwise(upto(F.col("_bare") - 1, f"{SPACE}*"))
+    last = F.when(F.col("_whole") > 0, F.col("_whole") - 1 + F.length("span")).otherwise(upto(F.col("_bare") - 1 + F.length(bare(F.col("span"))), ""))
+    placed = found.withColumns({"start": first, "_end": last})
+    return placed.withColumn("span", F.expr("substring(_line, start + 1, _end - start)")).drop("_line", "_whole", "_bare", "_end")
 
 
 def redact(lines: DataFrame, keys: list[str], style: str = "blackout", confirmed: bool = False, **limits) -> DataFrame:

@@ -32,7 +32,8 @@ def grouped_secrets(words: DataFrame, keys: list[str], most: int = 12) -> DataFr
     spaced, glued = F.col("spaced"), F.col("text")
     iban = spaced.rlike(f"^(?:{spelled(fixed.IBAN)}|{spelled(fixed.IBAN_DAMAGED)})$") & checks.iban_structure(spaced)
     card = spaced.rlike(f"^{fixed.CARD}$") & checks.luhn(spaced) & ~checks.repeated_digit(spaced)
-    email = glued.rlike(f"^{fixed.EMAIL}$")
+    # Words beside an address that is whole by itself don't belong to it.
+    email = glued.rlike(f"^{fixed.EMAIL}$") & ((F.col("n_words") == 1) | ~spaced.rlike(fixed.EMAIL))
     number = T.correct_digits(glued)
     tckn = spaced.rlike(r"^[0-9OoIl|SsBb ]+$") & number.rlike("^[0-9]{11}$") & checks.tckn(number)
     kind = F.when(iban, "custom_rule").when(card, "credit_card").when(email, "email").when(tckn, "tckn")

@@ -7,11 +7,10 @@ def test_scan_of_a_page(spark):
     text = ["mail a.b@ex.com or call +90 532 123 45 67", "card 4111 1111 1111 1111", "pay TR33 0006 1005", "1978 6457 8413 26 soon", "Authorization: Bearer abcdef", "ghijklmnop123456", "Session ID: sess_abc 123456", "id REF-12345 end"]
     lines = pages.lay_out(spark.createDataFrame([(1, "\n".join(text)), (2, "nothing here"), (3, None)], "doc_id long, text string"))
     rows = scan.scan(lines, K).collect()
-    got = {(r.doc_id, r.type, r.text) for r in rows}
-    assert got == {
+    assert {(r.doc_id, r.type, r.text) for r in rows} == {
         (1, "email", "a.b@ex.com"), (1, "phone", "+90 532 123 45 67"), (1, "credit_card", "4111 1111 1111 1111"), (1, "custom_rule", "TR33 0006 1005 1978 6457 8413 26"),
         (1, "bearer_token", "Bearer abcdefghijklmnop123456"), (1, "session_id", "sess_abc123456"), (1, "custom_rule", "REF-12345"),
-    } or {t for _, t, _ in got} >= {"email", "phone", "credit_card", "custom_rule", "bearer_token"}
+    }
     iban = [r for r in rows if r.rule_id == "iban"]
     assert {r.line_index for r in iban} == {2, 3} and all(r.validation == "checksum" for r in iban)
     assert len([r for r in rows if r.type == "phone"]) == 1 and len([r for r in rows if r.type == "credit_card"]) == 1
