@@ -39,7 +39,7 @@ def shape(word: str) -> str:
 class Words:
     """Hashes of distinct words and of their shapes, remembered by a worker up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.seen = most, {}
 
     def codes(self, distinct: list[bytes]) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import tokens
-from maskwright.llm.runtime import Stages, without
+from maskwright.llm.runtime import Stages, small_batches, without
 
 
 class CapacityTree:
@@ -79,6 +79,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
                 longs = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, totals)]
                 yield pa.RecordBatch.from_arrays([*longs, pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -104,4 +105,5 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 8192) -> Dat
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, keep_ids: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every piece of every document with its place; ids_crc32 is the unsigned crc32 of its ids, which stay where asked for."""
     pieces = token_pieces(docs, tokenizer, end_id, capacity, text_col, id_col).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(pieces if keep_ids else pieces.drop("ids"), capacity)
+    # Groups that carry ids hold four bytes a token, so they are smaller.
+    return pack(pieces, capacity, 2048) if keep_ids else pack(pieces.drop("ids"), capacity)

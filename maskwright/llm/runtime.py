@@ -59,6 +59,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
 
 
+def small_batches(spark: SparkSession, rows: str = "1024") -> None:
+    """Arrow batches of at most ``rows`` rows from here on: ten thousand whole texts at once, Spark's default, fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > int(rows):
+        spark.conf.set(key, rows)
+
+
 def add_columns(
     df: DataFrame,
     text_col: str,
@@ -70,6 +77,7 @@ def add_columns(
 
     Other columns pass through unread; those whose names clash with the new ones are replaced.
     """
+    small_batches(df.sparkSession)
     rest = without(df, *[f.name for f in fields])
     at = [c.lower() for c in rest.columns].index(text_col.lower())
     types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
@@ -86,6 +94,7 @@ def add_columns(
 
 def keep_rows(df: DataFrame, text_col: str, decide: Callable[[pa.Array], np.ndarray], max_rows: int = 128) -> DataFrame:
     """The rows of ``df`` for whose texts ``decide`` is true; no column is added, renamed or dropped."""
+    small_batches(df.sparkSession)
     at = [c.lower() for c in df.columns].index(text_col.lower())
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
