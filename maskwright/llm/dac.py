@@ -130,7 +130,7 @@ class Segment:
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_col: str = "text", id_col: str = "doc_id", segment_tokens: int = 1 << 18) -> None:
     """Encodes every text of ``docs``, appends ``end_id``, and writes segments in ascending id order under ``path``."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2048)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "t")
@@ -190,5 +190,5 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                     out.append(pa.array([p.tolist() for p in pieces], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    small_batches(spark, "64")
+    small_batches(spark, 64)
     return read_segments(spark, path).select("first", "doc_ids", "lengths", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -59,11 +59,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
 
 
-def small_batches(spark: SparkSession, rows: str = "1024") -> None:
-    """Arrow batches of at most ``rows`` rows from here on: ten thousand whole texts at once, Spark's default, fill a worker."""
+_batch_rows = {"10000"}  # Spark's default, and what this module has set
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of ``rows`` rows for plans that run next: ten thousand whole texts at once fill a worker.
+
+    A value that the session's owner chose stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > int(rows):
-        spark.conf.set(key, rows)
+    if spark.conf.get(key) in _batch_rows:
+        _batch_rows.add(str(rows))
+        spark.conf.set(key, str(rows))
 
 
 def add_columns(
