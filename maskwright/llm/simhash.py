@@ -34,13 +34,13 @@ BITS = 64
 BLOCK = 1 << 16  # shingles counted at a time, which bounds memory for very long texts
 
 
-def fingerprint(raw: bytes, width: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of one UTF-8 text."""
+def shingle_hashes(raw: bytes, width: int = 3):
+    """Arrays of the XXH64 hashes of a UTF-8 text's word shingles, repeats included, ``BLOCK`` at a time; none for a blank text."""
     flat = np.frombuffer(raw.lower(), np.uint8)
     blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
     solid = ~blank
     if not solid.any():
-        return 0
+        return
     # One space before every word, none elsewhere: shingles become slices of a single byte string.
     first = solid.copy()
     first[1:] &= blank[:-1]
@@ -55,12 +55,19 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
     text = np.where(blank, np.uint8(32), flat)[keep].tobytes()
     k = min(width, len(begins))
     n = len(begins) - k + 1
-    ones, hashed = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    hashed = xxhash.xxh64_intdigest
     for lo in range(0, n, BLOCK):
         hi = min(lo + BLOCK, n)
-        found = np.array([hashed(text[a:b], 42) for a, b in zip(begins[lo:hi], ends[lo + k - 1 : hi + k - 1])], "<u8")
+        yield np.array([hashed(text[a:b], 42) for a, b in zip(begins[lo:hi], ends[lo + k - 1 : hi + k - 1])], "<u8")
+
+
+def fingerprint(raw: bytes, width: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of one UTF-8 text."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for found in shingle_hashes(raw, width):
         ones += np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        n += len(found)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
