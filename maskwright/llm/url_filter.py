@@ -23,20 +23,32 @@ from maskwright.llm.runtime import without
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-SEGMENTS = 3  # leading path segments that a prefix entry may name
+SEGMENTS = 3  # leading path segments of ``url_parts``; ``evaluate`` takes as many as the longest prefix entry has
 
 
-def url_parts(captures: DataFrame, url_col: str = "url") -> DataFrame:
+def url_parts(captures: DataFrame, url_col: str = "url", most: int = SEGMENTS) -> DataFrame:
     """``captures`` with host (null where there is none) and path (its first segments, without a final slash)."""
     host = F.rtrim(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit("."))
     segments = F.filter(F.split(F.regexp_extract(F.col(url_col), PATH, 1), "/"), lambda s: s != "")
     parts = without(captures, "host", "path").withColumn("host", F.when(host != "", host))
-    return parts.withColumn("path", F.when(F.col("host").isNotNull(), F.array_join(F.slice(segments, 1, SEGMENTS), "/")))
+    return parts.withColumn("path", F.when(F.col("host").isNotNull(), F.array_join(F.slice(segments, 1, most), "/")))
+
+
+def entry_key():
+    """An entry's key with its host in lower case; paths keep their case, as those of captures do."""
+    host = F.substring_index("key", "/", 1)
+    return F.when(F.col("kind") == "prefix", F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))).otherwise(F.lower("key"))
+
+
+def longest_prefix(entries: DataFrame) -> int:
+    """Path segments of the longest prefix entry, 1 at least."""
+    found = entries.where("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0]
+    return max(1, found or 0)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, key, category, valid_from, valid_to (exclusive; null: still valid) of every addition."""
-    daily = entries.where(F.col("key").isNotNull() & F.col("day").isNotNull()).groupBy("kind", F.lower("key").alias("key"), "category", "day").agg(F.max("action").alias("action"))
+    daily = entries.where(F.col("key").isNotNull() & F.col("day").isNotNull()).groupBy("kind", entry_key().alias("key"), "category", "day").agg(F.max("action").alias("action"))
     # At most one row a day for each key, so a window partition is bounded by the calendar.
     following = F.lead("day").over(Window.partitionBy("kind", "key", "category").orderBy("day"))
     return daily.withColumn("valid_to", following).where("action = 'add'").select("kind", "key", "category", F.col("day").alias("valid_from"), "valid_to")
@@ -53,7 +65,7 @@ def candidate_keys():
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
     """``captures`` with host, hits (entries active on the fetch day), categories (sorted, comma-separated) and blocked."""
-    rows = url_parts(without(captures, "hits", "categories", "blocked"), url_col)
+    rows = url_parts(without(captures, "hits", "categories", "blocked"), url_col, longest_prefix(entries))
     day = F.col(day_col)
     asked = rows.where(F.col("host").isNotNull() & day.isNotNull()).select("host", "path", day.alias("day")).distinct()
     wanted = asked.select("host", "path", "day", F.trunc("day", "month").alias("month"), F.inline(candidate_keys()))

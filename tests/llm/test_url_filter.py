@@ -26,6 +26,13 @@ def test_entries_hold_between_addition_and_removal(spark):
     assert url_filter.evaluate(c.union(c), e).where("blocked").count() == 8
 
 
+def test_prefix_entries_keep_their_path_and_may_be_long(spark):
+    entries = [("prefix", "Ok.example/News", "a", "add", day(0)), ("prefix", "ok.example/a/b/c/d/e", "b", "add", day(0)), ("domain", "WWW.x.example", "c", "add", day(0))]
+    urls = ["http://OK.example/News/1", "http://ok.example/news/1", "http://ok.example/a/b/c/d/e/f", "http://ok.example/a/b/c/d", "http://www.X.example/"]
+    found, _, _ = run(spark, [(i, u, day(3), None) for i, u in enumerate(urls)], entries)
+    assert {k: r.categories for k, r in found.items() if r.blocked} == {0: "a", 2: "b", 4: "c"}
+
+
 def test_query_matches_sql(spark):
     at = "/root/testdata/sf0.001"
     con = duckdb.connect()
