@@ -7,7 +7,8 @@ regression for each language against the rest. As the kernel is linear in presen
 into one weight matrix, and a batch of texts is scored by one matrix product.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; the same where no row can be learned from.
-Ties go to the first language in alphabetical order. Extra columns pass through; those named like an output are replaced.
+Ties go to the first language in alphabetical order. NUL and other characters that are no letters only part words. Very long texts
+count whole, half a million characters at a time. Repeated rows are each scored alike; an empty table gives an empty result. Extra columns pass through; those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.runtime import add_columns, keep_rows
+from maskwright.llm.runtime import add_columns, draw, keep_rows
 
 PLACES = 1 << 16
 ORDERS = 4
@@ -39,8 +40,10 @@ def presence(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), PLACES), np.uint8)
     flat, letter = out.reshape(-1), _is_letter()
     for lo, hi in _spans([len(t) for t in texts]):
-        points = np.frombuffer("\0".join(t.lower() for t in texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.cumsum(points == 0) + lo if hi - lo > 1 else np.full(len(points), lo)
+        lower = [t.lower() for t in texts[lo:hi]]
+        # A separator ends every text; lower-casing may change a text's length.
+        points = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(lo, hi), [len(t) + 1 for t in lower])
         is_letter = letter[points]
         # Runs of anything else become one blank.
         keep = is_letter.copy()
@@ -133,17 +136,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, most: int = 4000) -> Model | None:
-    """Fits on about ``per_language`` labelled rows a language, ``most`` in all, drawn by a hash of the id."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, most: int = 4000, most_bytes: int = 64 << 20) -> Model | None:
+    """Fits on about ``per_language`` labelled rows a language, ``most`` rows and ``most_bytes`` of text in all, drawn by a hash of the id."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     quota = max(1, min(per_language, most // len(counts)))
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))])
-    # The shares bound what is drawn to about ``quota`` rows a language; the limit holds where one id has many rows.
+    # The shares bound what is drawn to about ``quota`` rows a language; the limits hold where one id has many rows.
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)) * (1 << 30))
-    chosen = sorted(drawn.limit(2 * most).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))[:most]
+    chosen = draw(drawn, [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"), F.col("lang"), F.xxhash64("text")], most, most_bytes)
+    chosen = sorted(chosen, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.text))
     return fit([r.text for r in chosen], [r.lang for r in chosen]) if chosen else None
 
 

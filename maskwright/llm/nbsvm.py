@@ -6,7 +6,8 @@ shares in the two classes, texts are brought to unit length, and a linear hinge-
 descent (Hsieh et al., 2008). Platt scaling on the sample's withheld quarter turns margins into scores.
 
 Defined results: a null, empty or blank text has no indicators and scores as margin 0; without labels every score is
-0.5, with one class only 0 or 1. Extra columns pass through; those named like an output column are replaced.
+0.5, with one class only 0 or 1. A place counts once in a text however often its n-gram occurs, so very long texts need no
+more room than the 131,072 places. Repeated rows are each scored alike; an empty table gives an empty result. Extra columns pass through; those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.language_id import held_out
-from maskwright.llm.runtime import add_columns, hash_sample, keep_rows
+from maskwright.llm.runtime import add_columns, draw, hash_sample, keep_rows
 
 PLACES = 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -188,17 +189,22 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_class: int = 2000) -> Model:
-    """Fits on at most ``per_class`` labelled rows of each class, drawn by a hash of the id; held-out ids are never read."""
-    named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()).distinct()
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_class: int = 2000, most_bytes: int = 64 << 20) -> Model:
+    """Fits on at most ``per_class`` labelled ids of each class, twice that many rows and ``most_bytes`` of text in all, drawn by a hash of the id.
+
+    Held-out ids are never read; ids with both labels are not learned from.
+    """
+    named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
+    named = named.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
     counts = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    drawn = [hash_sample(named.where(F.col("y") == y), n, per_class, 8, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(per_class) for y, n in sorted(counts.items())]
+    order = [F.xxhash64("doc_id", F.lit(8)), F.col("doc_id")]
+    drawn = [hash_sample(named.where(F.col("y") == y), n, per_class, 8, "doc_id").orderBy(*order).limit(per_class) for y, n in sorted(counts.items())]
     if not drawn:
         return fit([], np.zeros(0, int))
     # At most twice per_class ids: a fixed bound, whatever the size of the tables.
     chosen = drawn[0].union(drawn[1]) if len(drawn) == 2 else drawn[0]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(chosen), "doc_id").limit(4 * per_class).collect()
+    found = draw(texts.join(F.broadcast(chosen), "doc_id"), [*order, F.xxhash64("text")], 4 * per_class, most_bytes)
     found = sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     return fit([r.text for r in found], np.array([r.y for r in found], int))
 

@@ -5,8 +5,9 @@ The remainders are dealt to groups by a hash of a stored row number, so no key c
 ``group_rows`` is packed by first-fit decreasing. The first bin with room is found in a tournament tree over
 bin capacities: the root knows the largest free room, and a descent to the left where it suffices takes log n steps.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives an empty
-result; extra columns of the pieces table pass through the packing.
+Defined results: a null or empty text is its end id alone; a very long text becomes many full pieces and one remainder;
+repeated rows are packed each; equal lengths are placed in the order of their row numbers; an empty table gives an empty result;
+extra columns of the pieces table pass through the packing, those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import tokens
-from maskwright.llm.runtime import Stages, small_batches, without
+from maskwright.llm.runtime import Stages, without
 
 
 class CapacityTree:
@@ -79,7 +80,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
                 longs = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, totals)]
                 yield pa.RecordBatch.from_arrays([*longs, pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 

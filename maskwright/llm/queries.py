@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, robust_quality, sentencepiece_codec, sharding, simhash, url_filter
-from maskwright.llm.runtime import Stages
+from maskwright.llm.runtime import Stages, small_batches
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded: token counts, digest of the ids, and whether the text came back."""
+    """Every document encoded and decoded: token counts, digest of the ids, whether the text came back, and parity where it was compared."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = sentencepiece_codec.digest_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    return found.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip")
+    return found.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "parity")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH parts AS (
   SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetch_day,
-    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '.'), '') AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:3] AS segs
   FROM pages),
 hosts AS (SELECT host, min(page_id) AS f FROM parts WHERE host IS NOT NULL GROUP BY host),
@@ -105,8 +106,9 @@ FROM parts LEFT JOIN met USING (page_id)
 
 def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as directly addressable codes on disk, read back: doc_id, start, n_tokens, ids_crc32."""
-    path = Stages(spark, "dac").path("corpus")
-    dac.write_corpus(_table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    path, docs = Stages(spark, "dac").path("corpus"), _table(spark, sf_dir, "documents")
+    small_batches(spark, 2048)
+    dac.write_corpus(docs, path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
     return dac.read_documents(spark, path)
 
 
@@ -136,10 +138,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 8 and its slot there, under the law of equal row counts."""
-    found = sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
+    """Every document's shard of 8 and its slot there, under the law of equal row counts. Texts are digested before rows move."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return found.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("tie"))
+    found = sharding.assign(docs, shards=8, tie=F.col("tie"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,21 @@
 Base statistics come from whole texts; words are ``[^\\x20\\x09-\\x0D]+``. A repeated window is an 8-word window whose
 64-bit hash occurs twice or more in the text; all positions that such windows cover count, the first included.
 
-Documents that pass the base rules become vectors of four transformed statistics: log mean word length, and the square
-roots of the shares of symbols, of repeated lines and of words in repeated windows. For every language and source a
+Documents that pass the base rules become vectors of four transformed statistics: log mean word length, the square root of
+the share of symbols, and the shares of repeated lines and of words in repeated windows. For every language and source a
 minimum-covariance-determinant estimate is sought as FAST-MCD does: several small random subsets start, concentration
-steps keep the closest three quarters, the start with the least determinant goes on. A step is one aggregation: moments
-are summed by distance bin (partial sums before the shuffle, a fixed number of bins a group), and a running sum over the bins
-finds the subset. Whole bins are kept, so the result doesn't depend on row order. Variances have a floor, as most shares are zero in
-clean text. Groups with fewer than ``least_rows`` vectors use their language's estimate, or else the table's.
-
-Defined results: a null text counts as empty and fails the base rules; null languages and sources are groups of their own;
-repeated rows are each returned; an empty table gives an empty result; extra columns are ignored.
+steps keep the closest three quarters, the start with the least determinant goes on until its determinant falls no further. A
+step is one aggregation: moments are summed by distance bin (partial sums before the shuffle, a fixed number of bins a group), and
+a running sum over the bins finds the subset. The last bin counts with the share that completes three quarters exactly, so
+determinants are compared over equal weights and the result doesn't depend on row order. Variances have a floor, as most
+shares are zero in clean text: each floor is a fifth of the value at which a statistic alone rejects in a group where it never varies.
+
+Groups with fewer than ``least_rows`` vectors use their language's estimate, or else the table's; those are fitted on all
+vectors of the language or the table, and only where some group needs them.
+
+Defined results: a null text counts as empty and fails the base rules; null languages and sources are groups of their own, and so
+is the whole table where those columns are missing; very long texts count whole; repeated rows are each returned; a distance equal to
+the cutoff is kept; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 Z = ["z1", "z2", "z3", "z4"]
-FLOORS = [0.10, 0.06, 0.20, 0.20]  # least standard deviation of each statistic: a boilerplate line or two is no outlier
+FLOORS = [0.10, 0.06, 0.06, 0.05]  # least standard deviations: 30 % repeated lines or 25 % repeated words are outliers by themselves
 CUTOFF = 25.0  # squared distance; about the 0.99995 quantile of chi-squared with four degrees of freedom
 SHARE = 0.75  # of a group's vectors in the concentrated subset
 BINS = 8  # distance bins for each factor of e
@@ -64,9 +69,9 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vectors() -> list[Column]:
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     length = F.log(F.greatest(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), F.lit(0.5)))
-    return [length.alias("z1"), share("n_symbols", "word_chars").alias("z2"), share("n_dup_lines", "n_lines").alias("z3"), share("n_repeat_words", "n_words").alias("z4")]
+    return [length.alias("z1"), F.sqrt(share("n_symbols", "word_chars")).alias("z2"), share("n_dup_lines", "n_lines").alias("z3"), share("n_repeat_words", "n_words").alias("z4")]
 
 
 def consistency() -> float:
@@ -106,30 +111,41 @@ def sums() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(4)], *[F.sum(z[i] * z[j]).alias(f"q{i}{j}") for i, j in PAIRS]]
 
 
-def concentrate(points: DataFrame, params: DataFrame, groups: int, stages: Stages, name: str) -> DataFrame:
+def concentrate(points: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """One concentration step of every (grp, start) in ``params``."""
     held = params.select("grp", "start", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i, j in PAIRS])
     near = with_distance(points.join(bounded_broadcast(held, groups), "grp"))
     bins = near.groupBy("grp", "start", F.floor(F.log(F.col("d2") + 1e-9) * BINS).alias("bin")).agg(*sums())
     run = Window.partitionBy("grp", "start").orderBy("bin")
     whole = Window.partitionBy("grp", "start")
-    kept = bins.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < F.ceil(SHARE * F.col("all")))
-    total = kept.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(4)], *[f"q{i}{j}" for i, j in PAIRS]]])
-    return stages.write(estimates(total, ["grp", "start"], consistency()), name)
+    need = F.ceil(SHARE * F.sum("n").over(whole)) - (F.sum("n").over(run) - F.col("n"))
+    kept = bins.withColumn("share", F.least(F.lit(1.0), need / F.col("n"))).where("share > 0")
+    total = kept.groupBy("grp", "start").agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in ["n", *[f"s{i}" for i in range(4)], *[f"q{i}{j}" for i, j in PAIRS]]])
+    return estimates(total, ["grp", "start"], consistency())
+
 
+def group_names(points: DataFrame, stages: Stages, least_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(``points`` with ``grp``, the estimate that judges each; the vectors that each estimate is fitted on; the number of estimates).
 
-def group_names(points: DataFrame, stages: Stages, least_rows: int) -> tuple[DataFrame, int]:
-    """``points`` with ``grp``: language and source, the language, or everything, whichever first has enough rows."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source"))
+    Estimates are of a language and source, of a language, or of everything, whichever is the first with enough rows.
+    """
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source"))
     keyed = points.withColumns({"_l": lang, "_s": source})
     counts = keyed.groupBy("_l", "_s").count()
     by_lang = counts.groupBy("_l").agg(F.sum("count").alias("of_lang"))
-    grp = F.when(F.col("count") >= least_rows, F.concat_ws("\t", "_l", "_s")).when(F.col("of_lang") >= least_rows, F.col("_l")).otherwise("*")
+    own, language = F.concat(F.lit("s"), F.to_json(F.array("_l", "_s"))), F.concat(F.lit("l"), F.to_json(F.array("_l")))
+    grp = F.when(F.col("count") >= least_rows, own).when(F.col("of_lang") >= least_rows, language).otherwise("*")
     names = stages.write(counts.join(by_lang, "_l").select("_l", "_s", grp.alias("grp")), "groups")
-    return keyed.join(bounded_broadcast(names, names.count()), ["_l", "_s"]).drop("_l", "_s"), names.select("grp").distinct().count()
+    used = stages.write(names.select("grp").distinct(), "used")
+    # A group's rows feed its own estimate, its language's and the table's, as far as those judge anything.
+    feeds = stages.write(names.select("_l", "_s", F.explode(F.array(own, language, F.lit("*"))).alias("grp")).join(used, "grp", "left_semi"), "feeds")
+    sizes = names.count()
+    judged = keyed.join(bounded_broadcast(names, sizes), ["_l", "_s"]).drop("_l", "_s")
+    fitted = keyed.join(bounded_broadcast(feeds, 3 * sizes), ["_l", "_s"]).select("doc_id", "grp", *Z)
+    return judged, fitted, used.count()
 
 
-def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int = 6, first_steps: int = 2, last_steps: int = 3) -> DataFrame:
+def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int = 6, first_steps: int = 2, most_steps: int = 20) -> DataFrame:
     """One row of estimates for each grp of ``points`` (doc_id, grp, z1..z4)."""
     sizes = stages.write(points.groupBy("grp").agg(F.count("*").alias("rows")), "sizes")
     sized = points.join(bounded_broadcast(sizes, groups), "grp")
@@ -138,21 +154,30 @@ def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int
     chosen = sized.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts)))).where((F.col("start") == 0) | draw(F.col("start")))
     params = stages.write(estimates(chosen.groupBy("grp", "start").agg(*sums()), ["grp", "start"], 1.0), "starts")
     for k in range(first_steps):
-        params = concentrate(points, params, groups * (starts + 1), stages, f"first{k}")
+        params = stages.write(concentrate(points, params, groups * (starts + 1)), f"first{k}")
     best = params.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
     params = params.join(best, ["grp", "start"])
-    for k in range(last_steps):
-        params = concentrate(points, params, groups, stages, f"last{k}")
+    for k in range(most_steps):
+        # Bins are coarse, so a determinant may rise by a little: a group keeps the better estimate, and rests once none falls.
+        new = concentrate(points, params, groups).join(params.select("grp", F.col("logdet").alias("had")), "grp")
+        step = stages.write(new.withColumn("fell", F.col("logdet") < F.col("had") - 1e-3), f"last{k}")
+        fallen = step.where("fell").drop("had", "fell")
+        params = fallen.unionByName(params.join(fallen.select("grp"), "grp", "left_anti"))
+        if not step.where("fell").take(1):
+            break
+        params = stages.write(params, f"held{k}")
     return params.drop("start", "logdet")
 
 
 def judge(docs: DataFrame, least_rows: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed, distance (null where the base rules fail) and kept."""
     stages = Stages(docs.sparkSession, "robust-quality")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "lang", "source")
+    had = {c.lower() for c in docs.columns}
+    group = [F.col(c).alias(c) if c in had else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *group)
     stats = stages.write(base_statistics(rows).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed"), "statistics")
-    points, groups = group_names(stats.where("not base_failed").select("*", *vectors()), stages, least_rows)
-    fitted = robust_estimates(points.select("doc_id", "grp", *Z), groups, stages)
+    points, feeding, groups = group_names(stats.where("not base_failed").select("*", *vectors()), stages, least_rows)
+    fitted = robust_estimates(feeding, groups, stages)
     passed = with_distance(points.join(bounded_broadcast(fitted, groups), "grp"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = passed.select(*columns, F.col("d2").alias("distance"), (F.col("d2") <= CUTOFF).alias("kept"))

@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation: a reproducible shuffle whose shard and slot can be computed for any row.
 
-Rows are numbered 0..N-1 in ascending order of id (ties by a hash of the text). A balanced Feistel network over the next even
+Rows are numbered 0..N-1 in ascending order of id (ties by a column that the caller names, such as a hash of the text). A balanced Feistel network over the next even
 power of two permutes the numbers; values outside 0..N-1 are walked along their cycle until they fall inside, so the
 whole is a bijection. Shard = permuted number mod shards and slot = the quotient: shard sizes differ by one at most, and
 ``row_of`` inverts both without the data.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.runtime import Stages, bounded_broadcast, without
@@ -59,11 +59,14 @@ def row_of(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
     return int(permute(np.array([slot * shards + shard]), n, seed, inverse=True)[0])
 
 
-def number_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``docs`` with ``row_number`` 0..N-1 in id order, and N. The numbered rows are a written table."""
+def number_rows(docs: DataFrame, id_col: str = "doc_id", tie: Column | None = None) -> tuple[DataFrame, int]:
+    """``docs`` with ``row_number`` 0..N-1 in id order, rows of one id in the order of ``tie``, and N. The numbered rows are a written table.
+
+    All columns of ``docs`` go through the range partitioning: callers select what they need first.
+    """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    order = [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    order = [F.col(id_col), *([] if tie is None else [tie])]
     dealt = without(docs, "row_number", "_part", "_place").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = Stages(spark, "sharding").write(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "rows")
     counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
@@ -73,9 +76,9 @@ def number_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.withColumn("row_number", F.col("_first") + F.col("_place")).drop("_part", "_place", "_first"), total.n
 
 
-def assign(docs: DataFrame, shards: int = 8, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, seed: int = 9, id_col: str = "doc_id", tie: Column | None = None) -> DataFrame:
     """``docs`` with shard, slot (gapless from 0 in each shard) and law ("rows": counts are one apart at most)."""
-    rows, n = number_rows(without(docs, "shard", "slot", "law"), id_col, text_col)
+    rows, n = number_rows(without(docs, "shard", "slot", "law"), id_col, tie)
 
     @F.pandas_udf("long")
     def placed(numbers: pd.Series) -> pd.Series:

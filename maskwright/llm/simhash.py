@@ -11,8 +11,8 @@ equi-join on the masked part (and its one- or two-bit neighbours where t_i is ab
 the whole distance. Buckets over ``hot`` members are split by the same principle over the remaining bits, so that no
 link is lost and no bucket is paired in full.
 
-Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows are each
-returned; an empty table gives an empty result; extra columns are kept, those named like an output column are replaced.
+Defined results: null, empty and blank texts have fingerprint zero and link like any other; very long texts are hashed whole,
+65,536 shingles at a time; a bit set in exactly half of the hashes is 0; repeated rows are each returned; an empty table gives an empty result; extra columns are kept, those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.graph import connected_components
-from maskwright.llm.runtime import Stages, add_columns, hash_sample, without
+from maskwright.llm.runtime import Stages, add_columns, hash_sample, heavy_keys, join_spread, without
 
 BITS = 64
 BLOCK = 1 << 16  # shingles counted at a time, which bounds memory for very long texts
@@ -217,12 +217,12 @@ def near_duplicates(keyed: DataFrame, tau: int = 2, id_col: str = "doc_id") -> D
     spark = keyed.sparkSession
     stages = Stages(spark, "simhash")
     keyed = stages.write(without(keyed, "component_id", "root"), "rows")
-    fps = stages.write(keyed.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
+    fps = stages.write(keyed.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "fps")
     roots = connected_components(linked_pairs(fps, stages, tau), stages)
     named = stages.write(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("fp", "root").join(whole, "root")
-    return keyed.join(named, "fp")
+    whole = stages.write(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "whole")
+    named = join_spread(named.select("fp", "root"), whole.drop("members"), "root", heavy_keys(whole, "root", "members"))
+    return join_spread(keyed, named, "fp", heavy_keys(fps, "fp", "copies"))
 
 
 def hexed(fp):

@@ -3,12 +3,14 @@
 A text is cut where its pre-tokenizer always cuts, and each distinct stretch is encoded once per worker and looked up
 afterwards: natural text repeats its words, so most of the library's work falls away while the ids stay the same.
 Distinct stretches of a batch are found in Arrow's hash kernel; unseen ones are encoded many at a time as ready-cut
-words. Texts with white space that the cut rule doesn't know are encoded whole.
+words. Texts with white space that the cut rule doesn't know, or with a special token's string, are encoded whole, so
+that all ids are those of the library's own call with add_special_tokens=False.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,8 +54,9 @@ class Encoder:
         # The library reads this once a process; a worker's first encoder decides.
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cuts, self.rare, self.most = cuts, rare, most
+        added = [re.escape(str(t)) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        whole = [*([rare] if rare else []), *(["(?i:" + "|".join(added) + ")"] if added else [])]
+        self.cuts, self.rare, self.most = cuts, "|".join(whole) or None, most
         self._forget()
 
     def _forget(self) -> None:
@@ -87,9 +90,8 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         rare = np.asarray(pc.match_substring_regex(texts, self.rare)) if self.rare else np.zeros(len(texts), bool)
         whole = np.flatnonzero(rare)
-        if len(whole):
-            found = self.tokenizer.encode_batch([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
-            for i, e in zip(whole, found):
+        for part, rows in _by_bytes(texts.take(pa.array(whole)), whole):
+            for i, e in zip(rows, self.tokenizer.encode_batch(part.to_pylist(), add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32)
         usual = np.flatnonzero(~rare)
         for part in _by_bytes(texts.take(pa.array(usual)), usual):

@@ -8,8 +8,11 @@ The as-of join is an equi-join on (kind, key, month) with the interval as residu
 distinct (host, path, day) first, so a host with a third of all pages joins once for each of its paths and days, and
 intervals are laid out over the months up to the last capture, which grows with the calendar and not with the data.
 
+Days are the unit of time: a capture later on a day sees that day's entries, as lists name days only. Rows without a host
+skip the join, so they don't meet in one task.
+
 Defined results: a null URL, or one without a host, matches nothing; so does a null day. Hosts compare without case,
-user, port or final dot. On one day a removal outweighs an addition. Repeated captures are each returned; repeated
+user, port or final dot; an IPv6 host keeps its brackets. On one day a removal outweighs an addition. Repeated captures are each returned; repeated
 entries count once; empty captures or lists give empty or clean results; extra columns of captures pass through, those named like an
 output column are replaced.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.runtime import without
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 SEGMENTS = 3  # leading path segments of ``url_parts``; ``evaluate`` takes as many as the longest prefix entry has
 
@@ -76,6 +79,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
     met = wanted.join(by_month, ["kind", "key", "month"]).where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     verdict = met.groupBy("host", "path", "day").agg(F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     verdict = verdict.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("day").alias("_day"), "hits", "categories")
-    found = rows.join(verdict, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & (day == F.col("_day")), "left")
+    able = F.col("host").isNotNull() & day.isNotNull()
+    found = rows.where(able).join(verdict, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & (day == F.col("_day")), "left")
     kept = [F.col(f"`{c}`") for c in rows.columns if c != "path"]
-    return found.select(*kept, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("categories", F.lit("")).alias("categories"), F.col("hits").isNotNull().alias("blocked"))
+    named = found.select(*kept, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("categories", F.lit("")).alias("categories"), F.col("hits").isNotNull().alias("blocked"))
+    return named.union(rows.where(~able).select(*kept, F.lit(0).cast("long"), F.lit(""), F.lit(False)))

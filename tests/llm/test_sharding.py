@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import queries, sharding
 
@@ -34,8 +35,8 @@ def test_query_law_and_reproducibility(spark):
 
 
 def test_odd_rows_and_files(spark, odd_docs, no_docs, tmp_path):
-    rows = sharding.assign(odd_docs, shards=3)
-    assert rows.count() == odd_docs.count() and sharding.assign(no_docs).count() == 0
+    rows = sharding.assign(odd_docs.withColumns({"Shard": F.lit("x"), "slot": F.lit("y"), "law": F.lit(1), "row_number": F.lit(0)}), shards=3, tie=F.xxhash64("text"))
+    assert rows.count() == odd_docs.count() and sharding.assign(no_docs).count() == 0 and sum(c.lower() == "shard" for c in rows.columns) == 1
     assert len({(r.shard, r.slot) for r in rows.collect()}) == odd_docs.count()
     sharding.write_shards(rows, f"file://{tmp_path}/out", rows_per_file=2)
     back = spark.read.parquet(f"file://{tmp_path}/out")

@@ -18,12 +18,15 @@ def run(spark, captures, entries):
 def test_entries_hold_between_addition_and_removal(spark):
     entries = [("domain", "Bad.example", "x", "add", day(10)), ("domain", "bad.example", "x", "add", day(20)), ("domain", "bad.example", "x", "remove", day(70)), ("domain", "bad.example", "y", "add", day(70)), ("prefix", "ok.example/a/b", "z", "add", day(0)), ("domain", "twice.example", "x", "add", day(5)), ("domain", "twice.example", "x", "remove", day(5)), ("domain", None, "x", "add", day(1))]
     captures = [(1, "http://bad.example/q", day(9), "clash"), (2, "https://u:p@WWW.bad.example.:80/q?x#y", day(10), None), (3, "http://bad.example", day(69), None), (4, "http://bad.example", day(70), None), (5, "http://ok.example/a/b/c?d", day(3), None), (6, "http://ok.example/a", day(3), None), (7, None, day(3), None), (8, "http://bad.example", None, None), (9, "mailto:x", day(3), None), (10, "http://notbad.example", day(30), None), (11, "http://twice.example", day(6), None)]
+    captures += [(12, "http://[::1]:80/a", day(3), None), (13, "http://u@[2001:DB8::1]/", day(30), None)]
+    entries += [("domain", "[2001:db8::1]", "w", "add", day(0))]
     found, c, e = run(spark, captures, entries)
-    assert {k: r.categories for k, r in found.items() if r.blocked} == {2: "x", 3: "x", 4: "y", 5: "z"}
-    assert found[2].host == "www.bad.example" and found[7].host is None and len(found) == 11
+    assert found[12].host == "[::1]"
+    assert {k: r.categories for k, r in found.items() if r.blocked} == {2: "x", 3: "x", 4: "y", 5: "z", 13: "w"}
+    assert found[2].host == "www.bad.example" and found[7].host is None and len(found) == 13
     assert url_filter.evaluate(c.limit(0), e).count() == 0
     assert url_filter.evaluate(c, e.limit(0)).where("blocked").count() == 0
-    assert url_filter.evaluate(c.union(c), e).where("blocked").count() == 8
+    assert url_filter.evaluate(c.union(c), e).where("blocked").count() == 10
 
 
 def test_prefix_entries_keep_their_path_and_may_be_long(spark):
