@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, fixed
 from maskwright.functions import text as T
-from maskwright.functions.patterns import SPACE, before, digits, located, spelled, squeeze
+from maskwright.functions.patterns import PLACE, SPACE, before, blanked, digits, located, loose_occurrences, occurrences, spelled, squeeze
 
 HIT = "struct<family:string,start:int,raw:string,g1:string,g2:string,g3:string,g4:string>"
 NONE = f"array<{HIT}>"
@@ -101,8 +101,9 @@ def phone_hits(text: Column, blank_numbers: bool = True) -> Column:
     """Accepted phone numbers; where asked for, addresses and card-like runs don't count as digits."""
     source = text
     if blank_numbers:
-        source = F.regexp_replace(source, spelled(rf"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\b"), " ")
-        source = F.regexp_replace(source, fixed.CARD, " ")
+        # Blanks of equal length: positions are those of the text.
+        source = blanked(source, rf"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\b")
+        source = blanked(source, fixed.CARD)
     source = T.rewrite_trunk_o(source)
     places = F.flatten(F.array(*[located(source, p) for p in fixed.PHONES]))
     trimmed = F.transform(places, lambda h: F.struct((h["start"] + F.length(h["raw"]) - F.length(F.ltrim(h["raw"]))).alias("start"), F.trim(h["raw"]).alias("text")))
@@ -113,10 +114,12 @@ def phone_hits(text: Column, blank_numbers: bool = True) -> Column:
         local = t.rlike("^0(?!0)") & before(source, h["start"], 24).rlike(spelled(r"(?i)(?:^|[^a-z])(?:tel|telefon|phone)\s*:?\s*$"))
         return checks.phone_shape(t) & ~F.startswith(d, F.lit("000")) & (~turkish | local | checks.turkish_carrier(t))
 
-    good = F.filter(trimmed, accepted)
-    texts = F.array_distinct(F.transform(good, lambda h: h["text"]))
-    longest = F.filter(texts, lambda t: ~F.exists(texts, lambda o: (o != t) & F.contains(o, t)))
-    return F.filter(F.transform(longest, lambda t: F.struct((F.instr(source, t) - 1).alias("start"), t.alias("raw"), *[F.lit("").alias(f"g{k}") for k in range(1, 5)])), lambda h: h["start"] >= 0)
+    good = F.array_distinct(F.filter(trimmed, accepted))
+    end = lambda h: h["start"] + F.length(h["text"])
+    # Of matches over each other the longest stays; g1 marks those whose text is a part of a longer one elsewhere.
+    kept = F.filter(good, lambda h: ~F.exists(good, lambda o: (o["start"] <= h["start"]) & (end(o) >= end(h)) & (F.length(o["text"]) > F.length(h["text"]))))
+    part = lambda h: F.when(F.exists(good, lambda o: (o["text"] != h["text"]) & F.contains(o["text"], h["text"])), "part").otherwise("")
+    return F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["text"].alias("raw"), part(h).alias("g1"), *[F.lit("").alias(f"g{k}") for k in (2, 3, 4)]))
 
 
 def _label_head(labels: list[str]) -> str:
@@ -145,7 +148,8 @@ def place_hits(text: Column, folded: Column) -> Column:
 
     def value(h: Column) -> Column:
         at = h["start"] + F.length(h["raw"])
-        rest, low = F.substring(text, at + 1, 4000), F.substring(folded, at + 1, 4000)
+        # Folding keeps lengths and white space, so both are squeezed alike.
+        rest, low = (F.regexp_replace(F.substring(x, at + 1, F.length(x)), f"{SPACE}+", " ") for x in (text, folded))
         cut = F.length(F.get(F.split(low, spelled(stop), 2), 0))
         shown = squeeze(F.regexp_replace(squeeze(F.when(cut > 0, F.substring(rest, F.lit(1), cut)).otherwise(rest)), "[,;:]+$", ""))
         fine = (shown != "") & (F.length(shown) <= 96) & (F.size(F.split(shown, " ")) <= 12) & ~T.fold_turkish(shown).isin(fixed.PLACE_REJECTS) & (shown.rlike("[A-Za-zÇĞİÖŞÜçğıöşü]") | F.replace(shown, F.lit(" "), F.lit("")).rlike("^[0-9]{4,10}$"))
@@ -159,7 +163,7 @@ def place_hits(text: Column, folded: Column) -> Column:
         parts = [rf"{edge}(?:{fixed.PLACE_CONTEXT_LABELS}){edge}{SPACE}*[:\-–]{SPACE}*(?:[a-z0-9.'’/\s-]{{0,48}})?".replace(r"\s", SPACE), p, rf"{edge}|{edge}", p, rf"{SPACE}+(?:ili|ilinde|merkez|sehri|sehrinde){edge}|{edge}(?:in|at){SPACE}+", p, edge]
         pattern = F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
         start = F.length(F.get(F.split(folded, pattern, 2), 0))
-        at = F.locate(p, folded, 1) if isinstance(p, str) else F.instr(F.substring(folded, start + 1, 100000), p) + start
+        at = F.locate(p, folded, 1) if isinstance(p, str) else F.instr(F.substring(folded, start + 1, F.length(folded)), p) + start
         return F.when(F.regexp_like(folded, pattern), F.substring(text, at, F.length(p)))
 
     provinces = F.filter(F.transform(near, named), lambda v: v.isNotNull())
@@ -173,7 +177,7 @@ def labelled_names(text: Column, folded: Column) -> Column:
     letter = "A-Za-z0-9_"
 
     def name(h: Column) -> Column:
-        rest = F.substring(text, h["start"] + F.length(h["raw"]) + 1, 200)
+        rest = F.regexp_replace(F.substring(text, h["start"] + F.length(h["raw"]) + 1, F.length(text)), f"{SPACE}+", " ")
         word = rf"(?:{SPACE}*({fixed.CAPITAL_WORD})(?:(?<=[{letter}])(?![{letter}])|(?<![{letter}])(?=[{letter}])))"
         got = [F.regexp_extract(rest, f"^{word}{word}?{word}?", k) for k in (1, 2, 3)]
         words = F.transform(F.filter(F.array(*got), lambda w: w != ""), T.strip_name_suffix)
@@ -195,13 +199,12 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
     many_digits = text.rlike("[0-9]") & (F.length(digits(text)) >= 9)
     word = lambda p: folded.rlike(spelled(p))
     titled = F.arrays_overlap(F.split(folded, "[^a-z]+"), F.array(*map(F.lit, [*fixed.GIVEN_NAMES, *{T.plain(t) for t in fixed.TITLES.split("|")}])))
-    dotted = F.regexp_replace(F.regexp_replace(text, "[·•]", "."), spelled(r"(?<=[0-9])\s*\.\s*(?=[0-9])"), ".")
     key_block = rf"{fixed.KEY_HEADER}(?:[\x00-\x{{10ffff}}]*?{fixed.KEY_END}|[^\n]*(?:\n[^\n]*){{0,{fixed.KEY_LINES}}})"
     session = lambda: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(T.normalize_credential(text), F.lit(spelled(p)), F.lit(0)) for p in fixed.SESSIONS])))
     # types, a cheap test that leaves them possible, and the search itself
     families = [
         (["email"], has("@"), lambda: _hits("email", located(text, fixed.EMAIL))),
-        (["ipv4"], text.rlike(r"[0-9]\s?[.·•]\s?[0-9]"), lambda: _hits("ipv4", located(dotted, fixed.IPV4))),
+        (["ipv4"], text.rlike(spelled(r"[0-9]\s*[.·•]\s*[0-9]")), lambda: _hits("ipv4", located(text, fixed.IPV4))),
         (["ipv6"], text.rlike("(?i):[0-9a-f:]*:"), lambda: _hits("ipv6", located(text, fixed.IPV6))),
         (["credit_card"], many_digits, lambda: _hits("credit_card", located(text, fixed.CARD))),
         (["phone"], many_digits, lambda: _hits("phone", phone_hits(text))),
@@ -232,16 +235,19 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tuple[Rule, ...] = tuple(SAMPLE_RULES), only: list[str] | None = None) -> DataFrame:
-    """keys, type, rule_id, label, text, span, start, occurrence, labeled, needs_review, and hint columns.
+def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tuple[Rule, ...] = tuple(SAMPLE_RULES), only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, type, rule_id, label, text, span, start, occurrence, listed, labeled, needs_review, hint columns, and ``carry``.
 
-    ``keys`` name the row (document, page, line). A null text has no matches.
+    ``keys`` name the row (document, page, line). A match is returned at every place of its value; ``listed`` is true for the
+    places that a list for readers shows, which has most types' values once. ``span`` is what stands at ``start`` in the
+    text; a null start means that the value is nowhere in it. A null text has no matches.
     """
     # Lower-cased and folded text are read by many families: projections of their own build them once.
-    source = rows.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
-    hits = source.select(*keys, "_text", F.inline(raw_hits(F.col("_text"), F.col("_low"), F.col("_fold"), rules, only)))
+    kept = [F.col(c).alias(f"_c_{c}") for c in carry]
+    source = rows.select(*keys, *kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
+    hits = source.select(*keys, *[f"_c_{c}" for c in carry], "_text", F.inline(raw_hits(F.col("_text"), F.col("_low"), F.col("_fold"), rules, only)))
     decided = _ibans(_decide(hits, rules)).where(F.col("type").isNotNull() if only is None else F.col("type").isin(only))
-    return _unique(decided, keys)
+    return _unique(_everywhere(decided), keys, carry)
 
 
 def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -250,6 +256,7 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     glyph = lambda at: F.substring(text, at, 1)
     fixed_digits = T.correct_digits(raw)
     bare = F.regexp_replace(raw, r"[ \t-]+$", "")
+    address = F.regexp_replace(raw, spelled(r"\s*[.·•]\s*"), ".")
 
     # An eleven-glyph run counts unless it continues a run of glyphs without a letter beside it.
     prev, after = F.when(start > 0, glyph(start)).otherwise(""), glyph(start + F.length(raw) + 1)
@@ -265,6 +272,7 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     value = F.concat("g2", "g3", "g4")
     first, second = T.strip_name_suffix(F.col("g2")), T.strip_name_suffix(F.col("g3"))
     fold1, fold2 = T.fold_turkish(first), T.fold_turkish(second)
+    name_at = F.length(raw) - F.length(F.regexp_extract(raw, spelled(rf"(?iu)({fixed.NAME_WORD}\s+{fixed.NAME_WORD})$"), 1))
     capital = first.rlike("^[A-ZÇĞİÖŞÜ]") & second.rlike("^[A-ZÇĞİÖŞÜ]")
     known = fold1.isin(fixed.GIVEN_NAMES) & (fold2.isin(fixed.SURNAMES) | capital)
     name_ok = (F.length(first) >= 2) & (F.length(second) >= 2) & ~fold1.isin(fixed.NAME_STOPWORDS) & ~fold2.isin(fixed.NAME_STOPWORDS) & (((F.col("g1") != "") & capital) | known)
@@ -273,10 +281,10 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     # family -> [(accepted, type, text, span, needs_review)], tried in order
     table = {
         "email": [(F.lit(True), "email", T.trim_email_tld(raw), raw, None)],
-        "ipv4": [(checks.ipv4(raw), "ipv4", raw, raw, None)],
+        "ipv4": [(checks.ipv4(address), "ipv4", address, raw, None)],
         "ipv6": [(checks.ipv6(raw), "ipv6", raw, raw, None)],
         "credit_card": [(checks.luhn(bare) & ~checks.repeated_digit(bare), "credit_card", bare, bare, None)],
-        "phone": [(F.lit(True), "phone", raw, raw, None)],
+        "phone": [(F.lit(True), "phone", raw, F.substring(text, start + 1, F.length(raw)), None)],
         "ssn": [(checks.ssn(raw), "ssn", raw, raw, None)],
         "tckn": [(tckn_ok, "tckn", fixed_digits, raw, None)],
         "vkn": [(vkn_kept & fixed_digits.rlike("^[0-9]{10}$"), "vkn", fixed_digits, raw, None), (~vkn_kept, "vkn", fixed_digits, raw, "vkn_unverified")],
@@ -289,7 +297,7 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         "session_id": [(F.lit(True), "session_id", raw, raw, None)],
         "private_key": [(key_ok, "private_key", F.regexp_replace(raw, f"{SPACE}+$", ""), F.regexp_replace(raw, f"{SPACE}+$", ""), None)],
         "person_name": [(F.lit(True), "person_name", raw, raw, None)],
-        "name_pair": [(name_ok, "person_name", F.concat_ws(" ", first, second), F.concat_ws(" ", first, second), None)],
+        "name_pair": [(name_ok, "person_name", F.concat_ws(" ", first, second), F.substring(raw, name_at + 1, F.length(raw) - name_at - F.length("g3") + F.length(second)), None)],
         "location": [(F.lit(True), "location", raw, raw, None)],
         **{f"rule:{r.id}": [(F.trim(raw) != "", "custom_rule", F.trim(raw), F.trim(raw), "custom_id" if r.id == "custom-id" else None)] for r in rules},
     }
@@ -318,10 +326,22 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     out = out.withColumn("carrier_skipped", F.coalesce(skipped, F.lit(False)))
     # A span inside its match starts later: at the end for values and tokens, at the first name for names.
     tail = F.length("raw") - F.length("span")
-    inner = F.when(family == "bearer_token", tail).when(family == "env_secret", tail - F.when((F.col("g2") != "") | (F.col("g3") != ""), 1).otherwise(0)).when(family == "name_pair", F.greatest(F.instr(F.col("raw"), F.col("g2")) - 1, F.lit(0))).when(family == "iban", F.greatest(F.instr(F.col("raw"), F.col("span")) - 1, F.lit(0))).otherwise(0)
-    out = out.withColumn("start", F.col("start") + inner)
-    # Matches without a place are looked up; those put together from pieces have none.
-    return out.withColumn("start", F.coalesce("start", F.nullif(F.instr(F.col("_text"), F.col("span")), F.lit(0)) - 1)).drop("_m", "raw", "g1", "g2", "g3", "g4")
+    inner = F.when(family == "bearer_token", tail).when(family == "env_secret", tail - F.when((F.col("g2") != "") | (F.col("g3") != ""), 1).otherwise(0)).when(family == "name_pair", name_at).when(family == "iban", F.greatest(F.instr(F.col("raw"), F.col("span")) - 1, F.lit(0))).otherwise(0)
+    part = F.coalesce((family == "phone") & (F.col("g1") == "part"), F.lit(False))
+    return out.withColumns({"start": F.col("start") + inner, "_part": part}).drop("_m", "raw", "g1", "g2", "g3", "g4")
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """Each match at every place of its value in the text; values put together from pieces at the pieces' places.
+
+    A value that is nowhere keeps a null start. Spans are the text's own characters.
+    """
+    text, span, start = F.col("_text"), F.col("span"), F.col("start")
+    exact, none = occurrences(text, span), F.array().cast(PLACE)
+    own = F.array(F.struct(start.alias("start"), F.length(span).alias("size")).cast(PLACE[6:-1]))
+    found = F.when(start.isNotNull(), F.array_union(own, F.filter(exact, lambda x: (x["start"] >= start + F.length(span)) | (x["start"] + x["size"] <= start)))).when(F.size(exact) > 0, exact).otherwise(loose_occurrences(text, span))
+    placed = rows.withColumn("_at", F.explode_outer(F.coalesce(found, none)))
+    return placed.withColumns({"start": F.col("_at.start"), "span": F.coalesce(F.substring(text, F.col("_at.start") + 1, F.col("_at.size")), span)}).drop("_at")
 
 
 def _ibans(rows: DataFrame) -> DataFrame:
@@ -356,12 +376,16 @@ def _ibans(rows: DataFrame) -> DataFrame:
     return rows.drop("_structure", "_repaired", "_fits", "_working", "_compact", "_sound", "_fixes", "_fixed")
 
 
-def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First of equal values for types that list values once; ordinals of equal spans for the others."""
+def _unique(rows: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a place, with ordinals of equal values; ``listed`` for the first of equal values of types that list values once."""
     same = F.when(F.col("type") == "person_name", T.name_key(F.col("text"))).when(F.col("family") == "iban", F.col("span")).otherwise(F.col("text"))
     order = [F.coalesce("start", F.lit(1 << 30)), "family", "span"]
     once = F.col("family").isin(ONCE) | F.startswith("family", F.lit("rule:")) | F.col("type").isin("person_name", "location", "phone", "ssn", "routing_number")
-    group = Window.partitionBy(*keys, "type", "rule_id", F.when(once, same), F.when(~once, F.col("span"))).orderBy(*order)
-    ranked = rows.withColumns({"_rank": F.row_number().over(group), "_once": once}).where(~F.col("_once") | (F.col("_rank") == 1))
+    # All windows run within a row of the source: its matches are shuffled once.
+    near = rows.withColumns({"_once": once, "_same": F.when(once, same).otherwise(F.col("span"))}).repartition(*keys)
+    kind = [*keys, "type", "rule_id", "_once", "_same"]
+    single = near.withColumn("_copy", F.row_number().over(Window.partitionBy(*kind, "start", "span").orderBy("_part", "family", "text"))).where("_copy = 1")
+    ranked = single.withColumn("_rank", F.row_number().over(Window.partitionBy(*kind).orderBy(*order)))
     kept = ranked.where((F.col("type") != "person_name") | (T.name_key(F.col("text")) != ""))
-    return kept.select(*keys, "type", "rule_id", "label", "text", "span", "start", F.when(F.col("_once"), 0).otherwise(F.col("_rank") - 1).alias("occurrence"), "key", "labeled", (F.col("hint").isNotNull() | (F.col("type") == "seed_phrase")).alias("needs_review"), "hint", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed")
+    listed = ~F.col("_part") & (~F.col("_once") | (F.col("_rank") == 1))
+    return kept.select(*keys, "type", "rule_id", "label", "text", "span", "start", (F.col("_rank") - 1).alias("occurrence"), listed.alias("listed"), "key", "labeled", (F.col("hint").isNotNull() | (F.col("type") == "seed_phrase")).alias("needs_review"), "hint", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed", *[F.col(f"_c_{c}").alias(c) for c in carry])

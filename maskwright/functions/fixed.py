@@ -115,7 +115,7 @@ WARNINGS = [
 # Patterns. \b and \s stand for ASCII word boundaries and Unicode white space; patterns.py spells them out.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IPV4 = rf"(?<![0-9])(?:{OCTET}\.){{3}}{OCTET}(?::[0-9]{{1,5}})?(?![0-9])"
+IPV4 = rf"(?<![0-9])(?:{OCTET}\s*[.·•]\s*){{3}}{OCTET}(?::[0-9]{{1,5}})?(?![0-9])"  # scanners put blanks round dots
 HEXTET = "[0-9a-f]{1,4}"
 IPV6_FULL = f"(?:{HEXTET}:){{7}}{HEXTET}"
 IPV6_SHORT = f"(?:{HEXTET}(?::{HEXTET}){{0,6}})?::(?:{HEXTET}(?::{HEXTET}){{0,6}})?"

@@ -56,3 +56,52 @@ def before(text: Column, start: Column, size: int) -> Column:
 def squeeze(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def blanked(text: Column, pattern: str) -> Column:
+    """``text`` with blanks for every character of the matches, so that positions stay."""
+    full = spelled(pattern)
+    parts = F.arrays_zip(F.split(text, full, -1).alias("gap"), F.regexp_extract_all(text, F.lit(full), F.lit(0)).alias("hit"))
+    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.length(x["hit"]), F.lit(0))))), "")
+    return F.when(text.rlike(full), joined).otherwise(text)
+
+
+PLACE = "array<struct<start:int,size:int>>"
+
+
+def occurrences(text: Column, value: Column) -> Column:
+    """array<struct<start, size>>: where ``value`` stands in ``text``, without overlaps, as whole words."""
+    size = F.length(value)
+    many = F.when(size > 0, ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / size).cast("int")).otherwise(0)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.call_function("locate", value, text, s["at"] + 1) - 1
+        return F.struct((at + size).alias("at"), F.array_append(s["out"], F.struct(at.alias("start"), size.alias("size"))).alias("out"))
+
+    found = F.aggregate(F.sequence(F.lit(1), many), begin, step, lambda s: s["out"])
+    glyph = lambda at: F.substring(text, at, F.lit(1))
+    alnum = "[A-Za-z0-9]"
+    apart = lambda x: ~(F.substring(value, 1, 1).rlike(alnum) & (x["start"] > 0) & glyph(x["start"]).rlike(alnum)) & ~(value.rlike(alnum + "$") & glyph(x["start"] + size + 1).rlike(alnum))
+    return F.when(many > 0, F.filter(found, apart)).otherwise(F.array().cast(PLACE))
+
+
+#: What scanners add, drop or change inside a value.
+LOOSE = "[" + SPACE[1:-1] + "\x00_\\-‐‑‒–—−＿﹍﹎]"
+
+
+def loose_occurrences(text: Column, value: Column) -> Column:
+    """As ``occurrences``, but blanks, dashes, underscores and case don't count: for values put together from pieces."""
+    chars = F.split(text, "")
+    kept = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: ~F.get(chars, i - 1).rlike(LOOSE))
+    bare, wanted = F.lower(F.regexp_replace(text, LOOSE, "")), F.lower(F.regexp_replace(value, LOOSE, ""))
+    many = F.when(F.length(wanted) > 0, ((F.length(bare) - F.length(F.replace(bare, wanted, F.lit("")))) / F.length(wanted)).cast("int")).otherwise(0)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.call_function("locate", wanted, bare, s["at"] + 1)
+        first, last = F.get(kept, at - 1), F.get(kept, at + F.length(wanted) - 2)
+        return F.struct((at + F.length(wanted) - 1).alias("at"), F.array_append(s["out"], F.struct((first - 1).alias("start"), (last - first + 1).alias("size"))).alias("out"))
+
+    found = F.aggregate(F.sequence(F.lit(1), many), begin, step, lambda s: s["out"])
+    return F.when((many > 0) & (F.length(text) > 0), found).otherwise(F.array().cast(PLACE))

@@ -2,32 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.patterns import occurrences
+
+
+PLACES = "array<struct<a:int,b:int>>"
+
+
+def spans_of(detections: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spans (array of half-open places, sorted) and terms (distinct span texts) of each row with detections."""
+    at = F.struct(F.col("start").cast("int").alias("a"), (F.col("start") + F.length("span")).cast("int").alias("b"))
+    placed = F.filter(F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), at))), lambda x: x["b"] > x["a"])
+    return detections.groupBy(*keys).agg(placed.alias("spans"), F.collect_set("span").alias("terms"))
+
+
+def covered(text: Column, spans: Column, char: str = "█") -> Column:
+    """``text`` with every character of the sorted places replaced; overlaps and repeats are harmless."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        first, last = F.greatest(x["a"], s["at"]), F.least(x["b"], F.length(text))
+        return F.when(last <= first, s).otherwise(F.struct(last.alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, first - s["at"]), F.repeat(F.lit(char), last - first)).alias("out")))
+
+    masked = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(spans.isNull(), text).otherwise(masked)
+
 
 def mask(docs: DataFrame, spans: DataFrame, keys: list[str], text_col: str = "text", char: str = "█") -> DataFrame:
-    """``docs`` with ``masked``: every character of a span (keys, start, span) replaced.
+    """``docs`` with ``masked``: every character of a span (keys, start, span) replaced; a row without spans keeps its text."""
+    parts = spans_of(spans, keys).select(*keys, F.col("spans").alias("_spans"))
+    joined = docs.join(parts, keys, "left")
+    return joined.withColumn("masked", covered(F.col(text_col), F.col("_spans").cast(PLACES), char)).drop("_spans")
+
+
+def uncovered(text: Column, masked: Column, term: Column, char: str = "█") -> Column:
+    """Whether a character of any occurrence of ``term`` in ``text`` is still to be read in ``masked``, which is as long."""
+    open_ = lambda x: F.replace(F.substring(masked, x["start"] + 1, x["size"]), F.lit(char), F.lit("")) != ""
+    return F.exists(occurrences(text, term), open_)
+
+
+def leaks(masked: DataFrame, detections: DataFrame, keys: list[str], page_keys: list[str] | None = None, text_col: str = "masked", source_col: str = "text") -> DataFrame:
+    """keys (of the rows that leak) and span of every value longer than two characters that can be read, whole or in part.
 
-    Spans of a row are merged with a running maximum, so overlaps and repeats are harmless; a row without spans keeps its text.
+    Values are looked for wherever they stand in the original text of the same ``page_keys`` (by default the value's own row), as whole words.
     """
-    ends = spans.where(F.col("start").isNotNull()).select(*keys, F.col("start").alias("a"), (F.col("start") + F.length("span")).alias("b"))
-    order = Window.partitionBy(*keys).orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = ends.withColumn("a2", F.greatest(F.col("a"), F.coalesce(reach, F.lit(0)))).where("b > a2")
-    parts = cut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("a2").alias("a"), "b"))).alias("_spans"))
-    joined = docs.join(parts, keys, "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(x["b"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["a"] - s["at"]), F.repeat(F.lit(char), x["b"] - x["a"])).alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.withColumn("masked", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked)).drop("_spans")
+    page_keys = page_keys or keys
+    terms = detections.select(*page_keys, F.trim("span").alias("span")).where(F.length("span") > 2).distinct()
+    rows = masked.select(*keys, F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    met = terms.join(rows, page_keys).where(F.contains("_source", F.col("span")))
+    return met.where(uncovered(F.col("_source"), F.col("_text"), F.col("span"))).select(*keys, "span")
 
 
-def leaks(masked: DataFrame, detections: DataFrame, keys: list[str], text_col: str = "masked") -> DataFrame:
-    """keys and span of every value longer than two characters that its own row still holds."""
-    terms = detections.select(*keys, F.trim("span").alias("span")).where(F.length("span") > 2).distinct()
-    return terms.join(masked.select(*keys, F.col(text_col).alias("_text")), keys).where(F.contains("_text", F.col("span"))).select(*keys, "span")
+def cover_pages(lines: DataFrame, detections: DataFrame, keys: list[str], page_keys: list[str], char: str = "█", keep_terms: bool = False) -> DataFrame:
+    """``lines`` with ``masked``: every span at its place, and the same values wherever else they stand on the page.
+
+    One pass: a row meets its own places and the page's terms, both arrays. Terms of three characters and more spread over the page;
+    ``keep_terms`` leaves those that the row holds in ``terms``, for a check.
+    """
+    spans = spans_of(detections, keys)
+    terms = spans.select(*page_keys, F.explode("terms").alias("_t")).where(F.length("_t") > 2).groupBy(*page_keys).agg(F.sort_array(F.collect_set("_t")).alias("_terms"))
+    joined = lines.join(spans.select(*keys, "spans"), keys, "left").join(terms, page_keys, "left")
+    text = F.col("text")
+    near = F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: F.contains(text, t))
+    elsewhere = F.flatten(F.transform(near, lambda t: F.transform(occurrences(text, t), lambda x: F.struct(x["start"].alias("a"), (x["start"] + x["size"]).alias("b")))))
+    every = F.sort_array(F.concat(F.coalesce("spans", F.array().cast(PLACES)), F.coalesce(elsewhere.cast(PLACES), F.array().cast(PLACES))))
+    with_all = joined.withColumn("_all", every)
+    return with_all.withColumn("masked", F.when(F.size("_all") > 0, covered(text, F.col("_all"), char)).otherwise(text)).withColumn("terms", near if keep_terms else F.lit(None)).drop("spans", "_terms", "_all", *([] if keep_terms else ["terms"]))
 
 
 def unique_names(files: DataFrame, batch_keys: list[str], order_col: str, name_col: str = "name") -> DataFrame:

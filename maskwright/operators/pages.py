@@ -1,7 +1,8 @@
 """Positional operators: lines and words of pages, candidate windows, wrapped lines, and places of matches.
 
 Pages are tables in long form. lines: keys, line_index, text, x0..y1, confidence; words: keys, line_index, word_index, text,
-x0..y1, confidence. Windows run within a line or a page, whose size is bounded by what fits on it.
+x0..y1, confidence. Windows run within a line or a page, whose size is bounded by what fits on it: ``lay_out`` begins a new page
+every ``PAGE_LINES`` lines, however long a text is.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from maskwright.operators.spatial import BOX
 
 # Layout of plain text as a page: one line for each line break, glyphs of one width.
 GLYPH, HEIGHT, LEFT, TOP, GAP = 12, 16, 10, 20, 8
+PAGE_LINES = 120
 CONFIDENCE = 92.0
 
 
 def lay_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines of plain texts as a page of fixed-width glyphs; blank lines take their room and are dropped."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_index", "text"))
-    top = F.lit(float(TOP)) + F.col("line_index") * float(HEIGHT + GAP)
+    """Lines of plain texts as pages of fixed-width glyphs; blank lines take their room and are dropped. line_index counts through the text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_index", "text"))
+    rows = rows.select("doc_id", (F.floor(F.col("line_index") / PAGE_LINES) + 1).cast("int").alias("page"), "line_index", "text")
+    top = F.lit(float(TOP)) + F.col("line_index") % PAGE_LINES * float(HEIGHT + GAP)
     boxed = rows.withColumns({"x0": F.lit(float(LEFT)), "y0": top, "x1": F.lit(float(LEFT)) + F.length("text") * float(GLYPH), "y1": top + float(HEIGHT), "confidence": F.lit(CONFIDENCE)})
     return boxed.where(F.trim("text") != "")
 
@@ -160,14 +163,92 @@ def seed_phrases(texts: DataFrame, keys: list[str], wordlist: DataFrame, text_co
     return found.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "start_word", "text")).alias("_b")).select(*keys, "_b.text", "_b.start_word")
 
 
-def broken_private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_index, n_lines: damaged key headers with two lines of key body or more right below (at most 40)."""
-    order = Window.partitionBy(*keys).orderBy("line_index")
-    rows = lines.withColumns({"_body": checks.base64_line(F.col("text")), "_head": checks.broken_key_header(F.col("text"))})
-    # Islands of body lines: the count of other lines so far is constant on each.
-    rows = rows.withColumn("_island", F.sum((~F.col("_body")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy(*keys, "_island").agg(F.max(F.when(~F.col("_body"), F.struct("_head", "line_index"))).alias("_top"), F.sum(F.col("_body").cast("int")).alias("n_lines"))
-    return islands.where("_top._head and n_lines >= 2").select(*keys, F.col("_top.line_index").alias("line_index"), F.least("n_lines", F.lit(fixed.KEY_LINES)).cast("int").alias("n_lines"))
+def seed_phrase_lines(lines: DataFrame, keys: list[str], wordlist: DataFrame, most_lines: int = 3) -> DataFrame:
+    """keys, line_index, text, span: seed phrases within a line or over up to ``most_lines`` that read on, one row for each line they touch.
+
+    A phrase within one line is left to that line, even where a chain of lines holds it too.
+    """
+    single = seed_phrases(lines, [*keys, "line_index"], wordlist).select(*keys, "line_index", "text", F.col("text").alias("span"))
+    chains = wrapped_windows(lines, keys, most_lines)
+    found = seed_phrases(chains, [*keys, "line_index"], wordlist).join(chains.select(*keys, "line_index", "line_indexes", "texts"), [*keys, "line_index"])
+    # Words of the chain with their lines, cut to the phrase's own.
+    own = F.flatten(F.zip_with("line_indexes", "texts", lambda i, t: F.transform(F.split(t, " "), lambda w: F.struct(i.alias("line_index"), w.alias("w")))))
+    taken = found.withColumn("_w", F.slice(own, F.col("start_word") + 1, F.size(F.split("text", " ")))).withColumn("_i", F.array_distinct(F.transform("_w", lambda w: w["line_index"]))).where(F.size("_i") >= 2)
+    each = taken.select(*keys, "text", "_w", F.explode("_i").alias("_line"))
+    over = each.select(*keys, F.col("_line").alias("line_index"), "text", F.array_join(F.transform(F.filter("_w", lambda w: w["line_index"] == F.col("_line")), lambda w: w["w"]), " ").alias("span"))
+    return single.unionByName(over.distinct())
+
+
+def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_index, text, span, start, block: one row for each line of a private key.
+
+    A key goes from its header to the next end line, or over 40 lines where there is none. On pages without a readable header, a line
+    with a word of one and two lines of key body or more right below is a damaged key, up to its end line. Only pages that may hold
+    a key are sorted.
+    """
+    t = F.col("text")
+    header = F.regexp_extract("text", spelled(fixed.KEY_HEADER), 0)
+    head = F.contains(t, F.lit("---")) & (header != "") & ~checks.public_pem(header)
+    broken = t.rlike("(?i)be[g6]|pr[i1l]|key") & checks.broken_key_header(t)
+    marked = lines.select(*keys, "line_index", "text", head.alias("_head"), broken.alias("_broken"), t.rlike(spelled(r"(?i)-{3,6}\s*END")).alias("_end"), checks.base64_line(t).alias("_body"))
+    may = marked.groupBy(*keys).agg(F.max("_head").alias("_page"), F.max("_broken").alias("_b"), F.sum(F.col("_body").cast("int")).alias("_n")).where("_page or (_b and _n >= 2)")
+    page = Window.partitionBy(*keys)
+    order = page.orderBy("line_index")
+    rows = marked.join(may.select(*keys, "_page"), keys).withColumn("_row", F.row_number().over(order))
+    following = F.min(F.when(F.col("_end"), F.col("_row"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_last", F.when(F.col("_head"), F.coalesce(following, F.col("_row") + fixed.KEY_LINES)))
+    rows = rows.withColumns({"_reach": F.max("_last").over(upto), "_earlier": F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_island": F.sum((~F.col("_body")).cast("int")).over(upto)})
+    top = F.max(F.when(~F.col("_body"), F.struct("_row", "_broken"))).over(upto)
+    rows = rows.withColumns({"_top": top, "_n": F.sum(F.col("_body").cast("int")).over(Window.partitionBy(*keys, "_island"))})
+    damaged = ~F.col("_page") & F.coalesce(F.col("_top._broken"), F.lit(False)) & (F.col("_n") >= 2) & (F.col("_row") - F.col("_top._row") <= fixed.KEY_LINES)
+    rows = rows.withColumn("_damaged", damaged)
+    closing = F.col("_end") & F.coalesce(F.lag("_damaged").over(order), F.lit(False)) & ~F.col("_page")
+    rows = rows.withColumns({"_first": (F.col("_head") & (F.col("_row") > F.coalesce("_earlier", F.lit(0)))) | (F.col("_damaged") & ~F.col("_body")), "_in": (F.col("_page") & (F.col("_row") <= F.coalesce("_reach", F.lit(0)))) | F.col("_damaged") | closing})
+    rows = rows.withColumn("block", F.sum(F.col("_first").cast("int")).over(upto)).where("_in")
+    # A header may stand behind other text, an end line before some; the lines between are covered whole.
+    begin = F.when(F.col("_head") & F.col("_first"), F.instr("text", header) - 1).otherwise(F.length("text") - F.length(F.ltrim("text")))
+    span = F.regexp_extract(F.expr("substring(text, start + 1)"), spelled(rf"(?is)^(?:.*?{fixed.KEY_END}|.*(?<!\s))"), 0)
+    return rows.withColumn("start", begin.cast("int")).withColumn("span", span).where("span <> ''").select(*keys, "line_index", F.col("span").alias("text"), "span", "start", "block")
+
+
+def private_key_detections(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``private_keys`` in the columns of ``detectors.detect``."""
+    from maskwright.functions import detectors
+
+    found = private_keys(lines, keys)
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    given = {"type": F.lit("private_key"), "rule_id": none, "label": F.lit(fixed.LABELS["private_key"]), "occurrence": F.lit(0), "listed": F.lit(True), "key": none, "needs_review": no, "hint": none}
+    return found.select(*keys, "line_index", "text", "span", "start", *[v.alias(k) for k, v in given.items()], *[no.alias(h) for h in ("labeled", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed")])
+
+
+def detect_lines(lines: DataFrame, keys: list[str], **options) -> DataFrame:
+    """``detectors.detect`` over the lines of texts or pages (keys, line_index, text), with private keys found over line ends."""
+    from maskwright.functions import detectors
+
+    found = detectors.detect(lines, [*keys, "line_index"], **options)
+    only, carry = options.get("only"), list(options.get("carry", ()))
+    if only is not None and "private_key" not in only:
+        return found
+    over = private_key_detections(lines, keys)
+    if carry:
+        named = lines.select(*keys, "line_index", *[F.col(c).alias(f"_c_{c}") for c in carry])
+        over = over.join(named, [*keys, "line_index"]).select(*over.columns, *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return found.where("type <> 'private_key'").unionByName(over)
+
+
+def place_on_line(detections: DataFrame, text_col: str) -> DataFrame:
+    """Detections that carry their line (``text_col``, x0..y1) with the box of the words that each touches instead of the line's.
+
+    Words of a laid-out line have boxes in proportion to their characters, so their union follows from the place alone: no join.
+    """
+    line, start, n = F.col(text_col), F.col("start"), F.length(text_col)
+    before, after = F.substring(line, F.lit(1), start), F.expr(f"substring(`{text_col}`, start + length(span) + 1)")
+    solid = SPACE.replace("[", "[^", 1)
+    first = start - F.length(F.regexp_extract(before, f"({solid}*)$", 1))
+    last = start + F.length("span") + F.length(F.regexp_extract(after, f"^({solid}*)", 1))
+    x = lambda at: F.col("x0") + (F.col("x1") - F.col("x0")) * at / n
+    return detections.where(start.isNotNull()).withColumns({"_x0": x(first), "_x1": x(last)}).drop("x0", "x1").withColumnsRenamed({"_x0": "x0", "_x1": "x1"})
 
 
 def place(detections: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,11 +261,33 @@ def place(detections: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame
     return met.groupBy("_id", *own).agg(F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"), F.min("_confidence").alias("confidence")).drop("_id")
 
 
-def fragments(parts: DataFrame, keys: list[str], order_col: str = "ordinal", text_col: str = "text") -> DataFrame:
-    """Addresses put together from scanned pieces: keys, text. Pieces join by a colon only where one is missing."""
-    order = Window.partitionBy(*keys).orderBy(order_col)
-    ok = parts.withColumn("_ok", checks.ipv6_fragment(F.col(text_col)))
-    runs = ok.withColumn("_run", F.sum((~F.col("_ok")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_ok")
-    listed = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct(order_col, F.trim(text_col).alias("t")))).alias("_l"))
-    joined = F.aggregate("_l", F.lit(""), lambda s, x: F.when((s == "") | F.endswith(s, F.lit(":")) | F.startswith(x["t"], F.lit(":")), F.concat(s, x["t"])).otherwise(F.concat(s, F.lit(":"), x["t"])))
-    return listed.select(*keys, joined.alias("text")).where(checks.ipv6(F.col("text")))
+def fragments(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Addresses put together from scanned pieces: keys, line_index, text, box, confidence. Pieces join by a colon only where one is missing.
+
+    Pieces are neighbours on their line, level and close. Of a run the longest beginning that is one address counts; where none is, the
+    run goes on without its first piece.
+    """
+    line = Window.partitionBy(*keys, "line_index").orderBy("x0", "word_index")
+    last = {c: F.lag(c).over(line) for c in BOX}
+    height = F.greatest(last["y1"] - last["y0"], F.col("y1") - F.col("y0"), F.lit(1.0))
+    level = F.abs((F.col("y0") + F.col("y1")) / 2 - (last["y0"] + last["y1"]) / 2) <= F.greatest(F.lit(5.0), height * 0.6)
+    close = level & (F.col("x0") - last["x1"] >= -height * 0.2) & (F.col("x0") - last["x1"] <= F.greatest(F.lit(20.0), height * 2.2))
+    ok = words.withColumns({"_ok": checks.ipv6_fragment(F.col("text")), "_near": F.coalesce(close, F.lit(False))})
+    cut = (~F.col("_ok") | ~F.col("_near") | ~F.coalesce(F.lag("_ok").over(line), F.lit(False))).cast("int")
+    runs = ok.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(line.rowsBetween(Window.unboundedPreceding, 0))).where("_ok")
+    item = F.struct("x0", "word_index", F.trim("text").alias("t"), "y0", "x1", "y1", "confidence")
+    listed = runs.groupBy(*keys, "line_index", "_run").agg(F.sort_array(F.collect_list(item)).alias("_l")).where(F.array_join(F.transform("_l", lambda w: w["t"]), "").rlike(":.*:"))
+    join = lambda part: F.aggregate(part, F.lit(""), lambda s, x: F.when((s == "") | F.endswith(s, F.lit(":")) | F.startswith(x["t"], F.lit(":")), F.concat(s, x["t"])).otherwise(F.concat(s, F.lit(":"), x["t"])))
+    kind = "array<struct<x0:double,word_index:int,t:string,y0:double,x1:double,y1:double,confidence:double>>"
+    begin = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        rest = F.slice("_l", i, F.lit(18))  # eight groups with their colons apart, and a port
+        sizes = F.reverse(F.sequence(F.lit(1), F.size(rest)))
+        fits = F.get(F.filter(sizes, lambda n: checks.ipv6(join(F.slice(rest, F.lit(1), n)))), 0)
+        hit = F.struct((i + fits).alias("next"), F.array_append(s["out"], F.slice(rest, F.lit(1), fits).cast(kind)).alias("out"))
+        return F.when((i < s["next"]) | fits.isNull(), s).otherwise(hit)
+
+    found = listed.select(*keys, "line_index", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("_l")), begin, step, lambda s: s["out"])).alias("_w"))
+    side = lambda c, f: f(F.transform("_w", lambda w: w[c])).alias(c)
+    return found.select(*keys, "line_index", join(F.col("_w")).alias("text"), side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max), side("confidence", F.array_min))

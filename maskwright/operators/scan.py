@@ -27,14 +27,15 @@ def _made(rows: DataFrame, keys: list[str], source: str, kind: str | Column, spa
 def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordlist: DataFrame | None = None, rules: tuple = tuple(detectors.SAMPLE_RULES)) -> DataFrame:
     """Final detections of pages, with boxes, review columns and an id; ``tool`` limits the types shown.
 
-    Sources: the line detectors; values that words make up together; phones over rows of words; account numbers, bearer tokens and,
-    given a word list, seed phrases that go over line ends. Type limits come last, as hidden types still cast shadows.
+    Sources: the line detectors, at every place of a value; private keys over lines; values that words make up together; addresses put
+    together from pieces; phones over rows of words; account numbers, bearer tokens and, given a word list, seed phrases that go over
+    line ends. Type limits come last, as hidden types still cast shadows.
     """
     at = [*keys, "line_index"]
     every = pages.words_of(lines, keys)
-    found = detectors.detect(lines, at, rules=rules)
-    found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", "start", "hint", *HINTS)
-    placed = [found.where(F.col("start").isNotNull()), _located(found.where(F.col("start").isNull()), lines, at)]
+    found = pages.detect_lines(lines, keys, rules=rules)
+    found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", F.col("start").cast("int").alias("start"), "hint", *HINTS)
+    placed = [found.where(F.col("start").isNotNull())]
 
     wrapped = pages.wrapped_ibans(lines, keys)
     pieces = wrapped.select(*keys, "text", "compact", F.explode("parts").alias("_p")).select(*keys, "text", "compact", "_p.line_index", "_p.span")
@@ -43,8 +44,8 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     placed.append(_located(_made(pages.wrapped_bearer_tokens(lines, keys), keys, "wrapped_bearer", "bearer_token", "span"), lines, at))
     placed.append(_located(_made(words.values_beside_labels(every, keys), keys, "beside", F.col("type")), lines, at))
     if wordlist is not None:
-        seeds = pages.seed_phrases(lines, at, wordlist)
-        placed.append(_located(_made(seeds, keys, "seed", "seed_phrase", hint=F.lit("seed")), lines, at))
+        seeds = pages.seed_phrase_lines(lines, keys, wordlist)
+        placed.append(_located(_made(seeds, keys, "seed", "seed_phrase", "span", hint=F.lit("seed")), lines, at))
     boxed = placed[0]
     for more in placed[1:]:
         boxed = boxed.unionByName(more)
@@ -52,12 +53,14 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
 
     grouped = _made(words.grouped_secrets(every, keys), keys, "grouped", F.col("type"), rule_id=F.col("rule_id"), iban_checksum_valid=(F.col("rule_id") == "iban") & checks.iban_checksum(F.col("text")), iban_checksum_failed=F.coalesce((F.col("rule_id") == "iban") & ~checks.iban_checksum(F.col("text")), F.lit(False)))
     phones = _made(words.phones_in_rows(every, keys).withColumnRenamed("row", "line_index"), keys, "row", "phone", ocr_corrected=F.col("ocr_corrected"))
-    union = boxed.unionByName(grouped).unionByName(phones)
+    pieces = _made(pages.fragments(every, keys), keys, "pieces", "ipv6")
+    union = boxed.unionByName(grouped).unionByName(phones).unionByName(pieces)
     union = union.withColumns({h: F.coalesce(h, F.lit(False)) for h in HINTS})
     judged = review.in_profile(review.add_review(pages.without_iban_heads(union, wrapped, keys), "confidence"))
-    order = F.array_position(F.array(*map(F.lit, ["row", "grouped", "beside", "line", "wrapped_iban", "wrapped_bearer", "seed"])), F.col("source"))
+    order = F.array_position(F.array(*map(F.lit, ["row", "grouped", "pieces", "beside", "line", "wrapped_iban", "wrapped_bearer", "seed"])), F.col("source"))
     single = spatial.deduplicate(judged.withColumn("ordinal", F.struct(order.alias("a"), F.col("line_index").alias("b"), F.coalesce("start", F.lit(0)).alias("c"), F.col("span").alias("d"))), keys)
-    named = single.withColumn("id", F.concat_ws("-", "type", "line_index", F.round("y0").cast("int"), F.round("x0").cast("int"), F.col("source"), F.substring(F.md5("span"), 1, 8)))
+    # What differs between two detections of a page is in the id whole, so no two share one.
+    named = single.withColumn("id", F.sha2(F.concat_ws("\x00", "source", "type", F.coalesce("rule_id", F.lit("")), "line_index", F.coalesce("start", F.lit(-1)), "x0", "y0", "x1", "y1", "span", "text"), 256))
     return review.for_tool(spatial.suppress(named, keys), tool or []).drop("ordinal")
 
 

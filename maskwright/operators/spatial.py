@@ -85,25 +85,27 @@ def suppress(detections: DataFrame, page_keys: list[str], id_col: str = "id") ->
 def deduplicate(detections: DataFrame, page_keys: list[str]) -> DataFrame:
     """Greedy removal of repeats by type: longest text first, then largest box, then input order (``ordinal``).
 
-    Each page is folded once over its detections in that order; a page's list is bounded by what fits on it.
+    Repeats are of one type, so each type of a page is folded by itself over its detections in that order.
     """
-    names = [c for c in detections.columns if c not in page_keys]
+    group = [*page_keys, "type"]
+    names = [c for c in detections.columns if c not in group]
     key = F.when(F.col("type") == "person_name", T.name_key(F.col("text"))).otherwise(T.detection_text(F.col("text")))
     item = F.struct((-F.length(T.detection_text(F.col("text")))).alias("_size"), (-area(_box(""))).alias("_area"), F.col("ordinal").alias("_ordinal"), key.alias("_key"), *names)
     finite = F.lit(True)
     for c in BOX:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    pages = detections.where(finite).groupBy(*page_keys).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    pages = detections.where(finite).groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_all"))
     b = lambda s: [s[c].cast("double") for c in BOX]
 
     def repeats(k: Column, x: Column) -> Column:
         band = F.greatest(k["y1"] - k["y0"], x["y1"] - x["y0"], F.lit(1e-3))
         near = (F.abs((k["y0"] + k["y1"]) / 2 - (x["y0"] + x["y1"]) / 2) <= band * 0.65) & (F.greatest(k["x0"], x["x0"]) - F.least(k["x1"], x["x1"]) <= band * 1.25)
-        by_name = (x["type"] == "person_name") & (k["_key"] == x["_key"]) & (x["_key"] != "") & near
-        return (k["type"] == x["type"]) & F.when(x["type"] == "tckn", same_glyphs(b(k), b(x))).otherwise(duplicate(b(k), b(x)) | by_name)
+        kind = F.col("type")
+        by_name = (kind == "person_name") & (k["_key"] == x["_key"]) & (x["_key"] != "") & near
+        return F.when(kind == "tckn", same_glyphs(b(k), b(x))).otherwise(duplicate(b(k), b(x)) | by_name)
 
     kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda out, x: F.when(F.exists(out, lambda k: repeats(k, x)), out).otherwise(F.array_append(out, x)))
-    return pages.select(*page_keys, F.explode(kept).alias("_d")).select(*page_keys, *[F.col(f"_d.{n}").alias(n) for n in names])
+    return pages.select(*group, F.explode(kept).alias("_d")).select(*[F.col(c) if c in group else F.col(f"_d.{c}").alias(c) for c in detections.columns])
 
 
 def redactions(detections: DataFrame, style: str = "blackout", width: str = "width", height: str = "height") -> DataFrame:

@@ -35,7 +35,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return detectors.detect(_lines(spark, sf_dir), KEYS, only=[kind]).select(*KEYS, "text")
+    """Every place of the values of one type."""
+    return detectors.detect(_lines(spark, sf_dir), KEYS, only=[kind]).select(*KEYS, "text", "start", "span")
+
+
+def _places(pattern: str, source: str = "lines", columns: str = "doc_id, line_index", text: str = "text") -> str:
+    """SQL for all matches of a pattern with their places: the gaps and matches before them are added up."""
+    return f"""SELECT {columns}, m[k] AS hit, CAST(coalesce(list_sum(list_transform(gaps[1:k], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda g: length(g))), 0) AS INTEGER) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS gaps FROM {source} WHERE regexp_matches({text}, '{pattern}')))"""
 
 
 # --- detectors over whole documents, line by line -------------------------------------------------------------------
@@ -44,19 +51,25 @@ def _found(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 @query()
 def document_detections(spark, sf_dir):
     """All detectors over all documents, with the review policy."""
-    found = review.add_review(detectors.detect(_lines(spark, sf_dir), KEYS))
-    return found.select(*KEYS, "type", "rule_id", "label", "text", "span", "start", "occurrence", "labeled", "needs_review", "validation", F.array_join("warnings", " ").alias("warnings"))
+    found = review.add_review(pages.detect_lines(_lines(spark, sf_dir), ["doc_id"]))
+    return found.select(*KEYS, "type", "rule_id", "label", "text", "span", "start", "occurrence", "listed", "labeled", "needs_review", "validation", F.array_join("warnings", " ").alias("warnings"))
+
 
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
-@query(f"WITH {LINES} SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS text FROM lines")
+
+@query(f"WITH {LINES} SELECT doc_id, line_index, hit AS text, hit AS span, start FROM ({_places(_MAIL)})")
 def email_detections(spark, sf_dir):
     return _found(spark, sf_dir, "email")
 
 
-@query(f"""WITH {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)*(?::[0-9]+)?')) AS r FROM lines)
-SELECT DISTINCT doc_id, line_index, r AS text FROM runs
-WHERE regexp_full_match(r, '(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\\.){{3}}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?::[0-9]{{1,5}})?')
-AND (NOT contains(r, ':') OR CAST(split_part(r, ':', 2) AS INTEGER) BETWEEN 1 AND 65535)""")
+_ADDRESS = r"[0-9]+(?:\.[0-9]+)*(?::[0-9]+)?"
+
+
+@query(f"""WITH {LINES}, runs AS ({_places(_ADDRESS)})
+SELECT doc_id, line_index, hit AS text, hit AS span, start FROM runs
+WHERE regexp_full_match(hit, '(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\\.){{3}}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?::[0-9]{{1,5}})?')
+AND (NOT contains(hit, ':') OR CAST(split_part(hit, ':', 2) AS INTEGER) BETWEEN 1 AND 65535)""")
 def ipv4_detections(spark, sf_dir):
     return _found(spark, sf_dir, "ipv4")
 
@@ -65,15 +78,19 @@ LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (
 
 
 # The longest candidate from each number that no earlier candidate covers: runs of numbers with one blank or dash between.
-@query(f"""WITH RECURSIVE {LINES}, runs AS (SELECT doc_id, line_index, unnest(regexp_extract_all(text, '[0-9](?:[ \\t-]?[0-9])*')) AS r FROM lines),
-step AS (SELECT doc_id, line_index, r AS rest, '' AS card FROM runs
+_CARDS = f"""WITH RECURSIVE {LINES}, runs AS ({_places(r'[0-9](?:[ \t-]?[0-9])*')}),
+step AS (SELECT doc_id, line_index, hit AS rest, start AS pos, '' AS card, 0 AS card_at FROM runs
   UNION ALL
-  SELECT doc_id, line_index, CASE WHEN hit <> '' THEN ltrim(substr(rest, length(hit) + 1), ' -' || chr(9)) ELSE regexp_replace(rest, '^[0-9]+[ \\t-]?', '') END, hit
-  FROM (SELECT doc_id, line_index, rest, coalesce(list_max(list_filter(
-      list_transform(range(1, 20), lambda k: regexp_extract(rest, '^(?:[0-9]+[ \\t-]){{' || (k - 1) || '}}[0-9]+')),
-      lambda c: length(regexp_replace(c, '[^0-9]', '', 'g')) BETWEEN 13 AND 19)), '') AS hit FROM step WHERE rest <> '')),
-cards AS (SELECT doc_id, line_index, card, regexp_replace(card, '[^0-9]', '', 'g') AS d FROM step WHERE card <> '')
-SELECT DISTINCT doc_id, line_index, card AS text FROM cards WHERE {LUHN.format(d='d')} AND replace(d, d[1], '') <> ''""")
+  SELECT doc_id, line_index, r, CAST(pos + length(rest) - length(r) AS INTEGER), hit, pos
+  FROM (SELECT *, CASE WHEN hit <> '' THEN ltrim(substr(rest, length(hit) + 1), ' -' || chr(9)) ELSE regexp_replace(rest, '^[0-9]+[ \\t-]?', '') END AS r FROM
+  (SELECT doc_id, line_index, rest, pos, coalesce(list_max(list_filter(
+      list_transform(range(1, 20), lambda k: regexp_extract(rest, '^(?:[0-9]+[ \\t-]){{{{' || (k - 1) || '}}}}[0-9]+')),
+      lambda c: length(regexp_replace(c, '[^0-9]', '', 'g')) BETWEEN 13 AND 19)), '') AS hit FROM step WHERE rest <> ''))),
+cards AS (SELECT doc_id, line_index, card, card_at, regexp_replace(card, '[^0-9]', '', 'g') AS d FROM step WHERE card <> '')
+SELECT doc_id, line_index, card AS text, card AS span, card_at AS start FROM cards WHERE {LUHN.format(d='d')} AND replace(d, d[1], '') <> ''""".replace("{{", "{").replace("}}", "}")
+
+
+@query(_CARDS)
 def credit_card_detections(spark, sf_dir):
     return _found(spark, sf_dir, "credit_card")
 
@@ -85,8 +102,13 @@ def env_secret_detections(spark, sf_dir):
     return detectors.detect(_lines(spark, sf_dir), KEYS, only=["env_secret"]).select(*KEYS, "key", "text", "needs_review")
 
 
-@query(f"""WITH {LINES}, clean AS (SELECT doc_id, line_index, regexp_replace(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\\b', ' ', 'g') AS text FROM lines)
-SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '\\+[0-9]{{1,3}}(?:[ ().-]*[0-9]){{8,14}}\\b')) AS text FROM clean""")
+_PHONE = r"\+[0-9]{1,3}(?:[ ().-]*[0-9]){8,14}\b"
+_BLANK = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{1,5})?\b"
+
+
+# Addresses become blanks of their own length, so that places stay.
+@query(f"""WITH {LINES}, clean AS (SELECT doc_id, line_index, list_reduce(list_prepend(text, regexp_extract_all(text, '{_BLANK}')), lambda t, a: replace(t, a, repeat(' ', length(a)))) AS text FROM lines)
+SELECT doc_id, line_index, hit AS text, hit AS span, start FROM ({_places(_PHONE, 'clean')})""")
 def phone_detections(spark, sf_dir):
     return _found(spark, sf_dir, "phone")
 
@@ -95,7 +117,7 @@ def phone_detections(spark, sf_dir):
 def page_detections(spark, sf_dir):
     """All detectors over the visible text of the pages."""
     lines = document_lines(page_text(table(spark, sf_dir, "pages")), "page_id")
-    return review.add_review(detectors.detect(lines, KEYS)).select(F.col("doc_id").alias("page_id"), "line_index", "type", "rule_id", "text", "start", "validation", "needs_review")
+    return review.add_review(pages.detect_lines(lines, ["doc_id"])).select(F.col("doc_id").alias("page_id"), "line_index", "type", "rule_id", "text", "start", "validation", "needs_review")
 
 
 @query()
@@ -286,8 +308,8 @@ def word_candidates(spark, sf_dir):
     return pages.candidates(words, ["doc_id", "page"]).select(F.col("doc_id").alias("item_id"), "line_index", "first_word", F.col("n_words").cast("long").alias("n_words"), "spaced")
 
 
-@query(f"""WITH {LINES}, l AS (SELECT doc_id, line_index, trim(text, ' ') AS t FROM lines WHERE trim(text, ' ') <> ''),
-n AS (SELECT *, lead(line_index, 1) OVER w AS i1, lead(line_index, 2) OVER w AS i2, lead(t, 1) OVER w AS t1 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)),
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, line_index // {pages.PAGE_LINES} AS page, line_index, trim(text, ' ') AS t FROM lines WHERE trim(text, ' ') <> ''),
+n AS (SELECT *, lead(line_index, 1) OVER w AS i1, lead(line_index, 2) OVER w AS i2, lead(t, 1) OVER w AS t1 FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_index)),
 p AS (SELECT *, NOT regexp_matches(t, '[.!?:]$') AND i1 = line_index + 1 AS w0, NOT regexp_matches(t1, '[.!?:]$') AND i2 = i1 + 1 AS w1 FROM n)
 SELECT doc_id, line_index, CASE WHEN w1 THEN 3 ELSE 2 END AS n_lines FROM p WHERE w0""")
 def wrapped_lines(spark, sf_dir):
@@ -297,12 +319,11 @@ def wrapped_lines(spark, sf_dir):
 
 @query()
 def placed_detections(spark, sf_dir):
-    """Detections of the documents with the boxes of their words, less shadowed ones."""
+    """Detections of the documents with the boxes of their words, less shadowed ones: rows carry their line, so no words are joined."""
     keys = ["doc_id", "page"]
-    lines = pages.lay_out(table(spark, sf_dir, "documents"))
-    found = review.add_review(detectors.detect(lines, [*keys, "line_index"]))
-    boxed = pages.place(found, pages.words_of(lines.join(found.select(*keys, "line_index").distinct(), [*keys, "line_index"], "left_semi"), keys), keys)
-    named = boxed.withColumn("id", F.xxhash64(*keys, "line_index", "type", "span", "occurrence"))
+    lines = pages.lay_out(table(spark, sf_dir, "documents")).withColumn("line", F.col("text"))
+    found = review.add_review(pages.detect_lines(lines, keys, carry=("line", "x0", "y0", "x1", "y1")))
+    named = pages.place_on_line(found, "line").drop("line").withColumn("id", F.concat_ws("-", *keys, "line_index", "type", F.coalesce("rule_id", F.lit("")), "start", "span"))
     return spatial.suppress(named, keys).select(*keys, "line_index", "type", "text", "x0", "y0", "x1", "y1", "validation")
 
 
@@ -368,14 +389,18 @@ def prepared_images(spark, sf_dir):
 
 @query()
 def masked_documents(spark, sf_dir):
-    """Every document with its automatic detections covered: digest, covered characters and values left over."""
+    """Every document with its automatic detections covered, wherever their values stand: digest, covered characters and values left over.
+
+    Detections meet the lines once, as arrays; covering and the check of what is left read the same row.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = document_lines(docs)
-    found = review.automatic(review.add_review(detectors.detect(lines, KEYS)))
-    covered = masking.mask(lines, found, KEYS)
-    left = masking.leaks(covered, found, KEYS).groupBy("doc_id").agg(F.count("*").alias("n_leaks"))
-    made = covered.groupBy("doc_id").agg(F.sum(F.length("masked") - F.length(F.replace("masked", F.lit("█"), F.lit("")))).alias("n_covered"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "masked"))), lambda x: x["masked"]), "\n")).alias("masked_md5"))
-    return docs.select("doc_id").join(made, "doc_id", "left").join(left, "doc_id", "left").select("doc_id", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "masked_md5", F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"))
+    found = review.automatic(review.add_review(pages.detect_lines(lines, ["doc_id"])))
+    covered = masking.cover_pages(lines, found, KEYS, ["doc_id"], keep_terms=True)
+    left = F.size(F.filter("terms", lambda t: masking.uncovered(F.col("text"), F.col("masked"), t)))
+    covered = covered.withColumn("n_left", F.when(F.col("terms").isNotNull(), left).otherwise(0))
+    made = covered.groupBy("doc_id").agg(F.sum(F.length("masked") - F.length(F.replace("masked", F.lit("█"), F.lit("")))).alias("n_covered"), F.sum("n_left").alias("n_leaks"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "masked"))), lambda x: x["masked"]), "\n")).alias("masked_md5"))
+    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "masked_md5", F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"))
 
 
 # --- reports and streams ------------------------------------------------------------------------------------------------
@@ -384,14 +409,14 @@ def masked_documents(spark, sf_dir):
 @query(f"""WITH {LINES}, e AS (SELECT DISTINCT doc_id, line_index, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS text FROM lines)
 SELECT lang, source, count(*) AS n FROM e JOIN documents d USING (doc_id) GROUP BY ROLLUP (lang, source)""")
 def email_rollup(spark, sf_dir):
-    found = _found(spark, sf_dir, "email")
+    found = _found(spark, sf_dir, "email").select(*KEYS, "text").distinct()
     return reports.rollup(found, table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
 @query()
 def detection_summary(spark, sf_dir):
     """Detections by language and type, those for review apart."""
-    found = review.add_review(detectors.detect(_lines(spark, sf_dir), KEYS))
+    found = review.add_review(pages.detect_lines(_lines(spark, sf_dir), ["doc_id"]))
     return reports.summary(found, table(spark, sf_dir, "documents"))
 
 

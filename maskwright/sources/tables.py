@@ -32,9 +32,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", name.alias("name"), F.col("length").alias("size"), kind.alias("kind"), "content")
 
 
-def rules(spark: SparkSession, path: str) -> list:
-    """Rules of a JSON settings file; rows that make no usable rule are left out."""
+def rules(spark: SparkSession, path: str, most: int = 1000) -> list:
+    """Rules of a JSON settings file; rows that make no usable rule are left out. Over ``most`` rows are an error."""
     from maskwright.functions.detectors import Rule
 
-    rows = spark.read.json(path).limit(1000).collect()  # a settings file, not data
+    rows = spark.read.json(path).limit(most + 1).collect()  # a settings file, not data
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules in {path}: each is a pattern over every row")
     return [r for r in (Rule.of(row.asDict()) for row in rows) if r]

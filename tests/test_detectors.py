@@ -87,14 +87,14 @@ def found(spark):
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_case(found, i):
     _, kind, want = CASES[i]
-    got = [("?" if r.needs_review else "") + r.text for r in found.get((i, kind), [])]
+    got = [("?" if r.needs_review else "") + r.text for r in found.get((i, kind), []) if r.listed]
     assert got == want
 
 
 def test_spans_lie_at_their_start(found):
     for (i, kind), rows in found.items():
         for r in rows:
-            if r.start is not None and kind not in ("session_id", "ipv4", "phone"):
+            if r.start is not None:
                 assert CASES[i][0][r.start : r.start + len(r.span)] == r.span
 
 
