@@ -29,6 +29,18 @@ def sanitize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[\t\x0b-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " "))
 
 
+def sanitize_line(text: Column) -> Column:
+    """Line breaks of one kind, other white space as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[^\\S\n]+", " "))
+
+
+def extend_name_suffix(line: Column, start: Column, size: Column) -> Column:
+    """The length of a name at ``start`` with the case ending that an apostrophe joins to it, where one follows."""
+    tail = fold_turkish(F.substring(line, start + size + 1, F.length(line)))
+    ending = "|".join(sorted(fixed.NAME_SUFFIXES, key=lambda w: (-len(w), w)))
+    return size + F.length(F.regexp_extract(tail, f"^(['’´`](?:{ending}))(?![a-z0-9])", 1))
+
+
 def one_dash(text: Column) -> Column:
     """Dashes and underscores of all kinds as one, without blanks around."""
     plain = F.regexp_replace(F.regexp_replace(text, "[‐‑‒–—−]", "-"), "[＿﹍﹎]", "_")

@@ -232,11 +232,6 @@ def suppressed_boxes(spark, sf_dir):
     return spatial.suppress(line_boxes(spark, sf_dir), ["page"]).select("page", "id", "type")
 
 
-@query()
-def deduplicated_boxes(spark, sf_dir):
-    return spatial.deduplicate(line_boxes(spark, sf_dir), ["page"]).select("page", "id", "type")
-
-
 @query(f"WITH {BOXES} SELECT page, id, x0 AS x, y0 AS y, least(x1, 64) - x0 AS w, least(y1, 20) - y0 AS h, '#000000' AS color FROM boxes WHERE least(x1, 64) > x0 AND least(y1, 20) > y0")
 def redaction_rectangles(spark, sf_dir):
     found = line_boxes(spark, sf_dir).withColumns({"width": F.lit(64.0), "height": F.lit(20.0)})
@@ -427,8 +422,12 @@ def event_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from maskwright.plans import planted
+
+    return QUERIES | planted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from maskwright.plans import planted
+
+    return SQL | planted.SQL
