@@ -143,7 +143,7 @@ _LINE_BOXES = f"""boxes AS (SELECT l_orderkey AS page, l_linenumber AS id, {["ph
 
 
 # One item after another of each page and type, largest first; those like a kept one go.
-@query(f"""WITH RECURSIVE {_LINE_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page, type ORDER BY -((x1 - x0) * (y1 - y0)), id) AS n FROM boxes),
+@query(f"""WITH RECURSIVE {_LINE_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page, type ORDER BY -((x1 - x0) * (y1 - y0)), id, text, x0, y0) AS n FROM boxes),
 step AS (SELECT page, type, n, [struct_pack(id := id, text := text, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] AS kept FROM o WHERE n = 1
   UNION ALL
   SELECT o.page, o.type, o.n, CASE WHEN len(list_filter(kept, lambda b:
