@@ -28,6 +28,14 @@ def query(sql: str):
     return add
 
 
+def _made(spark: SparkSession, keys: DataFrame, sql: str) -> DataFrame:
+    """``sql`` over ``keys`` as table orders, under a name that stays in the session only while the plan is made."""
+    keys.createOrReplaceTempView("maskwright_keys")
+    rows = spark.sql(sql.replace("FROM orders", "FROM maskwright_keys"))
+    spark.catalog.dropTempView("maskwright_keys")
+    return rows
+
+
 # Letters that no number pattern reads as digits.
 _KEYS = "SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS STRING), 8, '0') AS d, translate(md5(CAST(o_orderkey AS STRING)), '0123456789bl', 'ghijkmnpqrtu') AS h FROM orders"
 _N = lambda i, of="n": f"CAST(substr({of}, {i}, 1) AS INT)"
@@ -64,9 +72,7 @@ SELECT k, s.type AS type, s.hit AS text, CAST(s.start AS INTEGER) AS start, s.ne
 @query(_WANTED)
 def planted_detections(spark, sf_dir):
     """A value of every type, made from a key, and nothing else found beside it."""
-    for name in ("orders",):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    rows = spark.sql(_PLANTED)
+    rows = _made(spark, table(spark, sf_dir, "orders"), _PLANTED)
     return review.add_review(detectors.detect(rows, ["k"])).where("listed").select("k", "type", "text", "start", "needs_review")
 
 
@@ -75,8 +81,7 @@ SELECT k, 'a b c' AS sanitized, 'Ref 0 5 end' AS trunk, upper('de' || d || 'x')
   'u' || k || CASE k % 3 WHEN 0 THEN '@x.com' WHEN 1 THEN '@x.org' ELSE '@x.qqq' END AS email, 'Maya' AS bare_name, CAST(CASE WHEN k % 2 = 0 THEN 9 ELSE 4 END AS INTEGER) AS extended FROM t""")
 def planted_normalisers(spark, sf_dir):
     """Normalisers over values made from keys."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, c = spark.sql(_KEYS), F.col
+    rows, c = _made(spark, table(spark, sf_dir, "orders"), _KEYS), F.col
     email = F.concat(F.lit("u"), c("k").cast("string"), F.when(c("k") % 3 == 0, "@x.comhello").when(c("k") % 3 == 1, "@x.orgzz").otherwise("@x.qqq"))
     line = F.when(c("k") % 2 == 0, "see Maya'ndan it").otherwise("see Maya'xyz it")
     return rows.select(
@@ -100,8 +105,7 @@ SELECT k, CASE k % 4 WHEN 0 THEN '11-digit,first-digit-nonzero' WHEN 1 THEN '11-
   k % 2 = 0 AS public_pem, k % 2 = 1 AS broken_header, k % 3 <> 0 AS base64, k % 2 = 0 AS glyph_line FROM t""")
 def planted_checks(spark, sf_dir):
     """Validators over values made from keys: each key's rest decides which answer is due."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, k, c = spark.sql(_KEYS), F.col("k"), F.col
+    rows, k, c = _made(spark, table(spark, sf_dir, "orders"), _KEYS), F.col("k"), F.col
     pick = lambda n, *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (k % n + 1).cast("int"))
     hexed = F.lower(F.hex(k % 60000 + 1))
     body = pick(4, F.concat(F.lit("2001:db8::"), hexed), F.concat(F.lit("1:2:3:4:5:6:7:"), hexed), F.concat(F.lit("[2001:db8::1]:"), (k % 60000 + 1).cast("string")), F.concat(F.lit("1:2:"), hexed, F.lit(":g")))
@@ -232,16 +236,14 @@ _LENGTH = "length(w.text) + CASE WHEN w.type = 'ipv4' THEN 2 ELSE 0 END"
 
 
 def _planted_pages(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return pages.lay_out(spark.sql(_PLANTED), "k")
+    return pages.lay_out(_made(spark, table(spark, sf_dir, "orders"), _PLANTED), "k")
 
 
 @query(f"""WITH p AS ({_PLANTED}), w AS (SELECT * FROM ({_WANTED}) WHERE NOT needs_review)
 SELECT p.k, CASE WHEN w.k IS NULL THEN p.text ELSE p.text[1:w.start] || repeat('█', {_LENGTH}) || p.text[w.start + {_LENGTH} + 1:] END AS masked, CAST(0 AS INTEGER) AS n_leaks FROM p LEFT JOIN w ON p.k = w.k""")
 def planted_masking(spark, sf_dir):
     """Texts with what may be covered unseen covered, and values that can still be read."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows = spark.sql(_PLANTED)
+    rows = _made(spark, table(spark, sf_dir, "orders"), _PLANTED)
     found = review.automatic(review.add_review(detectors.detect(rows, ["k"])))
     masked = masking.cover_pages(rows, found, ["k"], ["k"], keep_terms=True)
     left = F.size(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: masking.uncovered(F.col("text"), F.col("masked"), t)))
@@ -265,8 +267,7 @@ SELECT k, CASE k % 3 WHEN 0 THEN 'tckn' WHEN 1 THEN 'custom_rule' ELSE 'email' E
   CASE k % 3 WHEN 0 THEN tckn WHEN 1 THEN {_IBAN} || ' ' || n[1:4] || ' ' || n[5:8] || ' ' || n[9:12] || ' ' || n[13:16] || ' ' || n[17:18] ELSE 'u' || k || '@mail.example.com' END AS text FROM b""")
 def planted_groups(spark, sf_dir):
     """Values that a scanner cut into words."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, k, t = spark.sql(_TCKN), F.col("k"), F.col("tckn")
+    rows, k, t = _made(spark, table(spark, sf_dir, "orders"), _TCKN), F.col("k"), F.col("tckn")
     n, cut = F.lpad(k.cast("string"), 18, "0"), lambda c, a, z: F.substring(c, a, z)
     iban = F.concat_ws(" ", F.concat(F.lit("DE"), F.lpad((98 - (k * 1000000 + 131400) % 97).cast("string"), 2, "0")), *[cut(n, a, 4) for a in (1, 5, 9, 13)], cut(n, 17, 2))
     text = F.when(k % 3 == 0, F.concat_ws(" ", F.lit("no"), cut(t, 1, 3), cut(t, 4, 4), cut(t, 8, 4), F.lit("end"))).when(k % 3 == 1, F.concat(F.lit("pay: "), iban, F.lit(" now."))).otherwise(F.concat(F.lit("see: u"), k.cast("string"), F.lit("@mail .example .com")))
@@ -277,9 +278,8 @@ def planted_groups(spark, sf_dir):
 @query(f"WITH t AS ({_KEYS}) SELECT k, CASE WHEN k % 2 = 1 THEN '0' ELSE '+90' END || ' 532 ' || d[2:4] || ' ' || d[5:6] || ' ' || d[7:8] AS text, CAST(0 AS BIGINT) AS row, 58.0::DOUBLE AS x0, CASE WHEN k % 2 = 1 THEN 238.0 ELSE 262.0 END::DOUBLE AS x1, k % 2 = 1 AS ocr_corrected FROM t")
 def planted_row_phones(spark, sf_dir):
     """Phone numbers over the words of a row, a lone letter O read as a zero."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     number = F.concat(F.lit("tel "), F.when(F.col("k") % 2 == 1, "O").otherwise("+90"), F.lit(" 532 "), F.substring("d", 2, 3), F.lit(" "), F.substring("d", 5, 2), F.lit(" "), F.substring("d", 7, 2))
-    lines = pages.lay_out(spark.sql(_KEYS).select("k", number.alias("text")), "k")
+    lines = pages.lay_out(_made(spark, table(spark, sf_dir, "orders"), _KEYS).select("k", number.alias("text")), "k")
     found = words.phones_in_rows(pages.words_of(lines, ["doc_id", "page"]), ["doc_id", "page"])
     return found.select(F.col("doc_id").alias("k"), "text", F.col("row").cast("long").alias("row"), F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"), "ocr_corrected")
 
@@ -289,8 +289,7 @@ SELECT k, 'iban' AS what, CAST(0 AS INTEGER) AS line_index, {_IBAN} || n AS text
 UNION ALL SELECT k, 'bearer', CAST(i AS INTEGER), 'Bearer ' || h[1:24] FROM b, (VALUES (0), (1)) v(i) WHERE k % 2 = 1""")
 def planted_wraps(spark, sf_dir):
     """Account numbers and bearer tokens that go on in the next line."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, k, n = spark.sql(_KEYS), F.col("k"), F.lpad(F.col("k").cast("string"), 18, "0")
+    rows, k, n = _made(spark, table(spark, sf_dir, "orders"), _KEYS), F.col("k"), F.lpad(F.col("k").cast("string"), 18, "0")
     iban = F.concat(F.lit("pay DE"), F.lpad((98 - (k * 1000000 + 131400) % 97).cast("string"), 2, "0"), F.lit(" "), F.substring(n, 1, 4), F.lit(" "), F.substring(n, 5, 4), F.lit("\n"), F.substring(n, 9, 4), F.lit(" "), F.substring(n, 13, 6), F.lit(" soon"))
     bearer = F.concat(F.lit("Authorization: Bearer "), F.substring("h", 1, 8), F.lit("\n"), F.substring("h", 9, 16))
     lines = pages.lay_out(rows.select("k", F.when(k % 2 == 0, iban).otherwise(bearer).alias("text")), "k")
@@ -303,8 +302,7 @@ def planted_wraps(spark, sf_dir):
 UNION ALL SELECT k, 'api_token', 'api_test_' || h[1:12] FROM t WHERE k % 3 = 1 UNION ALL SELECT k, 'second', tckn FROM t WHERE k % 3 = 2""")
 def planted_readings(spark, sf_dir):
     """Values beside their labels, in pieces, and numbers with a digit too many in a second reading."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, k = spark.sql(_TCKN), F.col("k")
+    rows, k = _made(spark, table(spark, sf_dir, "orders"), _TCKN), F.col("k")
     half = lambda a, b: F.substring("h", a, b)
     text = F.when(k % 3 == 0, F.concat(F.lit("Session ID: sess_"), half(1, 5), F.lit(" "), half(6, 7))).otherwise(F.concat(F.lit("API token: api_test_"), half(1, 5), F.lit(" "), half(6, 7)))
     every = pages.words_of(pages.lay_out(rows.where(k % 3 < 2).select("k", text.alias("text")), "k"), ["doc_id", "page"])
@@ -324,6 +322,6 @@ def visual_lines(spark, sf_dir):
 @query(f"""SELECT k, type, text, CAST(0 AS INTEGER) AS line_index FROM ({_WANTED.replace('FROM orders', 'FROM (SELECT c_custkey AS o_orderkey FROM customer)')})""")
 def planted_scan(spark, sf_dir):
     """The whole scan over planted pages: every source, policy, repeats and shadows removed."""
-    table(spark, sf_dir, "customer").selectExpr("c_custkey as o_orderkey").createOrReplaceTempView("orders")
-    found = scan.scan(pages.lay_out(spark.sql(_PLANTED), "k"), ["doc_id", "page"])
+    keyed = table(spark, sf_dir, "customer").selectExpr("c_custkey as o_orderkey")
+    found = scan.scan(pages.lay_out(_made(spark, keyed, _PLANTED), "k"), ["doc_id", "page"])
     return found.select(F.col("doc_id").alias("k"), "type", "text", "line_index")
