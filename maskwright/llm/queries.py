@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, robust_quality, sentencepiece_codec, sharding, simhash, url_filter
+from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, prefix_trie, robust_quality, sentencepiece_codec, sharding, simhash, url_filter
 from maskwright.llm.runtime import Stages, small_batches
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
@@ -150,9 +150,52 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of rebuilt conversations: c takes the first crc32(c) % 9 turns of conversation c - c % 5."""
+    stages = Stages(spark, "prefix-trie")
+    turns, runs = prefix_trie.number_turns(_table(spark, sf_dir, "conversations"), stages)
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.shared_heads(turns, runs, stages, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, most=8)
+    found = prefix_trie.build(*rebuilt, stages)
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce("text", '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(unhex(sha256(coalesce(role, ''))) || unhex(sha256(coalesce("text", ''))))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s % 2 = 1 THEN xor(s >> 1, CAST(3988292384 AS BIGINT)) ELSE s >> 1 END), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM t GROUP BY conv_id),
+p AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT p.conv_id, t.pos AS d, r, x FROM p JOIN t ON t.conv_id = p.base AND t.pos <= p.h
+  UNION ALL SELECT p.conv_id, p.taken + t.pos - p.h, r, x FROM p JOIN t ON t.conv_id = p.conv_id AND t.pos > p.h),
+k AS (
+  SELECT conv_id, d, list({'r': r, 'x': x}) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS key, strlen(x) AS b FROM rebuilt
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b FROM k GROUP BY d, key),
+m AS (SELECT k.conv_id AS member, k.d, n.conv_id FROM k JOIN n ON k.d = n.d AND k.key = n.key),
+tree AS (SELECT n.conv_id, n.d, n.n_convs, n.b, m.conv_id AS parent FROM n LEFT JOIN m ON m.member = n.conv_id AND m.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM tree WHERE d > 0 GROUP BY ALL),
+full_tree AS (SELECT tree.*, coalesce(n_children, 0) AS n_children FROM tree LEFT JOIN kids USING (conv_id, d)),
+sums AS (
+  SELECT a.conv_id, a.d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved
+  FROM full_tree f JOIN m a ON a.member = f.conv_id AND a.d <= f.d GROUP BY ALL),
+ends AS (
+  SELECT m.conv_id, m.d, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS h
+  FROM m JOIN (SELECT member, max(d) AS d FROM m GROUP BY member) USING (member, d) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM full_tree f JOIN sums s USING (conv_id, d) LEFT JOIN ends e USING (conv_id, d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL}
+    return {"op3_url_filters": OP3_SQL, "op12_prefix_trie": OP12_SQL}
