@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, prefix_trie, robust_quality, sentencepiece_codec, sharding, simhash, url_filter
+from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, prefix_trie, robust_quality, sentencepiece_codec, sharding, simhash, url_filter, whitening
 from maskwright.llm.runtime import Stages, small_batches
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
@@ -150,6 +150,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings on their first 32 components, one row for each vector and component."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+    by_component = found.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "at"), "n", "deviation", "identity_error")
+    return by_component.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "at.whitened", "at.explained", "identity_error")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of rebuilt conversations: c takes the first crc32(c) % 9 turns of conversation c - c % 5."""
     stages = Stages(spark, "prefix-trie")
