@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, prefix_trie, robust_quality, sentencepiece_codec, sharding, simhash, url_filter, whitening
+from maskwright.llm import dac, language_id, multi_index, nbsvm, packing, prefix_counts, prefix_trie, robust_quality, sentencepiece_codec, sharding, simhash, url_filter, whitening
 from maskwright.llm.runtime import Stages, small_batches
 
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or os.path.dirname(public_tokenizers.__file__)
@@ -200,6 +200,14 @@ FROM full_tree f JOIN sums s USING (conv_id, d) LEFT JOIN ends e USING (conv_id,
 """
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, whether they are over 2048, and the longest prefix that isn't."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = prefix_counts.add_prefix_counts(docs, f"{TOKENIZERS}/word_bpe_49k.json", budget=2048, keep=False)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return found.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "kept_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
