@@ -6,16 +6,16 @@ distances (the multi-sequence order of Babenko and Lempitsky, 2012) until a targ
 verified by cosine in double precision. Each pair is looked for once, from its smaller class number.
 
 The number of cells visited is measured: a bounded query set is compared with all rows by brute force, in blocks, and the
-ranks of the true neighbours' cells give the shortest traversal whose recall, a mean over queries, reaches ``recall``.
-Where no query has a neighbour nothing is measured, and the longest traversal is taken. The recall is returned with the rows.
+ranks of the true neighbours' cells give the shortest traversal whose recall, over queries and over pairs, reaches ``recall``.
+Where few queries have a neighbour, copies of them turned away to the threshold are looked for as well. The recall is returned with the rows.
 Codebooks are fitted on a bounded sample (64 rows a centroid, 4096 centroids a half and 128 MB at most); every row is indexed.
 
 Exact copies are one class and are searched once. Cells with many members or visitors are dealt out in blocks of about
 ``block`` rows, and each block pair returns one count and one local root a row, so no group is gathered whole and no
 list of pairs is ever made.
 
-Vectors link only with vectors of their length. Each length with many vectors has an index of its own; the vectors of all other
-lengths are compared exactly, in blocks, as if each such length were one cell.
+Vectors link only with vectors of their length. Each length with more vectors than a block has an index of its own; the vectors of all
+rarer lengths are compared exactly, as if each such length were one cell.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing (n_links 0, its
 own component). Null ids are counted but never name a component. Repeated rows link with each other; a cosine equal to the
@@ -39,7 +39,7 @@ from maskwright.llm.runtime import Stages, hash_sample, heavy_keys, join_spread
 
 MOST_CENTROIDS = 4096
 SAMPLE_BYTES = 128 << 20
-EXACT = 20_000  # lengths with fewer vectors are compared in blocks, without an index
+BLOCK = 384  # rows of a block; lengths with no more vectors are one block, and have no index
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -122,32 +122,47 @@ def fit_grid(groups: DataFrame, n: int, dim: int, cell_rows: int = 64) -> Grid:
     return Grid(k_means(rows[:, :half], k), k_means(rows[:, half:], k) if dim > 1 else np.zeros((1, 0)))
 
 
-def measure_visits(groups: DataFrame, n: int, grid: Grid, least: float, recall: float, queries: int = 512, longest: int = 256, wanted: int = 200, floor: float = 0.9, most: int = 8192) -> tuple[int, float | None]:
-    """(cells to visit, recall measured): query sets in hash order against all rows; only counts are gathered.
+def measure_visits(groups: DataFrame, n: int, grid: Grid, least: float, recall: float, queries: int = 512, longest: int = 256, wanted: int = 200, floor: float = 0.9, most: int = 8192) -> tuple[int, float, float]:
+    """(cells to visit, recall by query, recall by pair): query sets in hash order against all rows; only counts are gathered.
 
-    Recall is the mean over queries with neighbours, so a query in a dense group weighs no more than another. The query set
-    grows to ``most`` until ``wanted`` of them have neighbours. Where none has, recall is None and ``longest`` cells are visited.
-    The traversal is lengthened, to the whole grid if need be, while measured recall is below ``floor``.
+    Recall by query is the mean over queries with neighbours, so a query in a dense group weighs no more than another; recall by pair
+    weighs dense groups most. The traversal reaches ``recall`` in both. The query set grows to ``most`` until ``wanted`` of
+    them have neighbours. With fewer, copies of the queries turned to a cosine of just ``least`` are looked for too, and count
+    alone where no query has a neighbour. The traversal is lengthened, to the whole grid if need be, while recall is below ``floor``.
     """
     whole = len(grid.first) * len(grid.second)
     while True:
         asked = hash_sample(groups, n, queries, 11, "cid").orderBy(F.xxhash64("cid", F.lit(11)), "cid").limit(queries).select("cid", "v").toArrow()
-        reached, met = _reached(groups, grid, least, np.asarray(asked["cid"]), unit(_matrix(asked["v"].combine_chunks())), min(longest, whole))
+        base = unit(_matrix(asked["v"].combine_chunks()))
+        by_query, by_pair, met = _reached(groups, grid, least, np.asarray(asked["cid"]), base, min(longest, whole))
         if met < wanted and queries < min(n, most):
             queries = min(4 * queries, most)
-        elif met and reached[-1] < min(floor, recall) and longest < whole:
+            continue
+        if met < wanted:
+            turned = _turned_recall(grid, base[:512], least, min(longest, whole))
+            by_query, by_pair = (np.minimum(c, turned) if met else turned for c in (by_query, by_pair))
+        lower = np.minimum(by_query, by_pair)
+        if lower[-1] < min(floor, recall) and longest < whole:
             longest = min(4 * longest, whole)
         else:
             break
-    if not met:
-        return len(reached), None
-    enough = np.flatnonzero(reached >= recall - 1e-12)
-    visits = int(enough[0]) + 1 if len(enough) else len(reached)
-    return visits, float(reached[visits - 1])
+    enough = np.flatnonzero(lower >= recall - 1e-12)
+    visits = int(enough[0]) + 1 if len(enough) else len(lower)
+    return visits, float(by_query[visits - 1]), float(by_pair[visits - 1])
 
 
-def _reached(groups: DataFrame, grid: Grid, least: float, ids: np.ndarray, base: np.ndarray, longest: int, block: int = 512) -> tuple[np.ndarray, int]:
-    """(mean recall of the queries with neighbours by number of cells visited, how many such queries there are)."""
+def _turned_recall(grid: Grid, base: np.ndarray, least: float, longest: int) -> np.ndarray:
+    """By number of cells visited, how many rows a copy turned to a cosine of ``least`` finds: the farthest neighbours there can be."""
+    away = np.random.default_rng(12).normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    length = np.sqrt((away * away).sum(1, keepdims=True))
+    away = np.where(length > 1e-9, away / np.maximum(length, 1e-9), 0.0)
+    hit = grid.cells(unit(least * base + (1 - least * least) ** 0.5 * away), longest) == grid.cells(base, 1)
+    return np.cumsum(hit.mean(0))
+
+
+def _reached(groups: DataFrame, grid: Grid, least: float, ids: np.ndarray, base: np.ndarray, longest: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
+    """By number of cells visited: (mean recall of the queries with neighbours, recall over their pairs), and how many such queries there are."""
 
     def ranks(batches):
         for batch in batches:
@@ -166,12 +181,12 @@ def _reached(groups: DataFrame, grid: Grid, least: float, ids: np.ndarray, base:
 
     counts = groups.select("cid", "v").mapInArrow(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
     shares = counts.join(counts.groupBy("query").agg(F.sum("n").alias("of")), "query")
-    found = shares.groupBy("rank").agg(F.sum(F.col("n") / F.col("of")).alias("share")).collect()
-    at_rank = np.zeros(longest + 1)
+    found = shares.groupBy("rank").agg(F.sum(F.col("n") / F.col("of")).alias("share"), F.sum("n").alias("n")).collect()
+    at_rank, pairs = np.zeros(longest + 1), np.zeros(longest + 1)
     for r in found:
-        at_rank[r["rank"]] = r.share
+        at_rank[r["rank"]], pairs[r["rank"]] = r.share, r.n
     met = round(at_rank.sum())
-    return np.cumsum(at_rank)[:-1] / max(met, 1), met
+    return np.cumsum(at_rank)[:-1] / max(met, 1), np.cumsum(pairs)[:-1] / max(pairs.sum(), 1), met
 
 
 def _local_roots(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +245,11 @@ def class_links(placed: DataFrame, least: float, stages: Stages, block: int = 38
     return stages.write(both.groupBy(*key).applyInArrow(verify, "cid long, n long, root long"), "links")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, recall: float = 0.995, block: int = 384, exact: int = EXACT) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors``, and index_recall.
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, recall: float = 0.995, block: int = BLOCK, exact: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``vectors``, index_recall and index_pair_recall.
 
-    index_recall: the recall that was measured for the index over vectors of a row's length; 1 where they are compared exactly, null
-    where nothing could be measured. It is never below 0.9: the traversal is lengthened to the whole grid if need be.
+    The last two: the recall, by query and by pair, that was measured for the index over vectors of a row's length; 1 for lengths of
+    ``exact`` vectors at most, which are compared exactly. Neither is below 0.9: the traversal is lengthened to the whole grid if need be.
     """
     stages = Stages(vectors.sparkSession, "multi-index")
     rows, groups = classes(vectors, stages, id_col, vector_col)
@@ -244,8 +259,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim, n in sorted(large.items()):
         own = groups.where(F.col("dim") == dim)
         grid = fit_grid(own, n, dim)
-        visits, measured[dim] = measure_visits(own, n, grid, least, recall)
-        if measured[dim] is not None and measured[dim] < min(0.9, recall):
+        visits, *measured[dim] = measure_visits(own, n, grid, least, recall)
+        if min(measured[dim]) < min(0.9, recall):
             raise RuntimeError(f"recall {measured[dim]} over vectors of length {dim}")
         found.append(class_links(place(own, grid, visits), least, stages, block))
     if len(large) < groups.select("dim").distinct().count():
@@ -271,7 +286,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     else:
         found = met(rows, named)
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    by_length = F.lit(1.0)
-    for dim, value in measured.items():
-        by_length = F.when(F.size("v") == dim, F.lit(value).cast("double")).otherwise(by_length)
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), by_length.alias("index_recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    by_query = by_pair = F.lit(1.0)
+    for dim, (of_queries, of_pairs) in measured.items():
+        by_query = F.when(F.size("v") == dim, F.lit(of_queries)).otherwise(by_query)
+        by_pair = F.when(F.size("v") == dim, F.lit(of_pairs)).otherwise(by_pair)
+    return found.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), by_query.alias("index_recall"), by_pair.alias("index_pair_recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
