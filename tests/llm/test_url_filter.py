@@ -36,6 +36,20 @@ def test_prefix_entries_keep_their_path_and_may_be_long(spark):
     assert {k: r.categories for k, r in found.items() if r.blocked} == {0: "a", 2: "b", 4: "c"}
 
 
+def test_only_keys_that_may_be_listed_are_asked_for(spark, monkeypatch):
+    """A parent of all hosts, null categories and kinds that nobody asks for; with and without the broadcast of the list's keys."""
+    entries = [("domain", "b.com", "x", "add", day(0)), ("domain", "b.com", None, "add", day(2)), ("other", "b.com", "y", "add", day(0)), ("domain", "a.q.b.net", "z", "add", day(1)), ("prefix", "c.com/p", None, "add", day(0))]
+    captures = [(1, "http://b.com/", day(1), None), (2, "http://www.b.com/", day(3), None), (3, "http://com/", day(3), None), (4, "http://x.a.q.b.net/", day(3), None), (5, "http://c.com/p/q", day(3), None), (6, "http://c.com", day(3), None)]
+    for most in (200_000, 0):
+        monkeypatch.setattr(url_filter, "MOST_KEYS", most)
+        found, _, _ = run(spark, captures, entries)
+        assert {k: (r.hits, r.categories) for k, r in found.items() if r.blocked} == {1: (1, "x"), 2: (2, "x"), 4: (1, "z"), 5: (1, "")}
+    levels = url_filter.key_levels(url_filter.intervals(spark.createDataFrame(entries, "kind string, key string, category string, action string, day date")))
+    assert levels["domain"] == [2, 4] and levels["prefix"] == [1]
+    asked = spark.createDataFrame([("www.b.com", "p/q")], "host string, path string").select(F.inline(url_filter.candidate_keys(levels))).collect()
+    assert sorted(r.key for r in asked) == ["b.com", "www.b.com/p"]
+
+
 def test_query_matches_sql(spark):
     at = "/root/testdata/sf0.001"
     con = duckdb.connect()
