@@ -145,8 +145,8 @@ def group_names(points: DataFrame, stages: Stages, least_rows: int) -> tuple[Dat
     return judged, fitted, used.count()
 
 
-def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int = 6, first_steps: int = 2, most_steps: int = 20) -> DataFrame:
-    """One row of estimates for each grp of ``points`` (doc_id, grp, z1..z4)."""
+def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int = 6, first_steps: int = 2, most_steps: int = 50) -> DataFrame:
+    """One row of estimates for each grp of ``points`` (doc_id, grp, z1..z4). Raises where a determinant still falls after ``most_steps``."""
     sizes = stages.write(points.groupBy("grp").agg(F.count("*").alias("rows")), "sizes")
     sized = points.join(bounded_broadcast(sizes, groups), "grp")
     # Start 0 is the whole group; the others are about a dozen of its rows, drawn by a hash of the vector and id.
@@ -166,6 +166,8 @@ def robust_estimates(points: DataFrame, groups: int, stages: Stages, starts: int
         if not step.where("fell").take(1):
             break
         params = stages.write(params, f"held{k}")
+    else:
+        raise RuntimeError(f"estimates did not settle within {most_steps} steps")
     return params.drop("start", "logdet")
 
 

@@ -51,7 +51,7 @@ def test_written_corpus_reads_back(spark, tmp_path, odd_docs, no_docs):
     plain = Tokenizer.from_file(path)
     for docs, at in ((odd_docs, "odd"), (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "docs"), (no_docs, "none")):
         out = f"file://{tmp_path}/{at}"
-        dac.write_corpus(docs, out, path, end_id=2, segment_tokens=3000)
+        dac.write_corpus(docs, out, path, end_id=2, segment_tokens=700)
         rows = dac.read_documents(spark, out, with_ids=True).orderBy("start").collect()
         want = sorted(((d.doc_id is not None, d.doc_id or 0, d.text or "") for d in docs.collect()))
         ids = [plain.encode(t, add_special_tokens=False).ids + [2] for _, _, t in want]
@@ -59,6 +59,17 @@ def test_written_corpus_reads_back(spark, tmp_path, odd_docs, no_docs):
         assert [r.ids for r in rows] == ids
         assert [r.start for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
         assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+        assert sorted(tuple(r) for r in dac.read_documents(spark, out).collect()) == sorted(tuple(r)[:4] for r in rows) if at != "odd" else True
+        segments = dac.read_segments(spark, out)
+        assert segments.where("n_tokens > 700 or before <> seq * size").count() == 0
+        flat = [t for i in ids for t in i]
+        asked = [0, 1, 699, 700, 701, len(flat) - 1, len(flat) // 2, len(flat) // 3, 5, 5, None, -1, len(flat)]
+        found = {r.position: r.token for r in dac.tokens_at(spark.createDataFrame([(a,) for a in asked], "position long"), out).collect()}
+        assert found == {a: flat[a] for a in asked if a is not None and 0 <= a < len(flat)}
+        if flat:
+            assert [dac.token_at(spark, out, a) for a in (0, 700, len(flat) - 1)] == [flat[0], flat[700], flat[-1]]
+        with pytest.raises(IndexError):
+            dac.token_at(spark, out, len(flat))
 
 
 def slow_first_fit(sizes, capacity):
