@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -51,6 +52,18 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+TAIL = 4
+
+
+def _reach(tokens: dict[str, int]) -> dict[str, int]:
+    """By the last ``TAIL`` symbols of a place, the length of the longest token that may end there; shorter ones where none is named."""
+    out: dict[str, int] = {}
+    for t in tokens:
+        if len(t) >= TAIL:
+            out[t[-TAIL:]] = max(out.get(t[-TAIL:], 0), len(t))
+    return out
+
+
 class Merges:
     """The dynamic programme over one vocabulary of ranked merges."""
 
@@ -66,6 +79,7 @@ class Merges:
         if any(max(self.made[x], self.made[y]) >= rank for (x, y), rank in self.rank.items()):
             raise ValueError("a merge comes before those of its parts")
         self._fits: dict[int, bool] = {}
+        self._done, self._last, self._count, self._out = "", [0], [0], []
         reached = [False] * top
         for t in sorted(range(top), key=self.made.__getitem__):
             a, b = self.left[t], self.right[t]
@@ -73,7 +87,7 @@ class Merges:
         reachable = {s: t for s, t in vocabulary.items() if reached[t]}
         self.inner = {s: t for s, t in reachable.items() if not s.endswith(mark)}
         self.final = {s[: -len(mark)]: t for s, t in reachable.items() if s.endswith(mark) and s != mark}
-        self.longest = max(map(len, itertools.chain(self.inner, self.final)), default=1)
+        self._inner_reach, self._final_reach = _reach(self.inner), _reach(self.final)
 
     def _apart(self, a: int, b: int, first: bool = True) -> bool:
         """Whether the text of a and b is encoded as a, b: no merge over their border comes before those that made both.
@@ -103,25 +117,31 @@ class Merges:
         return known
 
     def counts(self, word: str) -> list[int]:
-        """For each beginning of ``word`` (byte symbols), the tokens of a text that ends there."""
-        size = len(word)
-        inner, final, fits, last, count, out = self.inner, self.final, self.fits, [0] * (size + 1), [0] * (size + 1), []
-        for i in range(1, size + 1):
-            starts = range(max(0, i - self.longest), i)
-            for j in starts:
+        """For each beginning of ``word`` (byte symbols), the tokens of a text that ends there.
+
+        What the word shares with the one before it is not worked out again: callers sort words.
+        """
+        shared = len(os.path.commonprefix((self._done, word)))
+        inner, final, fits, inner_reach, final_reach = self.inner, self.final, self.fits, self._inner_reach, self._final_reach
+        last, count, out = self._last[: shared + 1], self._count[: shared + 1], self._out[:shared]
+        for i in range(shared + 1, len(word) + 1):
+            tail = word[i - TAIL : i] if i >= TAIL else ""
+            for j in range(max(0, i - inner_reach.get(tail, TAIL - 1)), i):
                 t = inner.get(word[j:i])
                 if t is not None and (j == 0 or fits(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
+                    last.append(t)
+                    count.append(count[j] + 1)
                     break
             else:
                 raise ValueError("no token fits")
-            for j in starts:
+            for j in range(max(0, i - final_reach.get(tail, TAIL - 1)), i):
                 t = final.get(word[j:i])
                 if t is not None and (j == 0 or fits(last[j], t)):
                     out.append(count[j] + 1)
                     break
             else:
                 raise ValueError("no token fits")
+        self._done, self._last, self._count, self._out = word, last, count, out
         return out
 
 
@@ -259,6 +279,7 @@ class PrefixCounter:
         return out
 
     def _learn(self, new: list[bytes]) -> None:
+        new.sort(key=lambda b: b.strip().lower())
         found = [self._stretch(b.decode()) for b in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         had = int(self.ends[self.n])
