@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import tokens
-from maskwright.llm.runtime import Stages, bounded_broadcast
+from maskwright.llm.runtime import Stages, bounded_broadcast, trim
 
 MAGIC = b"DAC1"
 RANK = 512
@@ -154,6 +154,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
 
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
+                trim()
                 batch = whole.slice(lo, 2048)
                 for doc, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                     docs.append((doc, place, len(found) + 1))
@@ -191,6 +192,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     def documents(batches):
         for batch in batches:
             for k in range(batch.num_rows):
+                trim()
                 first, seq, before, held, docs, starts, sizes, raw = (batch.column(c)[k].as_py() for c in ("first", "seq", "before", "n_tokens", "doc_ids", "starts", "lengths", "payload"))
                 ids = Segment(raw).decode().astype("<u4")
                 starts, sizes = np.array(starts), np.array(sizes)

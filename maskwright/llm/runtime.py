@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -76,6 +78,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
 
 
+_trimmed = [0.0]
+
+
+def trim(every: float = 1.5) -> None:
+    """Gives memory that a Python worker has freed back to its machine, at most once in ``every`` seconds: workers live on and serve the stages to come."""
+    if time.monotonic() - _trimmed[0] < every:
+        return
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other libraries manage without
+    if give_back is not None:
+        give_back(0)
+    _trimmed[0] = time.monotonic()
+
+
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _batch_rows: set[str] = set()  # what ``small_batches`` has set
 
@@ -109,6 +125,7 @@ def add_columns(
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, max_rows):
+                trim()
                 batch = whole.slice(start, max_rows)
                 new = [pa.array(v, type=t.type) if not isinstance(v, pa.Array) else v.cast(t.type) for v, t in zip(compute(batch.column(at)), types)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *types.names])
@@ -123,6 +140,7 @@ def keep_rows(df: DataFrame, text_col: str, decide: Callable[[pa.Array], np.ndar
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, max_rows):
+                trim()
                 batch = whole.slice(start, max_rows)
                 yield batch.filter(pa.array(decide(batch.column(at)), pa.bool_()))
 
