@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import tokens
-from maskwright.llm.runtime import Stages, without
+from maskwright.llm.runtime import Stages, trim, without
 
 
 class CapacityTree:
@@ -65,8 +65,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
     def cut(batches):
         coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 256):
+                trim()
+                batch = whole.slice(lo, 256)
                 docs, starts, lengths, totals, ids = [], [], [], [], []
                 for doc, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                     all_ids = np.concatenate([found, end]).astype("<u4")

@@ -124,7 +124,7 @@ class Encoder:
             out[row] = ids[a:b]
 
 
-def _by_bytes(texts: pa.Array, rows: np.ndarray, most: int = 6_000_000) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def _by_bytes(texts: pa.Array, rows: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Slices of about ``most`` bytes; a longer text is a slice of its own."""
     if not len(texts):
         return
