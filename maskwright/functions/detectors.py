@@ -7,6 +7,7 @@ Only matches are ever shuffled: for the order of equal values within a text and
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, fixed
 from maskwright.functions import text as T
 from maskwright.functions.patterns import PLACE, SPACE, before, blanked, digits, located, loose_occurrences, occurrences, spelled, squeeze
+from maskwright.sources.tables import spread
 
 HIT = "struct<family:string,start:int,raw:string,g1:string,g2:string,g3:string,g4:string>"
 NONE = f"array<{HIT}>"
@@ -217,7 +219,7 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
         (["connection_url"], has("://"), lambda: _texts("connection_url", connection_urls(text))),
         (["bearer_token"], has("bearer"), lambda: _hits("bearer_token", located(text, fixed.BEARER, 2))),
         (["env_secret"], has("="), lambda: _hits("env_secret", located(text, fixed.ENV, 4))),
-        (["passport"], has("pasaport", "passport"), lambda: _texts("passport", F.filter(F.array(F.regexp_extract(text, spelled(fixed.PASSPORT), 1)), lambda t: t != ""))),
+        (["passport"], has("pasaport", "passport"), lambda: _hits("passport", located(text, fixed.PASSPORT, 1))),
         (["session_id"], has("sess"), lambda: _texts("session_id", session())),
         (["private_key"], has("---"), lambda: _hits("private_key", located(text, key_block))),
         (["person_name"], text.rlike("[:–-]") & word(_label_head(fixed.NAME_LABELS)), lambda: _texts("person_name", labelled_names(text, folded))),
@@ -228,6 +230,12 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
     return F.concat(F.array().cast(NONE), *[_if(test, found()) for types, test, found in families if only is None or set(types) & set(only)])
 
 
+@functools.lru_cache(maxsize=64)
+def _search(rules: tuple[Rule, ...], only: tuple[str, ...] | None, context: int) -> Column:
+    """``raw_hits`` over the columns that ``detect`` makes, put together once for a context: it has thousands of parts."""
+    return raw_hits(F.col("_text"), F.col("_low"), F.col("_fold"), rules, list(only) if only is not None else None)
+
+
 def _any(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:
@@ -244,14 +252,15 @@ def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tupl
     """
     # Lower-cased and folded text are read by many families: projections of their own build them once.
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
-    source = rows.select(*keys, *kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
-    hits = source.select(*keys, *[f"_c_{c}" for c in carry], "_text", F.inline(raw_hits(F.col("_text"), F.col("_low"), F.col("_fold"), rules, only)))
+    source = spread(rows.select(*keys, *kept, F.col(text_col).alias("_text"))).select(*keys, *[f"_c_{c}" for c in carry], F.coalesce("_text", F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
+    hits = source.select(*keys, *[f"_c_{c}" for c in carry], "_text", F.inline(_search(rules, tuple(only) if only is not None else None, id(rows.sparkSession.sparkContext))))
     decided = _ibans(_decide(hits, rules)).where(F.col("type").isNotNull() if only is None else F.col("type").isin(only))
     return _unique(_everywhere(decided), keys, carry)
 
 
-def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    family, raw, start, text = F.col("family"), F.col("raw"), F.col("start"), F.col("_text")
+def accepted(hit: dict[str, Column], text: Column, rules: tuple[Rule, ...]) -> tuple[dict, dict[str, Column]]:
+    """(family -> [(accepted, type, text, span, hint)], tried in order; labels and places that both kinds of caller need) for one hit's fields."""
+    raw, start, g1, g2, g3, g4 = (hit[c] for c in ("raw", "start", "g1", "g2", "g3", "g4"))
     seen = lambda size: T.fold_turkish(before(text, start, size))
     glyph = lambda at: F.substring(text, at, 1)
     fixed_digits = T.correct_digits(raw)
@@ -269,16 +278,15 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     vkn_kept = (vkn_plain & checks.vkn(raw)) | vkn_label | one_glyph
 
     aba_label, ssn_label = seen(32).rlike(spelled(r"(?:^|[^a-z])(?:routing|rtn|aba|ach)\b")), seen(32).rlike(spelled(r"(?:^|[^a-z])(?:ssn|social\s*security|soc\.?\s*sec)\b"))
-    value = F.concat("g2", "g3", "g4")
-    first, second = T.strip_name_suffix(F.col("g2")), T.strip_name_suffix(F.col("g3"))
+    value = F.concat(g2, g3, g4)
+    first, second = T.strip_name_suffix(g2), T.strip_name_suffix(g3)
     fold1, fold2 = T.fold_turkish(first), T.fold_turkish(second)
     name_at = F.length(raw) - F.length(F.regexp_extract(raw, spelled(rf"(?iu)({fixed.NAME_WORD}\s+{fixed.NAME_WORD})$"), 1))
     capital = first.rlike("^[A-ZÇĞİÖŞÜ]") & second.rlike("^[A-ZÇĞİÖŞÜ]")
     known = fold1.isin(fixed.GIVEN_NAMES) & (fold2.isin(fixed.SURNAMES) | capital)
-    name_ok = (F.length(first) >= 2) & (F.length(second) >= 2) & ~fold1.isin(fixed.NAME_STOPWORDS) & ~fold2.isin(fixed.NAME_STOPWORDS) & (((F.col("g1") != "") & capital) | known)
+    name_ok = (F.length(first) >= 2) & (F.length(second) >= 2) & ~fold1.isin(fixed.NAME_STOPWORDS) & ~fold2.isin(fixed.NAME_STOPWORDS) & (((g1 != "") & capital) | known)
     key_ok = ~checks.public_pem(F.regexp_extract(raw, spelled(fixed.KEY_HEADER), 0))
 
-    # family -> [(accepted, type, text, span, needs_review)], tried in order
     table = {
         "email": [(F.lit(True), "email", T.trim_email_tld(raw), raw, None)],
         "ipv4": [(checks.ipv4(address), "ipv4", address, raw, None)],
@@ -291,13 +299,13 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         "iban": [(F.lit(True), "custom_rule", F.trim(raw), F.trim(raw), None)],
         "api_token": [(F.lit(True), "api_token", raw, raw, None)],
         "connection_url": [(F.lit(True), "connection_url", raw, raw, None)],
-        "bearer_token": [(F.lit(True), "bearer_token", F.concat(F.lit("Bearer "), "g2"), F.col("g1"), None)],
-        "env_secret": [(F.col("g1").rlike(fixed.ENV_KEY) & (F.length(value) >= 8), "env_secret", value, value, None), (F.col("g1").rlike(fixed.ENV_KEY) & (value != ""), "env_secret", value, value, "short_secret")],
-        "passport": [(F.lit(True), "passport", F.upper(raw), raw, None)],
+        "bearer_token": [(F.lit(True), "bearer_token", F.concat(F.lit("Bearer "), g2), g1, None)],
+        "env_secret": [(g1.rlike(fixed.ENV_KEY) & (F.length(value) >= 8), "env_secret", value, value, None), (g1.rlike(fixed.ENV_KEY) & (value != ""), "env_secret", value, value, "short_secret")],
+        "passport": [(F.lit(True), "passport", F.upper(g1), g1, None)],
         "session_id": [(F.lit(True), "session_id", raw, raw, None)],
         "private_key": [(key_ok, "private_key", F.regexp_replace(raw, f"{SPACE}+$", ""), F.regexp_replace(raw, f"{SPACE}+$", ""), None)],
         "person_name": [(F.lit(True), "person_name", raw, raw, None)],
-        "name_pair": [(name_ok, "person_name", F.concat_ws(" ", first, second), F.substring(raw, name_at + 1, F.length(raw) - name_at - F.length("g3") + F.length(second)), None)],
+        "name_pair": [(name_ok, "person_name", F.concat_ws(" ", first, second), F.substring(raw, name_at + 1, F.length(raw) - name_at - F.length(g3) + F.length(second)), None)],
         "location": [(F.lit(True), "location", raw, raw, None)],
         **{f"rule:{r.id}": [(F.trim(raw) != "", "custom_rule", F.trim(raw), F.trim(raw), "custom_id" if r.id == "custom-id" else None)] for r in rules},
     }
@@ -306,19 +314,31 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         F.when(checks.ssn(raw), F.struct(F.lit("ssn").alias("type"), raw.alias("text"), raw.alias("span"), F.when(~ssn_label, "ssn_unlabeled").alias("hint"))),
         F.when(checks.aba(raw) | (checks.aba_prefix(raw) & aba_label), F.struct(F.lit("routing_number").alias("type"), raw.alias("text"), raw.alias("span"), F.when(~checks.aba(raw), "routing_unverified").alias("hint"))),
     )
-    chosen = F.when(family == "nine", nine)
+    return table | {"nine": nine}, {"vkn_label": vkn_label, "name_at": name_at}
+
+
+def first_of(options: list[tuple]) -> Column:
+    """array<struct<type, text, span, hint>> of the first option that is accepted; null where none is."""
+    cases = None
+    for ok, kind, shown, span, hint in options:
+        made = F.array(F.struct(F.lit(kind).alias("type"), shown.alias("text"), span.alias("span"), F.lit(hint).cast("string").alias("hint")))
+        cases = F.when(ok, made) if cases is None else cases.when(ok, made)
+    return cases
+
+
+def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    family, raw, start, text = F.col("family"), F.col("raw"), F.col("start"), F.col("_text")
+    table, also = accepted({c: F.col(c) for c in ("raw", "start", "g1", "g2", "g3", "g4")}, text, rules)
+    chosen = F.when(family == "nine", table["nine"])
     for name, options in table.items():
-        cases = None
-        for ok, kind, shown, span, hint in options:
-            made = F.array(F.struct(F.lit(kind).alias("type"), shown.alias("text"), span.alias("span"), F.lit(hint).cast("string").alias("hint")))
-            cases = F.when(ok, made) if cases is None else cases.when(ok, made)
-        chosen = chosen.when(family == name, cases)
+        if name != "nine":
+            chosen = chosen.when(family == name, first_of(options))
     found = hits.withColumn("_m", F.explode(F.filter(chosen, lambda m: m.isNotNull())))
     rule = F.when(F.startswith(family, F.lit("rule:")), F.substring(family, 6, 60)).when(family == "iban", "iban").when(F.col("_m.type") == "tckn", "tckn")
     names = {f"rule:{r.id}": r.label for r in rules} | {"iban": fixed.LABELS["iban"]}
     label = F.coalesce(*[F.when(family == k, F.lit(v)) for k, v in names.items()], *[F.when(F.col("_m.type") == k, F.lit(v)) for k, v in fixed.LABELS.items()])
     shown_key = F.when(family == "env_secret", F.col("g1"))
-    labeled = F.when(family == "vkn", vkn_label).when(family == "passport", True).when(family == "phone", before(T.rewrite_trunk_o(text), start, 24).rlike(spelled(r"(?i)(?:^|[^a-z])(?:tel|telefon|phone)\s*:?\s*$"))).otherwise(False)
+    labeled = F.when(family == "vkn", also["vkn_label"]).when(family == "passport", True).when(family == "phone", before(T.rewrite_trunk_o(text), start, 24).rlike(spelled(r"(?i)(?:^|[^a-z])(?:tel|telefon|phone)\s*:?\s*$"))).otherwise(False)
     original = F.substring(text, start + 1, F.length(raw))
     ocr = F.when(family == "phone", (start >= 0) & (original != raw)).otherwise(False)
     skipped = (family == "phone") & F.col("labeled") & raw.rlike("^0(?!0)") & ~checks.turkish_carrier(raw)
@@ -326,7 +346,7 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     out = out.withColumn("carrier_skipped", F.coalesce(skipped, F.lit(False)))
     # A span inside its match starts later: at the end for values and tokens, at the first name for names.
     tail = F.length("raw") - F.length("span")
-    inner = F.when(family == "bearer_token", tail).when(family == "env_secret", tail - F.when((F.col("g2") != "") | (F.col("g3") != ""), 1).otherwise(0)).when(family == "name_pair", name_at).when(family == "iban", F.greatest(F.instr(F.col("raw"), F.col("span")) - 1, F.lit(0))).otherwise(0)
+    inner = F.when(family.isin("bearer_token", "passport"), tail).when(family == "env_secret", tail - F.when((F.col("g2") != "") | (F.col("g3") != ""), 1).otherwise(0)).when(family == "name_pair", also["name_at"]).when(family == "iban", F.greatest(F.instr(F.col("raw"), F.col("span")) - 1, F.lit(0))).otherwise(0)
     part = F.coalesce((family == "phone") & (F.col("g1") == "part"), F.lit(False))
     return out.withColumns({"start": F.col("start") + inner, "_part": part}).drop("_m", "raw", "g1", "g2", "g3", "g4")
 

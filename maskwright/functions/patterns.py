@@ -21,25 +21,36 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(spelled(pattern)), F.lit(0))
 
 
+# Noncharacters around each match, and before each of its groups: no text holds them, and should one, it is read as a replacement character.
+_OPEN, _GROUP, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _marked(text: Column, full: str, groups: int = 0) -> Column:
+    """The text cut before each match of ``full``; a match's part goes on with its groups and, after the closing mark, with the text up to the next."""
+    plain = F.translate(text, _OPEN + _GROUP + _CLOSE, "\ufffd" * 3)
+    return F.split(F.regexp_replace(plain, full, _OPEN + "$0" + "".join(f"{_GROUP}${k}" for k in range(1, groups + 1)) + _CLOSE), _OPEN, -1)
+
+
 def located(text: Column, pattern: str, groups: int = 0, most_groups: int = 4) -> Column:
     """array<struct<start, raw, g1..g4>> of all matches: start counts code points from 0.
 
-    Positions are the running sum of the gaps and matches before, so no row leaves the JVM. Groups that took
-    no part are empty.
+    The pattern runs over the text once and leaves marks around its matches; positions are the running sum of the lengths between marks, so no
+    row leaves the JVM. Groups that took no part are empty.
     """
     full = spelled(pattern)
-    parts = [F.regexp_extract_all(text, F.lit(full), F.lit(k)) for k in range(groups + 1)]
-    gaps = F.split(text, full, -1)
-    named = F.arrays_zip(gaps.alias("gap"), *[p.alias(f"p{k}") for k, p in enumerate(parts)])
     hit = "struct<start:int,raw:string," + ",".join(f"g{k}:string" for k in range(1, most_groups + 1)) + ">"
     empty = F.array().cast(f"array<{hit}>")
+    parts = _marked(text, full, groups)
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["gap"])
-        found = F.struct(start.alias("start"), x["p0"].alias("raw"), *[(x[f"p{k}"] if k <= groups else F.lit("")).alias(f"g{k}") for k in range(1, most_groups + 1)])
-        return F.when(x["p0"].isNull(), seen).otherwise(F.struct((start + F.length(x["p0"])).alias("at"), F.array_append(seen["out"], found.cast(hit)).alias("out")))
+    def step(seen: Column, p: Column) -> Column:
+        fields = F.split(F.substring_index(p, _CLOSE, 1), _GROUP, -1)
+        raw = F.get(fields, 0) if groups else F.substring_index(p, _CLOSE, 1)
+        named = [(F.get(fields, k) if k <= groups else F.lit("")).alias(f"g{k}") for k in range(1, most_groups + 1)]
+        found = F.struct(seen["at"].alias("start"), raw.alias("raw"), *named)
+        return F.struct((seen["at"] + F.length(raw) + F.length(F.substring_index(p, _CLOSE, -1))).alias("at"), F.array_append(seen["out"], found.cast(hit)).alias("out"))
 
-    summed = F.aggregate(named, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    begin = F.struct(F.length(F.get(parts, 0)).alias("at"), empty.alias("out"))
+    summed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step, lambda s: s["out"])
     return F.when(text.rlike(full), summed).otherwise(empty)
 
 
@@ -61,16 +72,16 @@ def squeeze(text: Column) -> Column:
 def blanked(text: Column, pattern: str) -> Column:
     """``text`` with blanks for every character of the matches, so that positions stay."""
     full = spelled(pattern)
-    parts = F.arrays_zip(F.split(text, full, -1).alias("gap"), F.regexp_extract_all(text, F.lit(full), F.lit(0)).alias("hit"))
-    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.length(x["hit"]), F.lit(0))))), "")
+    gap = lambda p: F.substring_index(p, _CLOSE, -1)
+    joined = F.array_join(F.transform(_marked(text, full), lambda p: F.concat(F.repeat(F.lit(" "), F.length(p) - F.length(gap(p)) - F.when(F.contains(p, F.lit(_CLOSE)), 1).otherwise(0)), gap(p))), "")
     return F.when(text.rlike(full), joined).otherwise(text)
 
 
 PLACE = "array<struct<start:int,size:int>>"
 
 
-def occurrences(text: Column, value: Column) -> Column:
-    """array<struct<start, size>>: where ``value`` stands in ``text``, without overlaps, as whole words."""
+def occurrences(text: Column, value: Column, whole: bool = True) -> Column:
+    """array<struct<start, size>>: where ``value`` stands in ``text``, without overlaps; as whole words, or anywhere."""
     size = F.length(value)
     many = F.when(size > 0, ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / size).cast("int")).otherwise(0)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out"))
@@ -83,7 +94,7 @@ def occurrences(text: Column, value: Column) -> Column:
     glyph = lambda at: F.substring(text, at, F.lit(1))
     alnum = "[A-Za-z0-9]"
     apart = lambda x: ~(F.substring(value, 1, 1).rlike(alnum) & (x["start"] > 0) & glyph(x["start"]).rlike(alnum)) & ~(value.rlike(alnum + "$") & glyph(x["start"] + size + 1).rlike(alnum))
-    return F.when(many > 0, F.filter(found, apart)).otherwise(F.array().cast(PLACE))
+    return F.when(many > 0, F.filter(found, apart) if whole else found).otherwise(F.array().cast(PLACE))
 
 
 #: What scanners add, drop or change inside a value.

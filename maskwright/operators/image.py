@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.operators.joins import meet
+
 # Window, strength and range of the local threshold, contrast scale, percentiles of the stretch.
 WINDOW, K, RANGE, CONTRAST, STRETCH = 25, 0.18, 128.0, 48.0, (0.05, 0.95)
+# Where pixels count as bright or dark glyphs, and the least span of the stretch.
+BRIGHT, DARK, LEAST_SPAN = 168, 88, 24
 
 
 def gray_stats(pixels: Column) -> Column:
@@ -56,24 +60,24 @@ def local_moments(gray: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, n
 
 def normalize_contrast(gray: np.ndarray) -> np.ndarray:
     mean, sd = local_moments(gray)
-    return np.clip((gray - mean) / np.maximum(sd, 1) * CONTRAST + 128, 0, 255)
+    return np.clip(128 + (gray - mean) * CONTRAST / (sd + 4), 0, 255)
 
 
 def prefer_dark_glyphs(gray: np.ndarray) -> np.ndarray:
-    """Inverted where more pixels are bright glyphs on dark than the reverse."""
-    return 255 - gray if (gray < 128).mean() > 0.5 else gray
+    """Inverted where more pixels are clearly bright than clearly dark; what becomes of fractions is as bytes have it."""
+    return np.trunc(255 - gray) if (gray >= BRIGHT).sum() > (gray <= DARK).sum() else gray
 
 
 def sauvola(gray: np.ndarray) -> np.ndarray:
     mean, sd = local_moments(gray)
-    return np.where(gray > mean * (1 + K * (sd / RANGE - 1)), 255.0, 0.0)
+    return np.where(gray < mean * (1 + K * (sd / RANGE - 1)), 0.0, 255.0)
 
 
 def stretch(gray: np.ndarray) -> np.ndarray:
     """Linear stretch between two order statistics of every eighth pixel."""
     seen = np.sort(gray.ravel()[::8])
-    lo, hi = (seen[int(q * (len(seen) - 1))] for q in STRETCH)
-    return np.clip((gray - lo) * 255 / max(hi - lo, 1), 0, 255)
+    lo, hi = (seen[int(q * len(seen))] for q in STRETCH)
+    return np.clip(np.floor((gray - lo) / max(LEAST_SPAN, hi - lo) * 255 + 0.5), 0, 255)
 
 
 def upscale(gray: np.ndarray, factor: int = 3) -> np.ndarray:
@@ -97,43 +101,45 @@ VARIANTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 def prepare(images: DataFrame, variant: str, id_col: str = "id") -> DataFrame:
     """id, width, height and pixels of one variant of every image; an image whose bytes don't fit its size has an error."""
     make = VARIANTS[variant]
-
-    def over(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                size = None if row.pixels is None else len(row.pixels)
-                if size is None or size != row.width * row.height or not size:
-                    out.append((row.id, row.width, row.height, None, "pixels do not fit the size"))
-                    continue
-                done = make(np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width).astype(np.float64))
-                out.append((row.id, done.shape[1], done.shape[0], np.rint(done).astype(np.uint8).tobytes(), None))
-            yield pd.DataFrame(out, columns=["id", "width", "height", "pixels", "error"])
-
-    rows = images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
-    return rows.mapInPandas(over, "id long, width int, height int, pixels binary, error string")
+    return _each(_images(images, id_col), lambda gray, _: make(gray.astype(np.float64)))
 
 
 def burn(images: DataFrame, rectangles: DataFrame, id_col: str = "id") -> DataFrame:
-    """``images`` with every rectangle (id, x, y, w, h in pixels) painted black.
+    """``images`` with every rectangle (id, x, y, w, h in pixels) painted black, and ``error`` where the bytes don't fit the size.
 
-    Rectangles are gathered for each image, whose own size bounds how many matter.
+    Rectangles are gathered for each image, whose own size bounds how many matter. Null ids are one id.
     """
     boxes = rectangles.where("w > 0 and h > 0").groupBy(F.col(id_col).alias("id")).agg(F.collect_set(F.struct("x", "y", "w", "h")).alias("boxes"))
 
-    def over(frames):
-        for frame in frames:
-            painted = []
-            for row in frame.itertuples(index=False):
-                if row.pixels is None or row.boxes is None:
-                    painted.append(row.pixels)
-                    continue
-                image = np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width).copy()
-                for b in row.boxes:
-                    x0, y0 = max(0, int(np.floor(b["x"]))), max(0, int(np.floor(b["y"])))
-                    image[y0 : int(np.ceil(b["y"] + b["h"])), x0 : int(np.ceil(b["x"] + b["w"]))] = 0
-                painted.append(image.tobytes())
-            yield frame.drop(columns="boxes").assign(pixels=painted)
-
-    rows = images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
-    return rows.join(boxes, "id", "left").mapInPandas(over, "id long, width int, height int, pixels binary")
+    def paint(image: np.ndarray, boxes: list) -> np.ndarray:
+        image = image.copy()
+        for b in boxes:
+            x0, y0 = max(0, int(np.floor(b["x"]))), max(0, int(np.floor(b["y"])))
+            image[y0 : max(0, int(np.ceil(b["y"] + b["h"]))), x0 : max(0, int(np.ceil(b["x"] + b["w"])))] = 0
+        return image
+
+    return _each(meet(_images(images, id_col), boxes, ["id"], "left"), lambda image, row: paint(image, row.get("boxes") or []))
+
+
+def _images(images: DataFrame, id_col: str) -> DataFrame:
+    return images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
+
+
+def _each(images: DataFrame, make: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
+    """id, width, height, pixels and error: ``make(gray, row)`` of every image, batch by batch; an image whose bytes don't fit its size has an error."""
+
+    def over(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(start, 64).to_pylist():
+                    raw, size = row["pixels"], (row["height"], row["width"])
+                    if raw is None or None in size or min(size) < 1 or len(raw) != size[0] * size[1]:
+                        out.append((row["id"], row["width"], row["height"], None, "pixels do not fit the size"))
+                        continue
+                    done = make(np.frombuffer(raw, np.uint8).reshape(size), row)
+                    out.append((row["id"], done.shape[1], done.shape[0], np.rint(done).astype(np.uint8).tobytes(), None))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "width", "height", "pixels", "error"])
+
+    return images.mapInArrow(over, "id long, width int, height int, pixels binary, error string")

@@ -1,4 +1,8 @@
-"""Masking of text and the checks after it."""
+"""Masking of text and the checks after it.
+
+Keys may be null and need not be unique: rows with equal keys, null ones among them, are one row's copies, and what is found in any of them
+is covered in all. So nothing stays readable for want of a key.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.patterns import occurrences
+from maskwright.operators.joins import meet
 
 
 PLACES = "array<struct<a:int,b:int>>"
@@ -33,7 +38,7 @@ def covered(text: Column, spans: Column, char: str = "█") -> Column:
 def mask(docs: DataFrame, spans: DataFrame, keys: list[str], text_col: str = "text", char: str = "█") -> DataFrame:
     """``docs`` with ``masked``: every character of a span (keys, start, span) replaced; a row without spans keeps its text."""
     parts = spans_of(spans, keys).select(*keys, F.col("spans").alias("_spans"))
-    joined = docs.join(parts, keys, "left")
+    joined = meet(docs, parts, keys, "left")
     return joined.withColumn("masked", covered(F.col(text_col), F.col("_spans").cast(PLACES), char)).drop("_spans")
 
 
@@ -51,7 +56,7 @@ def leaks(masked: DataFrame, detections: DataFrame, keys: list[str], page_keys:
     page_keys = page_keys or keys
     terms = detections.select(*page_keys, F.trim("span").alias("span")).where(F.length("span") > 2).distinct()
     rows = masked.select(*keys, F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
-    met = terms.join(rows, page_keys).where(F.contains("_source", F.col("span")))
+    met = meet(rows, terms, page_keys).where(F.contains("_source", F.col("span")))
     return met.where(uncovered(F.col("_source"), F.col("_text"), F.col("span"))).select(*keys, "span")
 
 
@@ -63,7 +68,7 @@ def cover_pages(lines: DataFrame, detections: DataFrame, keys: list[str], page_k
     """
     spans = spans_of(detections, keys)
     terms = spans.select(*page_keys, F.explode("terms").alias("_t")).where(F.length("_t") > 2).groupBy(*page_keys).agg(F.sort_array(F.collect_set("_t")).alias("_terms"))
-    joined = lines.join(spans.select(*keys, "spans"), keys, "left").join(terms, page_keys, "left")
+    joined = meet(meet(lines, spans.select(*keys, "spans"), keys, "left"), terms, page_keys, "left")
     text = F.col("text")
     near = F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: F.contains(text, t))
     elsewhere = F.flatten(F.transform(near, lambda t: F.transform(occurrences(text, t), lambda x: F.struct(x["start"].alias("a"), (x["start"] + x["size"]).alias("b")))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, fixed
 from maskwright.functions import text as T
 from maskwright.functions.patterns import SPACE, spelled
+from maskwright.operators.joins import meet
 from maskwright.operators.spatial import BOX
 
 # Layout of plain text as a page: one line for each line break, glyphs of one width.
@@ -77,6 +78,20 @@ def candidates(words: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
     return made.where(F.col("text") != "")
 
 
+def rolled(lines: DataFrame, page_col: str = "page", most: int = 2) -> DataFrame:
+    """Laid-out lines (``lay_out``) with the first ``most`` of each page also below the page before, so that what wraps over its end is seen."""
+    place = F.col("line_index") % PAGE_LINES
+    both = F.when((place < most) & (F.col(page_col) > 1), F.array(F.col(page_col), F.col(page_col) - 1)).otherwise(F.array(F.col(page_col)))
+    rows = lines.withColumn("_p", F.explode(both))
+    down = F.when(F.col("_p") < F.col(page_col), float(PAGE_LINES * (HEIGHT + GAP))).otherwise(0.0)
+    return rows.withColumns({"y0": F.col("y0") + down, "y1": F.col("y1") + down, page_col: F.col("_p")}).drop("_p")
+
+
+def that_hold(lines: DataFrame, keys: list[str], test: Column) -> DataFrame:
+    """The lines of pages of which some line passes ``test``: windows then run over few pages."""
+    return meet(lines, lines.where(test).select(*keys).distinct(), keys, "left_semi") if keys else lines
+
+
 def wraps(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``lines`` with ``wraps``: whether the next line may continue this one.
 
@@ -170,7 +185,8 @@ def seed_phrase_lines(lines: DataFrame, keys: list[str], wordlist: DataFrame, mo
     """
     single = seed_phrases(lines, [*keys, "line_index"], wordlist).select(*keys, "line_index", "text", F.col("text").alias("span"))
     chains = wrapped_windows(lines, keys, most_lines)
-    found = seed_phrases(chains, [*keys, "line_index"], wordlist).join(chains.select(*keys, "line_index", "line_indexes", "texts"), [*keys, "line_index"])
+    found = seed_phrases(chains, [*keys, "line_index"], wordlist)
+    found = meet(found, chains.select(*keys, "line_index", "line_indexes", "texts"), [*keys, "line_index"])
     # Words of the chain with their lines, cut to the phrase's own.
     own = F.flatten(F.zip_with("line_indexes", "texts", lambda i, t: F.transform(F.split(t, " "), lambda w: F.struct(i.alias("line_index"), w.alias("w")))))
     taken = found.withColumn("_w", F.slice(own, F.col("start_word") + 1, F.size(F.split("text", " ")))).withColumn("_i", F.array_distinct(F.transform("_w", lambda w: w["line_index"]))).where(F.size("_i") >= 2)
@@ -183,18 +199,22 @@ def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line_index, text, span, start, block: one row for each line of a private key.
 
     A key goes from its header to the next end line, or over 40 lines where there is none. On pages without a readable header, a line
-    with a word of one and two lines of key body or more right below is a damaged key, up to its end line. Only pages that may hold
-    a key are sorted.
+    with a word of one and two lines of key body or more right below is a damaged key, up to its end line. Keys that begin on one page
+    and end on the next are found whole where ``keys`` name the text: windows are two pages long, and no text is sorted whole.
     """
     t = F.col("text")
     header = F.regexp_extract("text", spelled(fixed.KEY_HEADER), 0)
     head = F.contains(t, F.lit("---")) & (header != "") & ~checks.public_pem(header)
     broken = t.rlike("(?i)be[g6]|pr[i1l]|key") & checks.broken_key_header(t)
     marked = lines.select(*keys, "line_index", "text", head.alias("_head"), broken.alias("_broken"), t.rlike(spelled(r"(?i)-{3,6}\s*END")).alias("_end"), checks.base64_line(t).alias("_body"))
-    may = marked.groupBy(*keys).agg(F.max("_head").alias("_page"), F.max("_broken").alias("_b"), F.sum(F.col("_body").cast("int")).alias("_n")).where("_page or (_b and _n >= 2)")
+    # A window is a page's worth of lines and as many after it; only windows that may hold a key are laid out.
+    marked = marked.withColumn("_block", F.floor(F.col("line_index") / PAGE_LINES))
+    may = marked.groupBy(*keys, "_block").agg(F.max("_head").alias("_page"), F.max("_broken").alias("_b"), F.sum(F.col("_body").cast("int")).alias("_n")).where("_page or _b")
+    asked = may.select(*keys, "_page", F.col("_block").alias("_window"), F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
+    own, keys = keys, [*keys, "_window"]
     page = Window.partitionBy(*keys)
     order = page.orderBy("line_index")
-    rows = marked.join(may.select(*keys, "_page"), keys).withColumn("_row", F.row_number().over(order))
+    rows = meet(marked, asked, [*own, "_block"]).withColumn("_row", F.row_number().over(order))
     following = F.min(F.when(F.col("_end"), F.col("_row"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_last", F.when(F.col("_head"), F.coalesce(following, F.col("_row") + fixed.KEY_LINES)))
@@ -209,7 +229,10 @@ def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     # A header may stand behind other text, an end line before some; the lines between are covered whole.
     begin = F.when(F.col("_head") & F.col("_first"), F.instr("text", header) - 1).otherwise(F.length("text") - F.length(F.ltrim("text")))
     span = F.regexp_extract(F.expr("substring(text, start + 1)"), spelled(rf"(?is)^(?:.*?{fixed.KEY_END}|.*(?<!\s))"), 0)
-    return rows.withColumn("start", begin.cast("int")).withColumn("span", span).where("span <> ''").select(*keys, "line_index", F.col("span").alias("text"), "span", "start", "block")
+    # Of a key that two windows show, each line is returned once; a key is named by its first line.
+    found = rows.withColumn("start", begin.cast("int")).withColumn("span", span).where("span <> ''")
+    found = found.withColumn("block", F.min("line_index").over(Window.partitionBy(*keys, "block")))
+    return found.groupBy(*own, "line_index", "span", "start").agg(F.min("block").alias("block")).select(*own, "line_index", F.col("span").alias("text"), "span", "start", "block")
 
 
 def private_key_detections(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -233,7 +256,7 @@ def detect_lines(lines: DataFrame, keys: list[str], **options) -> DataFrame:
     over = private_key_detections(lines, keys)
     if carry:
         named = lines.select(*keys, "line_index", *[F.col(c).alias(f"_c_{c}") for c in carry])
-        over = over.join(named, [*keys, "line_index"]).select(*over.columns, *[F.col(f"_c_{c}").alias(c) for c in carry])
+        over = meet(over, named.distinct(), [*keys, "line_index"]).select(*over.columns, *[F.col(f"_c_{c}").alias(c) for c in carry])
     return found.where("type <> 'private_key'").unionByName(over)
 
 
@@ -256,7 +279,7 @@ def place(detections: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame
     on = [*keys, "line_index"]
     ids = detections.withColumn("_id", F.monotonically_increasing_id()) if "id" not in detections.columns else detections.withColumn("_id", F.col("id"))
     boxes = words.select(*on, F.col("start").alias("_s"), (F.col("start") + F.length("text")).alias("_e"), *[F.col(c).alias(f"_{c}") for c in BOX], F.col("confidence").alias("_confidence"))
-    met = ids.join(boxes, on).where((F.col("_s") < F.col("start") + F.length("span")) & (F.col("_e") > F.col("start")))
+    met = meet(ids, boxes, on).where((F.col("_s") < F.col("start") + F.length("span")) & (F.col("_e") > F.col("start")))
     own = [c for c in ids.columns if c not in ("_id", "confidence")]
     return met.groupBy("_id", *own).agg(F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"), F.min("_confidence").alias("confidence")).drop("_id")
 

@@ -24,6 +24,34 @@ def _made(rows: DataFrame, keys: list[str], source: str, kind: str | Column, spa
     return rows.select(*keys, F.col("line_index").cast("int").alias("line_index"), F.lit(source).alias("source"), "type", "rule_id", names.alias("label"), "text", F.col(span).alias("span"), start.alias("start"), "hint", *HINTS, *boxes)
 
 
+def _over_line_ends(lines: DataFrame, keys: list[str], at: list[str], named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wrapped account numbers of pages, the rows of account numbers and bearer tokens that go over line ends, placed in ``named``'s lines)."""
+    wrapped = pages.wrapped_ibans(lines, keys)
+    own = [k for k in keys if k in at]
+    pieces = wrapped.select(*own, "text", "compact", F.explode("parts").alias("_p")).select(*own, "text", "compact", "_p.line_index", "_p.span").distinct()
+    sound = checks.mod97(F.col("compact")) == 1
+    numbers = _made(pieces, own, "wrapped_iban", "custom_rule", "span", rule_id=F.lit("iban"), iban_checksum_valid=sound, iban_checksum_failed=~sound)
+    tokens = _made(pages.wrapped_bearer_tokens(lines, keys).select(*at, "text", "span").distinct(), own, "wrapped_bearer", "bearer_token", "span")
+    return wrapped, _located(numbers.unionByName(tokens), named, at)
+
+
+WRAPS = r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 -]*$|(?i:bearer)"
+
+
+def detect_text(lines: DataFrame, keys: list[str], page_col: str = "page", **options) -> DataFrame:
+    """``pages.detect_lines`` over texts laid out by ``pages.lay_out``, with account numbers and bearer tokens that go over a line's end, also a page's.
+
+    ``keys`` name the text. Rows are of one line: a value over two lines is two rows with one ``text``.
+    """
+    at, page = [*keys, "line_index"], [*keys, page_col]
+    found = pages.detect_lines(lines, keys, **options)
+    few = pages.that_hold(pages.rolled(lines, page_col), page, F.col("text").rlike(WRAPS))
+    wrapped, over = _over_line_ends(few, page, at, lines)
+    shown = {"occurrence": F.lit(0), "listed": F.lit(True), "key": F.lit(None).cast("string"), "needs_review": F.lit(False)}
+    over = over.withColumns(shown).select(*found.columns) if not options.get("carry") else pages.meet(over.withColumns(shown), lines.select(*at, *options["carry"]).distinct(), at).select(*found.columns)
+    return pages.without_iban_heads(found, wrapped, keys).unionByName(over)
+
+
 def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordlist: DataFrame | None = None, rules: tuple = tuple(detectors.SAMPLE_RULES)) -> DataFrame:
     """Final detections of pages, with boxes, review columns and an id; ``tool`` limits the types shown.
 
@@ -37,11 +65,8 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", F.col("start").cast("int").alias("start"), "hint", *HINTS)
     placed = [found.where(F.col("start").isNotNull())]
 
-    wrapped = pages.wrapped_ibans(lines, keys)
-    pieces = wrapped.select(*keys, "text", "compact", F.explode("parts").alias("_p")).select(*keys, "text", "compact", "_p.line_index", "_p.span")
-    sound = checks.mod97(F.col("compact")) == 1
-    placed.append(_located(_made(pieces, keys, "wrapped_iban", "custom_rule", "span", rule_id=F.lit("iban"), iban_checksum_valid=sound, iban_checksum_failed=~sound), lines, at))
-    placed.append(_located(_made(pages.wrapped_bearer_tokens(lines, keys), keys, "wrapped_bearer", "bearer_token", "span"), lines, at))
+    wrapped, over = _over_line_ends(lines, keys, at, lines)
+    placed.append(over)
     placed.append(_located(_made(words.values_beside_labels(every, keys), keys, "beside", F.col("type")), lines, at))
     if wordlist is not None:
         seeds = pages.seed_phrase_lines(lines, keys, wordlist)
@@ -66,7 +91,7 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
 
 def _located(rows: DataFrame, lines: DataFrame, at: list[str]) -> DataFrame:
     """Rows whose span is found in its line, with its place there; blanks inside the line's copy of it don't count."""
-    found = rows.drop("start").join(lines.select(*at, F.col("text").alias("_line")), at)
+    found = pages.meet(rows.drop("start"), lines.select(*at, F.col("text").alias("_line")), at)
     bare = lambda c: F.regexp_replace(c, f"{SPACE}+", "")
     solid = SPACE.replace("[", "[^", 1)
     upto = lambda n, tail: F.length(F.call_function("regexp_extract", F.col("_line"), F.concat(F.lit(f"^((?:{SPACE}*{solid}){{"), n.cast("string"), F.lit("}" + tail + ")")), F.lit(1)))

@@ -40,3 +40,18 @@ def rules(spark: SparkSession, path: str, most: int = 1000) -> list:
     if len(rows) > most:
         raise ValueError(f"over {most} rules in {path}: each is a pattern over every row")
     return [r for r in (Rule.of(row.asDict()) for row in rows) if r]
+
+
+SPREAD_BYTES = 32 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores where they are few bytes: a small file is one partition, and a search costs far more than its shuffle.
+
+    Larger inputs have partitions enough and stay as they are. The size is the planner's estimate, so nothing is run for it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows

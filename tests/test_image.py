@@ -24,7 +24,7 @@ def test_threshold_and_shape():
     out = I.VARIANTS["adaptive"](g)
     assert set(np.unique(out)) <= {0.0, 255.0} and 0 < (out == 0).mean() < 1
     assert I.upscale(g).shape == (90, 90) and I.pixelate(g, 7).shape == g.shape
-    assert (I.prefer_dark_glyphs(255 - g) == g).all()
+    assert (I.prefer_dark_glyphs(g) == 255 - g).all() and (I.prefer_dark_glyphs(255 - g) == 255 - g).all()
     assert I.stretch(gray()).min() == 0 and I.stretch(gray()).max() == 255
 
 
