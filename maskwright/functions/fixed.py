@@ -155,10 +155,14 @@ CONNECTION_URL = r"(?i)\b(?:mysql|mongodb(?:\+srv)?|redis|amqp|mssql|postgresql)
 BEARER = r"(?i)\b(?:Authorization\s*:\s*)?(Bearer\s+([A-Za-z0-9._~+/=-]{16,}))"
 ENV = r"""\b([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))"""
 ENV_KEY = r"(?i)(?:SECRET|TOKEN|PASSWORD|PASSWD|PWD|API_KEY|PRIVATE_KEY|ACCESS_KEY|CLIENT_SECRET)"
-PASSPORT = r"(?is)^.*?\b(?>(?:Pasaport|Passport)(?:\s*No\.?)?\s*:?).*?\b([A-Z0-9]{5,9})\b"
+PASSPORT = r"(?is)\b(?>(?:Pasaport|Passport)(?:\s*No\.?)?\s*:?).*?\b([A-Z0-9]{5,9})\b"
 KEY_HEADER = r"(?i)-{3,6}\s*B[E0]G[I1L]N(?:[ \t]+(?:RSA|EC|OPENSSH|ENCRYPTED|PRIVATE|KEY))+\s*-{0,6}"
 KEY_END = r"-{3,6}\s*END(?:[ \t]+(?:RSA|EC|OPENSSH|ENCRYPTED|PRIVATE|KEY))+\s*-{0,6}"
 KEY_LINES = 40
 SESSIONS = [r"(?i)\b(?:sess|session)[_-]+[a-z0-9][a-z0-9_-]{5,}\b", r"(?i)\b(?:sess|session)[a-z0-9]{10,}\b"]
 NAME_WORD = r"[A-Za-zÇĞİÖŞÜçğıöşü][A-Za-zÇĞİÖŞÜçğıöşü.'’-]{1,24}"
 CAPITAL_WORD = r"[A-ZÇĞİÖŞÜ][A-Za-zÇĞİÖŞÜçğıöşü.'’-]{1,24}"
+# What a second reading came to: a sound number, digits, or neither.
+READINGS = ("valid-tckn", "CASE 2", "CASE 3")
+# Types whose values scanners cut at the end: pieces that stand close go with them.
+CUT_TYPES = ["api_token", "connection_url", "private_key", "bearer_token", "env_secret", "passport", "seed_phrase"]
