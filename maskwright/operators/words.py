@@ -20,6 +20,11 @@ BESIDE = {
     "api_token": (r"(?i)api\s*(?:token|key)\s*:?\s*", r"(?i)(?:api[_-]*(?:test|live)[_-]*[a-z0-9_-]{8,}|(?:sk|pk|rk)[_-]*(?:live|test)[_-]*[a-z0-9]{24,})"),
 }
 VALUE_WORDS = 8
+# The grid on which candidates are one, the least confidence of an address, and the types sought over words that were cut.
+GRID, LEAST_EMAIL = 4.0, 25
+CUT_WORDS = ["email", "api_token", "tckn", "ssn", "routing_number", "phone", "credit_card", "ipv4", "person_name", "location", "session_id"]
+# Without any of these a run holds none of their values: a sign or digits, a label's end, or two words that begin like names.
+MAY_HOLD = r"[@0-9:_–-]|[A-ZÇĞİÖŞÜ][^ ]* +[A-ZÇĞİÖŞÜ]|(?i:\b(?:in|at)\b|ili|merkez|sehri|şehri)"
 
 
 def grouped_secrets(words: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
@@ -112,3 +117,51 @@ def batch_label(items: DataFrame, batch_keys: list[str], order_col: str) -> Data
     text = lambda at: F.concat(F.lit("Processing image "), at.cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit("..."))
     label = F.when(F.col("busy").isNotNull(), text(F.col("busy"))).when(F.col("done") >= F.col("n"), F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " image ready").otherwise(" images ready"))).otherwise(text(F.col("done") + 1))
     return totals.select(*batch_keys, label.alias("label"))
+
+
+def single_candidates(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``runs`` (``pages.candidates``) with one of those that read alike at one place: single words before runs, then in their order.
+
+    Places are compared on a grid of four pixels, so a page is never sorted: a key is a text and a cell.
+    """
+    cell = lambda c: F.floor(c / GRID + 0.5)
+    shown = T.detection_text(F.col("text"))
+    place = [*keys, "_t", "_x", "_y", "_w"]
+    rows = runs.withColumns({"_t": shown, "_x": cell(F.col("x0")), "_y": cell(F.col("y0")), "_w": cell(F.col("x1") - F.col("x0"))}).where("_t <> ''")
+    order = Window.partitionBy(*place).orderBy(F.col("n_words") > 1, "line_index", "first_word", "n_words")
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_t", "_x", "_y", "_w", "_r")
+
+
+def detect_candidates(words: DataFrame, keys: list[str], only: list[str] | None = None, most: int = 12) -> DataFrame:
+    """keys, line_index, first_word, n_words, type, text, box, confidence and hint: values that adjacent words hold together, glued or apart.
+
+    Every run of words is read twice, glued and with blanks; tokens only with blanks, and addresses glued only where no shorter one stands there
+    with blanks. Of runs that give one value the shortest ones stay; of values of one type that share words the longest stay, the first first.
+    A value needs a look only if it does in every run that gives it.
+    """
+    types = [t for t in CUT_WORDS if only is None or t in only]
+    runs = single_candidates(candidates(words, keys, most), keys)
+    at = [*keys, "line_index", "first_word", "n_words"]
+    read = runs.select(*at, *BOX, "confidence", F.explode(F.array_distinct(F.array(F.struct(F.lit(True).alias("apart"), F.col("spaced").alias("reading")), F.struct((F.col("spaced") == F.col("text")).alias("apart"), F.col("text").alias("reading"))))).alias("_r"))
+    read = read.select(*at, *BOX, "confidence", "_r.apart", "_r.reading").where(F.col("reading").rlike(MAY_HOLD))
+    found = detectors.detect(read, [*at, "apart"], "reading", rules=(), only=types, carry=("confidence", *BOX)).where("listed")
+    found = found.where(F.col("apart") | (F.col("type") != "api_token")).where((F.col("type") != "email") | (F.col("confidence") >= LEAST_EMAIL))
+    run = Window.partitionBy(*at, "type")
+    held = F.collect_set(F.when(F.col("apart"), F.lower("text"))).over(run)
+    longer = F.exists("_apart", lambda s: F.startswith(F.lower("text"), s) & (F.length("text") > F.length(s)))
+    found = found.withColumn("_apart", held).where((F.col("type") != "email") | F.col("apart") | ~longer)
+    # One row a value and run; then the shortest runs of each value of a line.
+    value = [*keys, "line_index", "type", "text"]
+    single = found.groupBy(*at, "type", "text").agg(F.min("hint").alias("hint"), F.max(F.col("hint").isNull()).alias("_sure"), *[F.first(c).alias(c) for c in (*BOX, "confidence")])
+    all_runs = Window.partitionBy(*value)
+    end = F.col("first_word") + F.col("n_words")
+    listed = single.withColumns({"_runs": F.collect_set(F.struct(F.col("first_word").alias("a"), end.alias("b"))).over(all_runs), "_sure": F.max("_sure").over(all_runs)})
+    within = F.exists("_runs", lambda r: (r["a"] >= F.col("first_word")) & (r["b"] <= end) & (r["b"] - r["a"] < F.col("n_words")))
+    shortest = listed.where(~within).withColumn("hint", F.when(~F.col("_sure"), F.col("hint")))
+    # Values of one type that share words: a fold over the line's, longest text first.
+    item = F.struct((-F.length("text")).alias("size"), "first_word", "n_words", "text", "hint", *BOX, "confidence")
+    lines = shortest.groupBy(*keys, "line_index", "type").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    apart = lambda k, x: (k["first_word"] + k["n_words"] <= x["first_word"]) | (x["first_word"] + x["n_words"] <= k["first_word"])
+    chosen = F.aggregate("_all", F.slice("_all", 1, 0), lambda out, x: F.when(F.forall(out, lambda k: apart(k, x)), F.array_append(out, x)).otherwise(out))
+    kept = lines.select(*keys, "line_index", "type", F.explode(chosen).alias("_d"))
+    return kept.select(*keys, "line_index", "_d.first_word", "_d.n_words", "type", "_d.text", *[f"_d.{c}" for c in BOX], "_d.confidence", "_d.hint")
