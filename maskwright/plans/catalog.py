@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
 from maskwright.operators import image, masking, pages, review, scan, spatial, words
+from maskwright.operators.joins import meet
 from maskwright.plans import reports
 from maskwright.sources.tables import document_lines, page_text, table
 from maskwright.streaming import watch
@@ -34,6 +35,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _text_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors over all documents, values over line ends included."""
+    return scan.detect_text(pages.lay_out(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def _found(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Every place of the values of one type."""
     return detectors.detect(_lines(spark, sf_dir), KEYS, only=[kind]).select(*KEYS, "text", "start", "span")
@@ -51,7 +57,7 @@ def _places(pattern: str, source: str = "lines", columns: str = "doc_id, line_in
 @query()
 def document_detections(spark, sf_dir):
     """All detectors over all documents, with the review policy."""
-    found = review.add_review(pages.detect_lines(_lines(spark, sf_dir), ["doc_id"]))
+    found = review.add_review(_text_detections(spark, sf_dir))
     return found.select(*KEYS, "type", "rule_id", "label", "text", "span", "start", "occurrence", "listed", "labeled", "needs_review", "validation", F.array_join("warnings", " ").alias("warnings"))
 
 
@@ -389,13 +395,13 @@ def masked_documents(spark, sf_dir):
     Detections meet the lines once, as arrays; covering and the check of what is left read the same row.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = document_lines(docs)
-    found = review.automatic(review.add_review(pages.detect_lines(lines, ["doc_id"])))
-    covered = masking.cover_pages(lines, found, KEYS, ["doc_id"], keep_terms=True)
+    lines = pages.lay_out(docs)
+    found = review.automatic(review.add_review(scan.detect_text(lines, ["doc_id"], carry=("page",))))
+    covered = masking.cover_pages(lines, found, ["doc_id", "page", "line_index"], ["doc_id", "page"], keep_terms=True)
     left = F.size(F.filter("terms", lambda t: masking.uncovered(F.col("text"), F.col("masked"), t)))
     covered = covered.withColumn("n_left", F.when(F.col("terms").isNotNull(), left).otherwise(0))
     made = covered.groupBy("doc_id").agg(F.sum(F.length("masked") - F.length(F.replace("masked", F.lit("█"), F.lit("")))).alias("n_covered"), F.sum("n_left").alias("n_leaks"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "masked"))), lambda x: x["masked"]), "\n")).alias("masked_md5"))
-    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "masked_md5", F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"))
+    return meet(docs.select("doc_id"), made, ["doc_id"], "left").select("doc_id", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "masked_md5", F.coalesce("n_leaks", F.lit(0)).alias("n_leaks"))
 
 
 # --- reports and streams ------------------------------------------------------------------------------------------------
@@ -411,7 +417,7 @@ def email_rollup(spark, sf_dir):
 @query()
 def detection_summary(spark, sf_dir):
     """Detections by language and type, those for review apart."""
-    found = review.add_review(pages.detect_lines(_lines(spark, sf_dir), ["doc_id"]))
+    found = review.add_review(_text_detections(spark, sf_dir))
     return reports.summary(found, table(spark, sf_dir, "documents"))
 
 
@@ -422,12 +428,12 @@ def event_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from maskwright.plans import planted
+    from maskwright.plans import joined, managed, pictures, planted
 
-    return QUERIES | planted.QUERIES
+    return QUERIES | planted.QUERIES | pictures.QUERIES | joined.QUERIES | managed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from maskwright.plans import planted
+    from maskwright.plans import joined, managed, pictures, planted
 
-    return SQL | planted.SQL
+    return SQL | planted.SQL | pictures.SQL | joined.SQL | managed.SQL
