@@ -19,6 +19,8 @@ from maskwright.operators.joins import meet
 WINDOW, K, RANGE, CONTRAST, STRETCH = 25, 0.18, 128.0, 48.0, (0.05, 0.95)
 # Where pixels count as bright or dark glyphs, and the least span of the stretch.
 BRIGHT, DARK, LEAST_SPAN = 168, 88, 24
+# A blur's radius and a mosaic's cell where none is named.
+BLUR, CELL = 10.0, 8
 
 
 def gray_stats(pixels: Column) -> Column:
@@ -104,19 +106,97 @@ def prepare(images: DataFrame, variant: str, id_col: str = "id") -> DataFrame:
     return _each(_images(images, id_col), lambda gray, _: make(gray.astype(np.float64)))
 
 
+def clamp(value: float, least: float, most: float) -> float:
+    return max(least, min(most, value))
+
+
+def shrunk(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means on a coarser grid: differences of a summed-area table at cell borders, between pixels in proportion."""
+    table = np.zeros((gray.shape[0] + 1, gray.shape[1] + 1))
+    table[1:, 1:] = gray.cumsum(0).cumsum(1)
+    ys, xs = np.linspace(0, gray.shape[0], height + 1), np.linspace(0, gray.shape[1], width + 1)
+    rows = _between(table, ys, 0)
+    at = _between(rows, xs, 1)
+    sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
+    return sums / np.outer(np.diff(ys), np.diff(xs))
+
+
+def _between(values: np.ndarray, places: np.ndarray, axis: int) -> np.ndarray:
+    low = np.minimum(places.astype(int), values.shape[axis] - 1)
+    high, part = np.minimum(low + 1, values.shape[axis] - 1), places - low
+    part = part[:, None] if axis == 0 else part[None, :]
+    return values.take(low, axis) * (1 - part) + values.take(high, axis) * part
+
+
+def stretched(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Values between the middles of cells in proportion, those of the outer cells beyond them."""
+    at = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    return _between(_between(gray, at(gray.shape[0], height), 0), at(gray.shape[1], width), 1)
+
+
+def box_blur(gray: np.ndarray, radius: int) -> np.ndarray:
+    """Means over squares, border values going on beyond the border: rows, then columns, by running sums."""
+    for axis in (0, 1):
+        wide = np.pad(gray, [(radius + 1, radius) if k == axis else (0, 0) for k in (0, 1)], mode="edge").cumsum(axis)
+        n = gray.shape[axis]
+        gray = (wide.take(range(2 * radius + 1, 2 * radius + 1 + n), axis) - wide.take(range(n), axis)) / (2 * radius + 1)
+    return gray
+
+
+def soft_blur(gray: np.ndarray, sigma: float) -> np.ndarray:
+    """Near a bell curve of deviation ``sigma``: three box blurs of its spread."""
+    radius = max(1, int(round((np.sqrt(4 * sigma * sigma + 1) - 1) / 2)))
+    for _ in range(3):
+        gray = box_blur(gray, radius)
+    return gray
+
+
+def stable_blur(gray: np.ndarray, strength: float = BLUR) -> np.ndarray:
+    """A region from which no letter can be read: sampled coarsely, its contrast taken back, stretched over the region's edge and blurred, twice if strong.
+
+    Nothing but the region's own pixels goes into it, so a picture and its tiles give the same.
+    """
+    height, width = gray.shape
+    power = clamp(clamp(strength, 1, 50) * clamp(height / 70, 0.8, 2), 1, 80)
+    coarse = clamp(1 + power / 7, 1.25, 10)
+    small = shrunk(gray.astype(np.float64), max(2, int(height / coarse + 0.5)), max(2, int(width / coarse + 0.5)))
+    if power >= 16:
+        small = 127.5 + (small - 127.5) * (1 - clamp((power - 14) * 0.85, 6, 40) / 100)
+    sigma = clamp(power * 0.7, 6, 34)
+    edge = int(min(sigma * 2, min(height, width) * 0.35))
+    cut = lambda v, e: v[e : e + height, e : e + width]
+    out = cut(soft_blur(stretched(small, height + 2 * edge, width + 2 * edge), sigma), edge)
+    if power >= 22:
+        out = cut(soft_blur(stretched(out, height + 2 * (edge // 2), width + 2 * (edge // 2)), max(4, sigma * 0.45)), edge // 2)
+    return np.clip(out, 0, 255)
+
+
 def burn(images: DataFrame, rectangles: DataFrame, id_col: str = "id") -> DataFrame:
-    """``images`` with every rectangle (id, x, y, w, h in pixels) painted black, and ``error`` where the bytes don't fit the size.
+    """``images`` with every rectangle (id, x, y, w, h in pixels) covered, and ``error`` where the bytes don't fit the size.
 
-    Rectangles are gathered for each image, whose own size bounds how many matter. Null ids are one id.
+    ``rectangles`` may name a ``style`` (blackout, which is also what others are taken for; blur; pixelate) and its ``strength``, a blur's radius or a
+    mosaic's cell. Blurs and mosaics are made of the picture as it was; black goes over all. Rectangles are gathered for each image, whose
+    own size bounds how many matter. Null ids are one id.
     """
-    boxes = rectangles.where("w > 0 and h > 0").groupBy(F.col(id_col).alias("id")).agg(F.collect_set(F.struct("x", "y", "w", "h")).alias("boxes"))
+    given = {"style": F.lit("blackout"), "strength": F.lit(None).cast("double")}
+    rows = rectangles.withColumns({c: v for c, v in given.items() if c not in rectangles.columns}).where("w > 0 and h > 0")
+    boxes = rows.groupBy(F.col(id_col).alias("id")).agg(F.collect_set(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], "style", F.col("strength").cast("double").alias("strength"))).alias("boxes"))
 
     def paint(image: np.ndarray, boxes: list) -> np.ndarray:
-        image = image.copy()
-        for b in boxes:
+        out = image.copy()
+        for b in sorted(boxes, key=lambda b: (b["style"] not in ("blur", "pixelate"), b["y"], b["x"], b["h"], b["w"], b["style"] or "", b["strength"] or 0.0)):
             x0, y0 = max(0, int(np.floor(b["x"]))), max(0, int(np.floor(b["y"])))
-            image[y0 : max(0, int(np.ceil(b["y"] + b["h"]))), x0 : max(0, int(np.ceil(b["x"] + b["w"])))] = 0
-        return image
+            at = np.s_[y0 : max(0, int(np.ceil(b["y"] + b["h"]))), x0 : max(0, int(np.ceil(b["x"] + b["w"])))]
+            part = image[at]
+            if not part.size:
+                continue
+            if b["style"] == "blur":
+                out[at] = np.rint(stable_blur(part, b["strength"] or BLUR))
+            elif b["style"] == "pixelate":
+                out[at] = pixelate(part, int(b["strength"] or CELL))
+            else:
+                out[at] = 0
+        return out
 
     return _each(meet(_images(images, id_col), boxes, ["id"], "left"), lambda image, row: paint(image, row.get("boxes") or []))
 

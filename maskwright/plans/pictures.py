@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.operators import regions
+from maskwright.operators import image, regions
 from maskwright.sources.tables import spread, table
 
 WIDTH, HEIGHT = 512, 64
@@ -184,3 +184,27 @@ def uncovered_points(spark, sf_dir):
     points = rows.select("page", "id", (F.col("x0") + 30).alias("px"), (F.col("y0") + 4).alias("py"))
     found = regions.uncovered(points, rows, ["page"]).withColumns({"x": F.col("px"), "y": F.col("py"), "width": F.lit(20), "height": F.lit(8)})
     return regions.padded_badge(found, F.lit(300)).select("page", "id", "px", "py", F.col("x").alias("padded_x"), F.col("width").alias("padded_width"))
+
+
+_COVERED = "(({x} >= k % 300 AND {x} < k % 300 + 60 AND {y} >= k % 30 AND {y} < k % 30 + 20))"
+_MOSAIC = "({x} >= 420 AND {x} < 480 AND {y} >= 40 AND {y} < 60)"
+
+
+@query(f"""WITH p AS (SELECT doc_id, doc_id AS k, x, y FROM documents, range(0, {WIDTH}) a(x), range(0, {HEIGHT}) b(y)),
+v AS (SELECT doc_id, CASE WHEN {_COVERED.format(x="x", y="y")} THEN 0 WHEN {_MOSAIC.format(x="x", y="y")} THEN {pixel("420 + (x - 420) // 6 * 6", "40 + (y - 40) // 6 * 6")} ELSE {pixel("x", "y")} END AS v, x, y FROM p)
+SELECT doc_id, CAST(sum(v) AS BIGINT) AS pixel_sum, CAST(sum(v * x) AS BIGINT) AS by_column, CAST(sum(v * y) AS BIGINT) AS by_row FROM v GROUP BY 1""")
+def burnt_pictures(spark, sf_dir):
+    """The documents' pictures with a mosaic and a black rectangle burnt in: sums of pixels."""
+    k = F.col("doc_id")
+    keys = table(spark, sf_dir, "documents")
+    black = keys.select(k.alias("id"), (k % 300).cast("double").alias("x"), (k % 30).cast("double").alias("y"), F.lit(60.0).alias("w"), F.lit(20.0).alias("h"), F.lit("blackout").alias("style"), F.lit(None).cast("double").alias("strength"))
+    mosaic = keys.select(k.alias("id"), F.lit(420.0).alias("x"), F.lit(40.0).alias("y"), F.lit(60.0).alias("w"), F.lit(20.0).alias("h"), F.lit("pixelate").alias("style"), F.lit(6.0).alias("strength"))
+    done = image.burn(pictures(spark, sf_dir), black.unionByName(mosaic))
+
+    def sums(batches):
+        for batch in batches:
+            grays = [np.frombuffer(r, np.uint8).reshape(HEIGHT, WIDTH).astype(np.int64) for r in batch.column("pixels").to_pylist()]
+            columns = [[int(g.sum()) for g in grays], [int((g.sum(0) * np.arange(WIDTH)).sum()) for g in grays], [int((g.sum(1) * np.arange(HEIGHT)).sum()) for g in grays]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "pixel_sum", "by_column", "by_row"])
+
+    return done.select("id", "pixels").mapInArrow(sums, "doc_id long, pixel_sum long, by_column long, by_row long")

@@ -53,3 +53,44 @@ def test_stats_match_numpy(spark):
     rows = {r.id: r.s for r in df.collect()}
     assert rows[2] is None
     assert (rows[1]["min"], rows[1]["max"]) == (g.min(), g.max()) and abs(rows[1]["sd"] - g.std()) < 1e-9 and rows[1]["foreground"] == (g < 128).mean()
+
+
+def test_coarse_grid_and_box_blur_match_loops():
+    g = gray(6, 13, 17)
+    small = I.shrunk(g, 13, 17)
+    assert np.abs(small - g).max() < 1e-9 and abs(I.shrunk(g, 5, 4).mean() - g.mean()) < 1e-9
+    fine = g.repeat(4, 0).repeat(5, 1)
+    assert np.abs(I.shrunk(g, 4, 5) - fine.reshape(4, 13, 5, 17).mean((1, 3))).max() < 1e-9
+    blurred = I.box_blur(g, 2)
+    wide = np.pad(g, 2, mode="edge")
+    for y in range(13):
+        for x in range(17):
+            assert abs(blurred[y, x] - wide[y : y + 5, x : x + 5].mean()) < 1e-9
+    assert np.abs(I.stretched(np.full((3, 2), 7.0), 30, 40) - 7).max() < 1e-12
+
+
+@pytest.mark.parametrize("strength", [1, 10, 30, 50])
+def test_blur_keeps_tone_and_loses_letters(strength):
+    g = np.full((40, 120), 230.0)
+    g[10:30, 20:100:6] = 20
+    g[10:30, 21:100:6] = 20
+    out = I.stable_blur(g, strength)
+    assert out.shape == g.shape and abs(out.mean() - g.mean()) < 25
+    inner = out[15:25, 40:80]
+    assert np.abs(np.diff(inner, axis=1)).max() < 6 < np.abs(np.diff(g[15:25, 40:80], axis=1)).max()
+    # Regions of one row or column too, and nothing outside counts.
+    assert I.stable_blur(g[:1, :1], strength).shape == (1, 1) and (I.stable_blur(g[5:35, 10:50].copy(), strength) == I.stable_blur(g[5:35, 10:50], strength)).all()
+
+
+def test_styles_are_burnt_and_tiles_equal_the_whole(spark):
+    g = gray(7, 60, 90).astype(np.uint8)
+    shape = "id long, width int, height int, pixels binary"
+    boxes = [(1, 4.0, 4.0, 20.0, 12.0, "blur", 20.0), (1, 40.0, 10.0, 17.0, 9.0, "pixelate", 4.0), (1, 50.0, 10.0, 30.0, 30.0, "blackout", None), (1, 0.0, 50.0, 10.0, 20.0, None, None)]
+    kinds = "id long, x double, y double, w double, h double, style string, strength double"
+    whole = np.frombuffer(bytes(I.burn(spark.createDataFrame([(1, 90, 60, bytearray(g.tobytes()))], shape), spark.createDataFrame(boxes, kinds)).first().pixels), np.uint8).reshape(60, 90)
+    assert (whole[10:40, 50:80] == 0).all() and (whole[50:, :10] == 0).all() and (whole[45:, 20:] == g[45:, 20:]).all()
+    assert (whole[10:19, 40:50] == I.pixelate(g[10:19, 40:57], 4)[:, :10]).all() and (whole[4:16, 4:24] == np.rint(I.stable_blur(g[4:16, 4:24], 20.0))).all()
+    # The same rectangles over tiles that hold them whole give the same pixels.
+    left = spark.createDataFrame([(1, 30, 60, bytearray(g[:, :30].tobytes()))], shape)
+    part = np.frombuffer(bytes(I.burn(left, spark.createDataFrame(boxes[:1] + boxes[3:], kinds)).first().pixels), np.uint8).reshape(60, 30)
+    assert (part == whole[:, :30]).all()
