@@ -138,7 +138,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, text_c
     dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "t")
 
     def segments(batches):
-        coder, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = tokens.encoder(tokenizer, most=1_000_000), TaskContext.get().partitionId()
         end, docs, held, waiting, seq, place = np.array([end_id], np.uint32), [], [], 0, 0, 0
 
         def flush():

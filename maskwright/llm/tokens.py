@@ -9,6 +9,7 @@ that all ids are those of the library's own call with add_special_tokens=False.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -57,6 +58,11 @@ class Encoder:
         added = [re.escape(str(t)) for t in self.tokenizer.get_added_tokens_decoder().values()]
         whole = [*([rare] if rare else []), *(["(?i:" + "|".join(added) + ")"] if added else [])]
         self.cuts, self.rare, self.most = cuts, "|".join(whole) or None, most
+        # Where case and white space say nothing, stretches that differ in them alone are one.
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.folds = "Lowercase" in kinds and split.get("behavior") == "Removed" and bool(split.get("invert"))
         self._forget()
 
     def _forget(self) -> None:
@@ -111,9 +117,13 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if self.n + len(distinct) > self.most:
+        if self.folds:
+            distinct = [d.strip().lower() for d in distinct]
+        new = [d for d in dict.fromkeys(distinct) if d not in self.place] if self.folds else [d for d in distinct if d not in self.place]
+        if self.n + len(new) > self.most:
             self._forget()
-        if new := [d for d in distinct if d not in self.place]:
+            new = list(dict.fromkeys(distinct))
+        if new:
             self._learn(new)
         slot = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
         begin, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
@@ -139,8 +149,8 @@ def _by_bytes(texts: pa.Array, rows: np.ndarray, most: int = 4_000_000) -> Itera
 _held: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file: loaded once for each Python process."""
+def encoder(path: str, most: int = 800_000) -> Encoder:
+    """The worker's encoder for a tokenizer file: loaded once for each Python process, with the bound that it is first asked with."""
     if path not in _held:
-        _held[path] = Encoder(path)
+        _held[path] = Encoder(path, most=most)
     return _held[path]
