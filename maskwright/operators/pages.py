@@ -19,6 +19,8 @@ from maskwright.operators.spatial import BOX
 # Layout of plain text as a page: one line for each line break, glyphs of one width.
 GLYPH, HEIGHT, LEFT, TOP, GAP = 12, 16, 10, 20, 8
 PAGE_LINES = 120
+# How near the next piece of a cut token stands, in glyphs and pixels, how long it may be, and how many are taken.
+GLYPHS_APART, PIXELS_APART, PIECE_LENGTH, SHORT_PIECE, MOST_PIECES = 1.15, 0.5, 24, 3, 8
 CONFIDENCE = 92.0
 
 
@@ -274,14 +276,43 @@ def place_on_line(detections: DataFrame, text_col: str) -> DataFrame:
     return detections.where(start.isNotNull()).withColumns({"_x0": x(first), "_x1": x(last)}).drop("x0", "x1").withColumnsRenamed({"_x0": "x0", "_x1": "x1"})
 
 
-def place(detections: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """``detections`` (with line_index, start, span) and the union box of the words that each touches; unplaced ones go."""
+def token_piece(text: Column) -> Column:
+    """Whether a word may be the tail of a token that was cut: short, or with a digit or a sign that prose lacks."""
+    t = F.trim(text)
+    shape = t.rlike(r"^[A-Za-z0-9+/_=:#@~-]+$") & (F.length(t) <= PIECE_LENGTH)
+    return shape & ((F.length(t) <= SHORT_PIECE) | t.rlike("[0-9+/=@:#]"))
+
+
+def with_runs(words: DataFrame, keys: list[str]) -> DataFrame:
+    """``words`` with ``_place``, their order on the line, and ``_run``: pieces that stand as close as those of one cut token share it."""
+    by_x = Window.partitionBy(*keys, "line_index").orderBy("x0", "y0", "word_index")
+    glyph = (F.lag("x1").over(by_x) - F.lag("x0").over(by_x)) / F.greatest(F.length(F.lag("text").over(by_x)), F.lit(1))
+    close = F.col("x0") - F.lag("x1").over(by_x) <= glyph * GLYPHS_APART + PIXELS_APART
+    rows = words.withColumns({"_place": F.row_number().over(by_x), "_cut": (~F.coalesce(close & token_piece(F.col("text")), F.lit(False))).cast("int")})
+    return rows.withColumn("_run", F.sum("_cut").over(by_x.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def place(detections: DataFrame, words: DataFrame, keys: list[str], grow: bool = False) -> DataFrame:
+    """``detections`` (with line_index, start, span) and the union box of the words that each touches; unplaced ones go.
+
+    With ``grow``, values of types that scanners cut take along the pieces that stand close after their last word.
+    """
     on = [*keys, "line_index"]
     ids = detections.withColumn("_id", F.monotonically_increasing_id()) if "id" not in detections.columns else detections.withColumn("_id", F.col("id"))
-    boxes = words.select(*on, F.col("start").alias("_s"), (F.col("start") + F.length("text")).alias("_e"), *[F.col(c).alias(f"_{c}") for c in BOX], F.col("confidence").alias("_confidence"))
-    met = meet(ids, boxes, on).where((F.col("_s") < F.col("start") + F.length("span")) & (F.col("_e") > F.col("start")))
+    named = words.select(*on, F.col("start").alias("_s"), (F.col("start") + F.length("text")).alias("_e"), *[F.col(c).alias(f"_{c}") for c in BOX], F.col("confidence").alias("_confidence"))
+    if grow:
+        ahead = Window.partitionBy(*on, "_run").orderBy("_place").rowsBetween(1, MOST_PIECES)
+        runs = with_runs(words, keys).withColumns({"_ax0": F.min("x0").over(ahead), "_ay0": F.min("y0").over(ahead), "_ax1": F.max("x1").over(ahead), "_ay1": F.max("y1").over(ahead)})
+        named = runs.select(*on, F.col("start").alias("_s"), (F.col("start") + F.length("text")).alias("_e"), *[F.col(c).alias(f"_{c}") for c in BOX], F.col("confidence").alias("_confidence"), F.struct("_ax0", "_ay0", "_ax1", "_ay1").alias("_ahead"))
+    met = meet(ids, named, on).where((F.col("_s") < F.col("start") + F.length("span")) & (F.col("_e") > F.col("start")))
     own = [c for c in ids.columns if c not in ("_id", "confidence")]
-    return met.groupBy("_id", *own).agg(F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"), F.min("_confidence").alias("confidence")).drop("_id")
+    sides = [F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"), F.min("_confidence").alias("confidence")]
+    if not grow:
+        return met.groupBy("_id", *own).agg(*sides).drop("_id")
+    found = met.groupBy("_id", *own).agg(*sides, F.max_by("_ahead", "_s").alias("_ahead")).drop("_id")
+    cut = F.col("type").isin(fixed.CUT_TYPES)
+    side = lambda c, pick: F.when(cut, pick(F.col(c), F.coalesce(F.col(f"_ahead._a{c}"), F.col(c)))).otherwise(F.col(c))
+    return found.withColumns({"x0": side("x0", F.least), "y0": side("y0", F.least), "x1": side("x1", F.greatest), "y1": side("y1", F.greatest)}).drop("_ahead")
 
 
 def fragments(words: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     boxed = placed[0]
     for more in placed[1:]:
         boxed = boxed.unionByName(more)
-    boxed = pages.place(boxed, every, keys)
+    boxed = pages.place(boxed, every, keys, grow=True)
 
     grouped = _made(words.grouped_secrets(every, keys), keys, "grouped", F.col("type"), rule_id=F.col("rule_id"), iban_checksum_valid=(F.col("rule_id") == "iban") & checks.iban_checksum(F.col("text")), iban_checksum_failed=F.coalesce((F.col("rule_id") == "iban") & ~checks.iban_checksum(F.col("text")), F.lit(False)))
     phones = _made(words.phones_in_rows(every, keys).withColumnRenamed("row", "line_index"), keys, "row", "phone", ocr_corrected=F.col("ocr_corrected"))

@@ -18,8 +18,6 @@ from maskwright.operators.spatial import BOX
 
 # How far a word's middle may lie from a line's, and the heights of buckets for items without line ends.
 BAND, LEAST_BAND, BUCKET, LEAST_BUCKET = 0.55, 5.0, 0.65, 6.0
-# How near the next piece of a cut token stands, in glyphs and pixels, how long it may be, and how many are taken.
-GLYPHS_APART, PIXELS_APART, PIECE_LENGTH, SHORT_PIECE, MOST_PIECES = 1.15, 0.5, 24, 3, 8
 
 
 def visual_groups(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,13 +83,10 @@ def joined_text(words: DataFrame, keys: list[str], line_order: Column | None = N
     """
     line = Window.partitionBy(*keys, "line_index")
     rows = words.where((F.col("text") != "") & F.col("x0").isNotNull() & F.col("x1").isNotNull()).withColumn("_top", F.min("y0").over(line) if line_order is None else line_order)
-    by_x = line.orderBy("x0", "y0", "word_index")
-    glyph = (F.lag("x1").over(by_x) - F.lag("x0").over(by_x)) / F.greatest(F.length(F.lag("text").over(by_x)), F.lit(1))
-    close = F.col("x0") - F.lag("x1").over(by_x) <= glyph * GLYPHS_APART + PIXELS_APART
-    rows = rows.withColumns({"_place": F.row_number().over(by_x), "_cut": (~F.coalesce(close & token_piece(F.col("text")), F.lit(False))).cast("int")})
+    rows = pages.with_runs(rows, keys)
     order = Window.partitionBy(*keys).orderBy("_top", "line_index", "_place")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_start": F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)), "_run": F.sum("_cut").over(by_x.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.withColumn("_start", F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)))
     item = F.struct(F.col("_start").cast("int").alias("start"), (F.col("_start") + F.length("text")).cast("int").alias("end"), F.col("line_index").cast("int").alias("line_index"), F.col("_place").alias("place"), F.col("_run").cast("int").alias("run"), *[F.col(c).cast("double").alias(c) for c in BOX], F.col("text").alias("_t"))
     grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("spans"))
     return grouped.select(*keys, F.array_join(F.transform("spans", lambda w: w["_t"]), " ").alias("text"), "spans")
@@ -104,13 +99,6 @@ def window_text(windows: DataFrame, words: DataFrame, keys: list[str]) -> DataFr
     return joined_text(met, [*keys, "_window"], F.col("_nth")).withColumnRenamed("_window", "line_index")
 
 
-def token_piece(text: Column) -> Column:
-    """Whether a word may be the tail of a token that was cut: short, or with a digit or a sign that prose lacks."""
-    t = F.trim(text)
-    shape = t.rlike(r"^[A-Za-z0-9+/_=:#@~-]+$") & (F.length(t) <= PIECE_LENGTH)
-    return shape & ((F.length(t) <= SHORT_PIECE) | t.rlike("[0-9+/=@:#]"))
-
-
 def _nth(text: Column, value: Column, n: Column) -> Column:
     """The place of occurrence ``n`` of ``value``, from 0, without overlaps; -1 where there are fewer."""
     step = lambda s, _: F.when(s["at"] < 0, s).otherwise(_found(text, value, s["next"]))
@@ -171,7 +159,7 @@ def _bound(spans: Column, test) -> Column:
     return F.aggregate(rounds, begin, halve, lambda s: s["lo"])
 
 
-def grown(matched: Column, spans: Column, most: int = MOST_PIECES) -> Column:
+def grown(matched: Column, spans: Column, most: int = pages.MOST_PIECES) -> Column:
     """``matched`` with the pieces of a cut token that stand close after its last word, ``most`` at most."""
     last = F.get(matched, F.size(matched) - 1)
     more = F.filter(spans, lambda w: (w["line_index"] == last["line_index"]) & (w["run"] == last["run"]) & (w["place"] > last["place"]) & (w["place"] <= last["place"] + most))

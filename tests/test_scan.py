@@ -23,3 +23,12 @@ def test_rectangles_cover_what_needs_no_reader(spark):
     lines = pages.lay_out(spark.createDataFrame([(1, "mail a.b@ex.com\nid REF-12345")], "doc_id long, text string"))
     assert [r.type for r in scan.redact(lines, K).collect()] == ["email"]
     assert sorted(r.type for r in scan.redact(lines, K, confirmed=True).collect()) == ["custom_rule", "email"]
+
+
+def test_boxes_grow_over_the_pieces_of_a_cut_token(spark):
+    """A word of three characters or with a digit goes with a token that it stands close to; a word of prose doesn't, nor what stands after it."""
+    text = ["use sk_live_abcdefghijklmnopqrstuvwx 9Q 77 here 12", "mail a.b@ex.com 77"]
+    lines = pages.lay_out(spark.createDataFrame([(1, "\n".join(text))], "doc_id long, text string"))
+    boxes = {r.type: (r.x0, r.x1) for r in scan.scan(lines, K).collect()}
+    right = lambda line, word: 10 + 12 * (line.index(word) + len(word))
+    assert boxes["api_token"] == (10 + 12 * 4, right(text[0], "77")) and boxes["email"][1] == right(text[1], "ex.com")
