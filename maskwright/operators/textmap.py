@@ -144,7 +144,7 @@ def words_in_range(spans: Column, start: Column, end: Column) -> Column:
     Both bounds are found by halving, as spans are in order: the first that ends after ``start``, and how many begin before ``end``.
     """
     first, beyond = _bound(spans, lambda w: w["end"] > start), _bound(spans, lambda w: w["start"] >= end)
-    return F.slice(spans, first + 1, F.greatest(beyond - first, F.lit(0)))
+    return F.slice(spans, first + 1, F.when(end > start, F.greatest(beyond - first, F.lit(0))).otherwise(0))
 
 
 def _bound(spans: Column, test) -> Column:

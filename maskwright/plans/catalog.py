@@ -126,10 +126,11 @@ def page_detections(spark, sf_dir):
     return review.add_review(pages.detect_lines(lines, ["doc_id"])).select(F.col("doc_id").alias("page_id"), "line_index", "type", "rule_id", "text", "start", "validation", "needs_review")
 
 
-@query()
+@query("""SELECT conv_id, turn, role, 'email' AS type, 'u' || conv_id || '@mail.example.com' AS text, CAST(length(coalesce(text, '')) + 10 AS INTEGER) AS start, 'pattern' AS validation, false AS needs_review FROM conversations""")
 def conversation_detections(spark, sf_dir):
-    """All detectors over every turn."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """All detectors over every turn, signed with an address made from its conversation: turns themselves hold nothing to find."""
+    signed = F.concat(F.coalesce("text", F.lit("")), F.lit(" write to u"), F.col("conv_id").cast("string"), F.lit("@mail.example.com"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", signed.alias("text"))
     return review.add_review(detectors.detect(turns, ["conv_id", "turn", "role"])).select("conv_id", "turn", "role", "type", "text", "start", "validation", "needs_review")
 
 
@@ -335,12 +336,22 @@ def scanned_pages(spark, sf_dir):
     return found.select("doc_id", "page", "id", "source", "type", "rule_id", "label", "text", "line_index", "x0", "y0", "x1", "y1", "confidence", "validation", "needs_review", F.array_join("warnings", " ").alias("warnings"))
 
 
-@query()
+_LIST = """w AS (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark), top AS (SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]+$') GROUP BY 1 ORDER BY n DESC, word LIMIT 2048),
+long AS (SELECT list(word ORDER BY word) AS ws FROM top WHERE length(word) >= 4)"""
+
+
+@query(f"""WITH {_LIST} SELECT conv_id, turn, array_to_string(list_transform(range(12), lambda i: ws[(conv_id * 7 + turn + i) % len(ws) + 1]), ' ') AS text,
+  CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda t: t <> '')) + 1 AS INTEGER) AS start_word FROM conversations, long WHERE conv_id % 2 = 0""")
 def seed_phrase_windows(spark, sf_dir):
-    """Runs of list words in the turns; the list is the 2048 most frequent plain words of the benchmark."""
+    """Runs of list words in the turns; the list is the 2048 most frequent plain words of the benchmark, and every other conversation's turns end with twelve of them."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word rlike '^[a-z]+$'")
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(2048)
-    return pages.seed_phrases(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], top)
+    long = top.where("length(word) >= 4").agg(F.sort_array(F.collect_list("word")).alias("_ws")).withColumn("_one", F.lit(1))
+    place = lambda i: ((F.col("conv_id") * 7 + F.col("turn") + i) % F.size("_ws")).cast("int")
+    phrase = F.concat_ws(" ", *[F.get("_ws", place(i)) for i in range(12)])
+    turns = table(spark, sf_dir, "conversations").withColumn("_one", F.lit(1)).join(F.broadcast(long), "_one")
+    told = turns.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" ## "), phrase)).otherwise("")).alias("text"))
+    return pages.seed_phrases(told, ["conv_id", "turn"], top)
 
 
 @query()

@@ -77,26 +77,27 @@ def planted_detections(spark, sf_dir):
 
 
 @query(f"""WITH t AS ({_KEYS})
-SELECT k, 'a b c' AS sanitized, 'Ref 0 5 end' AS trunk, upper('de' || d || 'x') AS iban, 'sk_live_' || h[1:24] AS token, 'api_test_' || h[1:10] AS api, 'musteriadi' || d AS label, 'maya' || d AS name_key,
-  'u' || k || CASE k % 3 WHEN 0 THEN '@x.com' WHEN 1 THEN '@x.org' ELSE '@x.qqq' END AS email, 'Maya' AS bare_name, CAST(CASE WHEN k % 2 = 0 THEN 9 ELSE 4 END AS INTEGER) AS extended FROM t""")
+SELECT k, 'a' || d || ' b c' AS sanitized, h[1:5] || ' 0 5 end' AS trunk, upper('de' || d || 'x') AS iban, 'sk_live_' || h[1:24] AS token, 'api_test_' || h[1:10] AS api, 'musteriadi' || d AS label, 'maya' || d AS name_key,
+  'u' || k || CASE k % 3 WHEN 0 THEN '@x.com' WHEN 1 THEN '@x.org' ELSE '@x.qqq' END AS email, upper(h[1:1]) || h[2:6] AS bare_name, CAST(CASE WHEN k % 2 = 0 THEN 11 ELSE 6 END AS INTEGER) AS extended FROM t""")
 def planted_normalisers(spark, sf_dir):
     """Normalisers over values made from keys."""
     rows, c = _made(spark, table(spark, sf_dir, "orders"), _KEYS), F.col
     email = F.concat(F.lit("u"), c("k").cast("string"), F.when(c("k") % 3 == 0, "@x.comhello").when(c("k") % 3 == 1, "@x.orgzz").otherwise("@x.qqq"))
-    line = F.when(c("k") % 2 == 0, "see Maya'ndan it").otherwise("see Maya'xyz it")
+    name = F.concat(F.upper(F.substring("h", 1, 1)), F.substring("h", 2, 5))
+    line = F.concat(F.lit("see "), name, F.when(c("k") % 2 == 0, "'ndan it").otherwise("'xyz it"))
     return rows.select(
         "k",
-        T.sanitize_text(F.lit(" a.,  b;\t c! ")).alias("sanitized"),
-        T.rewrite_trunk_o(F.lit("Ref O 5 end")).alias("trunk"),
+        T.sanitize_text(F.concat(F.lit(" a"), "d", F.lit(".,  b;\t c! "))).alias("sanitized"),
+        T.rewrite_trunk_o(F.concat(F.substring("h", 1, 5), F.lit(" O 5 end"))).alias("trunk"),
         T.compact_iban(F.concat(F.lit("d e - "), F.substring("d", 1, 4), F.lit(" "), F.substring("d", 5, 4), F.lit("-x"))).alias("iban"),
         T.format_api_token(F.concat(F.lit("SKlive"), F.substring("h", 1, 24))).alias("token"),
         T.format_api_token(F.concat(F.lit("apiTEST"), F.substring("h", 1, 10))).alias("api"),
         T.label_text(F.concat(F.lit("Musterı Adı: "), "d")).alias("label"),
         T.name_key(F.concat(F.lit("Maya'nın "), "d")).alias("name_key"),
         T.trim_email_tld(email).alias("email"),
-        T.strip_name_suffix(F.lit("Maya'ndan")).alias("bare_name"),
-        T.extend_name_suffix(line, F.lit(4), F.lit(4)).cast("int").alias("extended"),
-    ).withColumn("extended", F.when(c("k") % 2 == 0, F.col("extended")).otherwise(F.col("extended")))
+        T.strip_name_suffix(F.concat(name, F.lit("'ndan"))).alias("bare_name"),
+        T.extend_name_suffix(line, F.lit(4), F.lit(6)).cast("int").alias("extended"),
+    )
 
 
 @query(f"""WITH t AS ({_KEYS})
