@@ -59,11 +59,14 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, start, length, doc_tokens and ids (uint32 little-endian bytes) of every piece of every document."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, text_col: str = "text", id_col: str = "doc_id", most: int = 800_000) -> DataFrame:
+    """doc_id, start, length, doc_tokens and ids (uint32 little-endian bytes) of every piece of every document.
+
+    ``most`` bounds the distinct stretches that a worker remembers.
+    """
 
     def cut(batches):
-        coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
+        coder, end = tokens.encoder(tokenizer, most), np.array([end_id], np.uint32)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 trim()
@@ -105,6 +108,6 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 8192) -> Dat
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, keep_ids: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every piece of every document with its place; ids_crc32 is the unsigned crc32 of its ids, which stay where asked for."""
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, text_col, id_col).withColumn("ids_crc32", F.crc32("ids"))
-    # Groups that carry ids hold four bytes a token, so they are smaller.
+    # Groups that carry ids hold four bytes a token, so they are smaller, and workers remember less beside them.
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, text_col, id_col, 400_000 if keep_ids else 800_000).withColumn("ids_crc32", F.crc32("ids"))
     return pack(pieces, capacity, 2048) if keep_ids else pack(pieces.drop("ids"), capacity)
