@@ -15,11 +15,16 @@ ROWS = [
 ]
 
 
+# Names of operators' outputs and of columns that they use on the way, with values of other types.
+CLASH = {c: "x" for c in ("component_id", "root", "lang_pred", "ids", "round_trip", "parity", "row_number", "kept")} | {c: 0.5 for c in ("predicted", "n_tokens", "sequence_id", "offset", "shard", "slot", "length", "rid", "grp")}
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty, blank and long texts, repeated rows, a null id and columns that clash with outputs."""
-    rows = [(i, t, "en", "s", 0, "kept", -1.0, 3) for i, t in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, start int")
+    rows = [(i, t, "en", "s", 0, "kept", -1.0, 3, *CLASH.values()) for i, t in ROWS]
+    clash = "".join(f", {c} {'string' if isinstance(v, str) else 'double'}" for c, v in CLASH.items())
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, fp string, score double, start int{clash}")
 
 
 @pytest.fixture(scope="session")

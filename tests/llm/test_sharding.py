@@ -41,3 +41,19 @@ def test_odd_rows_and_files(spark, odd_docs, no_docs, tmp_path):
     sharding.write_shards(rows, f"file://{tmp_path}/out", rows_per_file=2)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert sorted((r.shard, r.slot, r.text or "") for r in back.collect()) == sorted((r.shard, r.slot, r.text or "") for r in rows.collect())
+
+
+def test_query_columns_equal_the_texts(spark, tmp_path, odd_docs):
+    """size, text_crc32, law and grown_shard, over a table with null, empty and repeated rows; shards take turns, slots have no gap."""
+    import zlib
+
+    odd_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/in/documents.parquet")
+    for at in (f"{tmp_path}/in", "/root/testdata/sf0.001"):
+        docs = spark.read.parquet(f"{at}/documents.parquet").collect()
+        rows = queries.op9_sharding(spark, at).collect()
+        raw = [(d.doc_id, (d.text or "").encode()) for d in docs]
+        assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in rows) == sorted((i or 0, len(t) + 1, zlib.crc32(t)) for i, t in raw)
+        assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+        for shard in range(8):
+            slots = sorted(r.slot for r in rows if r.shard == shard)
+            assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 8, -(-len(rows) // 8))
