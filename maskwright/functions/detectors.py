@@ -326,14 +326,22 @@ def first_of(options: list[tuple]) -> Column:
     return cases
 
 
-def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    family, raw, start, text = F.col("family"), F.col("raw"), F.col("start"), F.col("_text")
-    table, also = accepted({c: F.col(c) for c in ("raw", "start", "g1", "g2", "g3", "g4")}, text, rules)
+@functools.lru_cache(maxsize=64)
+def _choice(rules: tuple[Rule, ...], context: int) -> tuple[Column, dict[str, Column]]:
+    """What becomes of a hit, by its family, over the columns of ``raw_hits``; put together once for a context."""
+    family = F.col("family")
+    table, also = accepted({c: F.col(c) for c in ("raw", "start", "g1", "g2", "g3", "g4")}, F.col("_text"), rules)
     chosen = F.when(family == "nine", table["nine"])
     for name, options in table.items():
         if name != "nine":
             chosen = chosen.when(family == name, first_of(options))
-    found = hits.withColumn("_m", F.explode(F.filter(chosen, lambda m: m.isNotNull())))
+    return F.filter(chosen, lambda m: m.isNotNull()), also
+
+
+def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    family, raw, start, text = F.col("family"), F.col("raw"), F.col("start"), F.col("_text")
+    chosen, also = _choice(rules, id(hits.sparkSession.sparkContext))
+    found = hits.withColumn("_m", F.explode(chosen))
     rule = F.when(F.startswith(family, F.lit("rule:")), F.substring(family, 6, 60)).when(family == "iban", "iban").when(F.col("_m.type") == "tckn", "tckn")
     names = {f"rule:{r.id}": r.label for r in rules} | {"iban": fixed.LABELS["iban"]}
     label = F.coalesce(*[F.when(family == k, F.lit(v)) for k, v in names.items()], *[F.when(F.col("_m.type") == k, F.lit(v)) for k, v in fixed.LABELS.items()])

@@ -12,7 +12,7 @@ from maskwright.functions import text as T
 from maskwright.operators import image, masking, pages, review, scan, spatial, words
 from maskwright.operators.joins import meet
 from maskwright.plans import reports
-from maskwright.sources.tables import document_lines, page_text, table
+from maskwright.sources.tables import document_lines, page_text, table, written
 from maskwright.streaming import watch
 
 KEYS = ["doc_id", "line_index"]
@@ -403,11 +403,12 @@ def prepared_images(spark, sf_dir):
 def masked_documents(spark, sf_dir):
     """Every document with its automatic detections covered, wherever their values stand: digest, covered characters and values left over.
 
-    Detections meet the lines once, as arrays; covering and the check of what is left read the same row.
+    Detections are kept as a table, as places and page terms both read them, and meet the lines once, as arrays; covering and the check
+    of what is left read the same row.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = pages.lay_out(docs)
-    found = review.automatic(review.add_review(scan.detect_text(lines, ["doc_id"], carry=("page",))))
+    found = written(review.automatic(review.add_review(scan.detect_text(lines, ["doc_id"], carry=("page",)))).select("doc_id", "page", "line_index", "start", "span"), "found")
     covered = masking.cover_pages(lines, found, ["doc_id", "page", "line_index"], ["doc_id", "page"], keep_terms=True)
     left = F.size(F.filter("terms", lambda t: masking.uncovered(F.col("text"), F.col("masked"), t)))
     covered = covered.withColumn("n_left", F.when(F.col("terms").isNotNull(), left).otherwise(0))

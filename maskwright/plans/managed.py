@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from maskwright.functions import detectors, sql
 from maskwright.operators import masking, review
 from maskwright.plans import catalog, planted
 from maskwright.sources.rules import RuleTable
-from maskwright.sources.tables import document_lines, table
+from maskwright.sources.tables import document_lines, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,17 +25,6 @@ def query(text: str):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table of a query's own: in the cluster's shared folder, or on this machine where the master is local."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/maskwright-tables"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _words(spark: SparkSession, sf_dir: str) -> list[str]:
     """The first words of part names, of which there are a few dozen at any size."""
     words = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("w")).distinct().orderBy("w").limit(200)

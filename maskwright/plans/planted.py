@@ -14,7 +14,7 @@ from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
 from maskwright.operators import boxes, masking, pages, review, scan, spatial, words
 from maskwright.plans.catalog import line_boxes
-from maskwright.sources.tables import table
+from maskwright.sources.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -245,7 +245,7 @@ SELECT p.k, CASE WHEN w.k IS NULL THEN p.text ELSE p.text[1:w.start] || repeat('
 def planted_masking(spark, sf_dir):
     """Texts with what may be covered unseen covered, and values that can still be read."""
     rows = _made(spark, table(spark, sf_dir, "orders"), _PLANTED)
-    found = review.automatic(review.add_review(detectors.detect(rows, ["k"])))
+    found = written(review.automatic(review.add_review(detectors.detect(rows, ["k"]))).select("k", "start", "span"), "found")
     masked = masking.cover_pages(rows, found, ["k"], ["k"], keep_terms=True)
     left = F.size(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: masking.uncovered(F.col("text"), F.col("masked"), t)))
     return masked.select("k", "masked", left.alias("n_leaks"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,21 @@ def spread(rows: DataFrame) -> DataFrame:
         return rows
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of a query's own: in the cluster's shared folder, or on this machine where the master is local."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/maskwright-tables"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of their own, for what is read more than once and costs far more to find than to keep."""
+    at = scratch(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
