@@ -4,6 +4,9 @@ A picture is a row (id, width, height, pixels): row-major bytes, one a pixel for
 rows; crops carry their region's corner and scale, which is the whole map back. Work within a picture is arrays over its pixels; everything between
 pictures, boxes and words is joins.
 
+What belongs to a picture (regions, boxes read already) is gathered into an array by its id. Pictures may carry that array as a column, met before their
+pixels are read or made, so that no pixels are shuffled; where it comes as a table of its own it meets the pictures, which are never broadcast.
+
 Defined results: a picture whose bytes don't fit its size gives one row with ``error`` and nothing else; null ids are one id; a crop that
 reaches over the picture is cut to it.
 """
@@ -200,12 +203,23 @@ def _same_region(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) ->
 _REGION = [("region", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("width", pa.int32()), ("height", pa.int32())]
 
 
-def _pictures(images: DataFrame, id_col: str) -> DataFrame:
-    return images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
+def _pictures(images: DataFrame, id_col: str, *carried: str) -> DataFrame:
+    return images.select(F.col(id_col).cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels", *carried)
+
+
+def covered_lists(covered: DataFrame, id_col: str = "id") -> DataFrame:
+    """id and ``covered``: the boxes (id, x0..y1) of each picture."""
+    return covered.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in BOX])).alias("covered"))
+
+
+def region_lists(regions: DataFrame) -> DataFrame:
+    """id and ``regions``: the regions (id, region, x, y, width, height) of each picture, in their order."""
+    region = F.struct("region", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")])
+    return regions.where("region is not null").groupBy("id").agg(F.sort_array(F.collect_list(region)).alias("regions"))
 
 
-def _over_pictures(pictures: DataFrame, fields: list[tuple[str, pa.DataType]], schema: str, make) -> DataFrame:
-    """id, ``fields`` and error: the rows that ``make(gray, row)`` gives for each picture, few pictures at a time."""
+def _over_pictures(pictures: DataFrame, fields: list[tuple[str, pa.DataType]], schema: str, make, wanted=lambda row: True) -> DataFrame:
+    """id, ``fields`` and error: the rows that ``make(gray, row)`` gives for each picture that is ``wanted``, few pictures at a time."""
     kinds = [("id", pa.int64()), *fields, ("error", pa.string())]
 
     def over(batches):
@@ -213,6 +227,8 @@ def _over_pictures(pictures: DataFrame, fields: list[tuple[str, pa.DataType]], s
             for start in range(0, batch.num_rows, 16):
                 out = []
                 for row in batch.slice(start, 16).to_pylist():
+                    if not wanted(row):
+                        continue
                     gray = gray_of(row["pixels"], row["width"], row["height"])
                     if gray is None:
                         out.append((row["id"], *[None] * len(fields), "pixels do not fit the size"))
@@ -224,11 +240,13 @@ def _over_pictures(pictures: DataFrame, fields: list[tuple[str, pa.DataType]], s
 
 
 def find_regions(images: DataFrame, covered: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """id, region (from 0, the largest first), x, y, width, height and error. ``covered``: boxes (id, x0..y1) that were read already."""
-    rows = _pictures(images, id_col)
+    """id, region (from 0, the largest first), x, y, width, height and error. ``covered``: boxes (id, x0..y1) that were read already.
+
+    Without it ``images`` may carry them, as ``covered_lists`` gives them.
+    """
+    rows = _pictures(images, id_col, *[c for c in ("covered",) if covered is None and c in images.columns])
     if covered is not None:
-        boxes = covered.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in BOX])).alias("covered"))
-        rows = meet(rows, boxes, ["id"], "left")
+        rows = meet(rows, covered_lists(covered, id_col), ["id"], "left")
     make = lambda gray, row: [(k, *r) for k, r in enumerate(regions_of(gray, np.array(row.get("covered") or [], float).reshape(-1, 4)))]
     return _over_pictures(rows, _REGION, "region int, x int, y int, width int, height int", make)
 
@@ -245,29 +263,42 @@ def profiles(images: DataFrame, id_col: str = "id") -> DataFrame:
     return _over_pictures(_pictures(images, id_col), fields, "rows array<double>, columns array<double>", make)
 
 
-def crops(images: DataFrame, regions: DataFrame, scale: int = 1, rgba: bool = False, id_col: str = "id") -> DataFrame:
+def crops(images: DataFrame, regions: DataFrame | None = None, scale: int = 1, rgba: bool = False, id_col: str = "id") -> DataFrame:
     """id, region, x, y, scale, width, height, pixels and error: each region (id, region, x, y, width, height) cut out and scaled up by whole pixels.
 
-    Pixels stay gray or RGBA as they were; ``rgba`` makes gray ones opaque RGBA. Regions meet their picture as one array, so pixels are moved once.
+    Pixels stay gray or RGBA as they were; ``rgba`` makes gray ones opaque RGBA. Regions meet their picture as one array, so pixels are moved once;
+    without ``regions`` the pictures carry them, as ``region_lists`` gives them, and pixels aren't moved at all. Pictures without regions have no rows.
     """
     if scale < 1:
         raise ValueError("crops are scaled up by whole numbers")
-    lists = regions.where("region is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("region", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]))).alias("regions"))
-    names = [("region", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("scale", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())]
-
-    def make(gray, row):
-        raw = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], -1)
-        for r in row["regions"] or []:
-            x, y = max(0, int(np.floor(r["x"]))), max(0, int(np.floor(r["y"])))
-            part = raw[y : y + max(1, int(np.floor(r["height"]))), x : x + max(1, int(np.floor(r["width"])))]
-            if not part.size:
-                continue
-            if rgba and part.shape[2] == 1:
-                part = np.concatenate([part.repeat(3, 2), np.full((*part.shape[:2], 1), 255, np.uint8)], 2)
-            part = part.repeat(scale, 0).repeat(scale, 1)
-            yield r["region"], x, y, scale, part.shape[1], part.shape[0], part.tobytes()
-
-    return _over_pictures(meet(_pictures(images, id_col), lists, ["id"]), names, "region int, x int, y int, scale int, width int, height int, pixels binary", make)
+    # Only the right side of a left join can be broadcast: the planner takes pictures for as small as the rows that they are made of.
+    rows = _pictures(images, id_col, "regions") if regions is None else meet(_pictures(images, id_col), region_lists(regions), ["id"], "left")
+    return _over_pictures(rows, _CROP, _CROP_TYPES, lambda _, row: _cut(row, [(r["region"], r["x"], r["y"], r["width"], r["height"]) for r in row["regions"]], scale, rgba), lambda row: row["regions"] is not None)
+
+
+def band_crops(images: DataFrame, scale: int = 1, rgba: bool = False, id_col: str = "id") -> DataFrame:
+    """``crops`` of the bands that ``text_bands`` finds, in one pass over the pictures; those whose bytes don't fit their size have no rows."""
+    if scale < 1:
+        raise ValueError("crops are scaled up by whole numbers")
+    return _over_pictures(_pictures(images, id_col), _CROP, _CROP_TYPES, lambda gray, row: _cut(row, [(0, *text_band(gray))], scale, rgba), lambda row: gray_of(row["pixels"], row["width"], row["height"]) is not None)
+
+
+_CROP = [("region", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("scale", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())]
+_CROP_TYPES = "region int, x int, y int, scale int, width int, height int, pixels binary"
+
+
+def _cut(row: dict, regions: list[tuple], scale: int, rgba: bool):
+    """A picture's regions (number, x, y, width, height), cut to it and scaled up."""
+    raw = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], -1)
+    for region, left, top, width, height in regions:
+        x, y = max(0, int(np.floor(left))), max(0, int(np.floor(top)))
+        part = raw[y : y + max(1, int(np.floor(height))), x : x + max(1, int(np.floor(width)))]
+        if not part.size:
+            continue
+        if rgba and part.shape[2] == 1:
+            part = np.concatenate([part.repeat(3, 2), np.full((*part.shape[:2], 1), 255, np.uint8)], 2)
+        part = part.repeat(scale, 0).repeat(scale, 1)
+        yield region, x, y, scale, part.shape[1], part.shape[0], part.tobytes()
 
 
 def in_picture(boxes: DataFrame) -> DataFrame:
