@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
 from maskwright.functions import text as T
-from maskwright.functions.patterns import SPACE
+from maskwright.functions.patterns import SPACE, bound
 from maskwright.operators import boxes, pages
 from maskwright.operators.joins import meet
 from maskwright.operators.spatial import BOX
@@ -107,8 +107,7 @@ def _nth(text: Column, value: Column, n: Column) -> Column:
 
 
 def _found(text: Column, value: Column, start: Column) -> Column:
-    at = F.call_function("locate", value, text, start + 1) - 1
-    return F.struct(at.alias("at"), (at + F.length(value)).alias("next"))
+    return bound(F.call_function("locate", value, text, start + 1) - 1, lambda at: F.struct(at.alias("at"), (at + F.length(value)).alias("next")))
 
 
 def match_range(text: Column, match: Column, occurrence: Column) -> Column:
@@ -116,26 +115,34 @@ def match_range(text: Column, match: Column, occurrence: Column) -> Column:
 
     Case and Turkish marks don't count, and the case ending of a name goes with it.
     """
-    value = F.trim(match)
-    bare = F.regexp_replace(value, "[^0-9]", "")
-    line = F.when(F.startswith(bare, F.lit("0")) & (F.length(bare) >= 10), T.rewrite_trunk_o(text)).otherwise(text)
-    folded, wanted = T.fold_turkish(line), T.fold_turkish(value)
-    marks = ["", f"{SPACE}", f"(?:{SPACE}|[_-])"]
-    tries = []
-    for dropped in marks:
-        chars = F.split(folded, "")
-        if not dropped:
-            at = _nth(folded, wanted, occurrence)
-            tries.append(F.when(at >= 0, F.struct(at.alias("start"), F.length(wanted).alias("size"))))
-            continue
-        kept = F.filter(F.sequence(F.lit(1), F.length(folded)), lambda i: ~F.get(chars, i - 1).rlike(f"^{dropped}$"))
-        short, needle = F.regexp_replace(folded, dropped, ""), F.regexp_replace(wanted, dropped, "")
-        at = F.when(needle != "", _nth(short, needle, occurrence)).otherwise(-1)
-        first, last = F.get(kept, at), F.get(kept, at + F.length(needle) - 1)
-        tries.append(F.when(at >= 0, F.struct((first - 1).alias("start"), (last - first + 1).alias("size"))))
-    found = F.coalesce(*tries)
-    whole = F.struct(found["start"].alias("start"), T.extend_name_suffix(line, found["start"], found["size"]).alias("size"))
-    return F.when((value != "") & (text != "") & found.isNotNull(), whole)
+    place = lambda start, size: F.struct(start.alias("start"), size.alias("size"))
+
+    def as_it_is(folded: Column, wanted: Column) -> Column:
+        return bound(_nth(folded, wanted, occurrence), lambda at: F.when(at >= 0, place(at, F.length(wanted))))
+
+    def without(folded: Column, wanted: Column, dropped: str) -> Column:
+        def among(kept: Column, short: Column, needle: Column) -> Column:
+            first, last = (lambda at: F.get(kept, at)), (lambda at: F.get(kept, at + F.length(needle) - 1))
+            return bound(F.when(needle != "", _nth(short, needle, occurrence)).otherwise(-1), lambda at: F.when(at >= 0, place(first(at) - 1, last(at) - first(at) + 1)))
+
+        # Places of the characters that stay, from 1, and they themselves.
+        stay = F.filter(F.transform(F.split(folded, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i"))), lambda x: ~x["c"].rlike(f"^{dropped}$"))
+        needle = F.regexp_replace(wanted, dropped, "")
+        return bound(stay, lambda s: among(s["i"], F.regexp_replace(folded, dropped, ""), needle))
+
+    def sought(line: Column, value: Column) -> Column:
+        def over(x: Column) -> Column:
+            return F.coalesce(as_it_is(x["f"], x["w"]), without(x["f"], x["w"], f"{SPACE}"), without(x["f"], x["w"], f"(?:{SPACE}|[_-])"))
+
+        found = bound(F.struct(T.fold_turkish(line).alias("f"), T.fold_turkish(value).alias("w")), over)
+        return bound(found, lambda r: F.when(r.isNotNull(), place(r["start"], T.extend_name_suffix(line, r["start"], r["size"]))))
+
+    def read(value: Column) -> Column:
+        bare = F.regexp_replace(value, "[^0-9]", "")
+        line = F.when(F.startswith(bare, F.lit("0")) & (F.length(bare) >= 10), T.rewrite_trunk_o(text)).otherwise(text)
+        return F.when((value != "") & (text != ""), bound(line, lambda own: sought(own, value)))
+
+    return bound(F.trim(match), read)
 
 
 def words_in_range(spans: Column, start: Column, end: Column) -> Column:
@@ -143,8 +150,12 @@ def words_in_range(spans: Column, start: Column, end: Column) -> Column:
 
     Both bounds are found by halving, as spans are in order: the first that ends after ``start``, and how many begin before ``end``.
     """
-    first, beyond = _bound(spans, lambda w: w["end"] > start), _bound(spans, lambda w: w["start"] >= end)
-    return F.slice(spans, first + 1, F.when(end > start, F.greatest(beyond - first, F.lit(0))).otherwise(0))
+
+    def within(a: Column, b: Column) -> Column:
+        first, beyond = _bound(spans, lambda w: w["end"] > a), _bound(spans, lambda w: w["start"] >= b)
+        return bound(first, lambda at: F.slice(spans, at + 1, F.when(b > a, F.greatest(beyond - at, F.lit(0))).otherwise(0)))
+
+    return bound(F.struct(start.alias("a"), end.alias("b")), lambda r: within(r["a"], r["b"]))
 
 
 def _bound(spans: Column, test) -> Column:
@@ -152,8 +163,8 @@ def _bound(spans: Column, test) -> Column:
     begin = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        return F.when(s["lo"] >= s["hi"], s).when(test(F.get(spans, middle)), F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+        cut = lambda middle: F.when(s["lo"] >= s["hi"], s).when(test(F.get(spans, middle)), F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+        return bound(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), cut)
 
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
     return F.aggregate(rounds, begin, halve, lambda s: s["lo"])
@@ -161,9 +172,12 @@ def _bound(spans: Column, test) -> Column:
 
 def grown(matched: Column, spans: Column, most: int = pages.MOST_PIECES) -> Column:
     """``matched`` with the pieces of a cut token that stand close after its last word, ``most`` at most."""
-    last = F.get(matched, F.size(matched) - 1)
-    more = F.filter(spans, lambda w: (w["line_index"] == last["line_index"]) & (w["run"] == last["run"]) & (w["place"] > last["place"]) & (w["place"] <= last["place"] + most))
-    return F.when(F.size(matched) > 0, F.concat(matched, more)).otherwise(matched)
+
+    def longer(words: Column) -> Column:
+        more = lambda last: F.filter(spans, lambda w: (w["line_index"] == last["line_index"]) & (w["run"] == last["run"]) & (w["place"] > last["place"]) & (w["place"] <= last["place"] + most))
+        return F.when(F.size(words) > 0, F.concat(words, bound(F.get(words, F.size(words) - 1), more))).otherwise(words)
+
+    return bound(matched, longer)
 
 
 def match_boxes(matches: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,7 +188,9 @@ def match_boxes(matches: DataFrame, texts: DataFrame, keys: list[str]) -> DataFr
     own = [c for c in matches.columns if c not in keys]
     met = meet(matches.select(*keys, *[F.col(c).alias(f"_m_{c}") for c in own]), texts.select(*keys, F.col("text").alias("_text"), "spans"), keys)
     occurrence = F.col("_m_occurrence") if "occurrence" in own else F.lit(0)
-    met = met.withColumn("_r", match_range(F.col("_text"), F.col("_m_text"), occurrence)).where("_r is not null")
+    # As rows of an array of one the range is worked out once; a filter over it would be worked out again below.
+    place = F.filter(F.array(match_range(F.col("_text"), F.col("_m_text"), occurrence)), lambda r: r.isNotNull())
+    met = met.select(*keys, *[f"_m_{c}" for c in own], "spans", F.explode(place).alias("_r"))
     touched = words_in_range(F.col("spans"), F.col("_r.start"), F.col("_r.start") + F.col("_r.size"))
     if "type" in own:
         touched = F.when(F.col("_m_type").isin(fixed.CUT_TYPES), grown(touched, F.col("spans"))).otherwise(touched)
