@@ -165,8 +165,10 @@ def public_pem(text: Column) -> Column:
 
 
 def base64_line(text: Column) -> Column:
+    # Prose ends the first test at its first sign.
+    plain = ~text.rlike(f"[^A-Za-z0-9+/=\u0085{SPACE[1:-1]}]")
     compact = F.regexp_replace(text, f"{SPACE}+", "")
-    return (F.length(compact) >= 20) & compact.rlike("^[A-Za-z0-9+/=]+$")
+    return plain & (F.length(compact) >= 20) & compact.rlike("^[A-Za-z0-9+/=]+$")
 
 
 def broken_key_header(text: Column) -> Column:

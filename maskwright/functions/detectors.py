@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, fixed
 from maskwright.functions import text as T
-from maskwright.functions.patterns import PLACE, SPACE, before, blanked, bound, digits, located, loose_occurrences, occurrences, spelled, squeeze
+from maskwright.functions.patterns import PLACE, SPACE, any_of, before, blanked, bound, digits, located, loose_occurrences, occurrences, spelled, squeeze
 from maskwright.sources.tables import spread
 
 HIT = "struct<family:string,start:int,raw:string,g1:string,g2:string,g3:string,g4:string>"
@@ -138,17 +138,23 @@ def _label_head(labels: list[str]) -> str:
 
 
 def _place_guard(text: Column, folded: Column) -> Column:
-    """Tests without which neither a labelled place nor a province in context can be found, the cheap one first."""
-    provinces = "|".join(fixed.PROVINCES)
-    labelled = rf"(?<![a-z0-9])(?:{'|'.join(x.replace(' ', spelled(chr(92) + 's') + '+') for x in fixed.PLACE_LABELS)}|{fixed.PLACE_CONTEXT_LABELS})(?![a-z0-9])\s*[:\-–]"
-    named = rf"(?<![a-z0-9])(?:(?:in|at)\s+(?:{provinces})|(?:{provinces})\s+(?:ili|merkez|sehri))"
-    return (text.rlike("[:–-]") & folded.rlike(spelled(labelled))) | folded.rlike(spelled(named))
+    """Tests without which neither a labelled place nor a province in context can be found, the cheap ones first."""
+    provinces = any_of(fixed.PROVINCES)
+    labelled = rf"(?<![a-z0-9])(?:{any_of(fixed.PLACE_LABELS).replace(' ', spelled(chr(92) + 's') + '+')}|{fixed.PLACE_CONTEXT_LABELS})(?![a-z0-9])\s*[:\-–]"
+    before, after = rf"(?<![a-z0-9])(?:in|at)\s+(?:{provinces})", rf"(?<![a-z0-9])(?:{provinces})\s+(?:ili|merkez|sehri)"
+    ending = _any([F.contains(folded, F.lit(w)) for w in ("ili", "merkez", "sehri")])
+    return (text.rlike("[:–-]") & folded.rlike(spelled(labelled))) | folded.rlike(spelled(before)) | (ending & folded.rlike(spelled(after)))
 
 
-def _may_hold_token(text: Column) -> Column:
+def _may_hold_token(text: Column, low: Column) -> Column:
     """A prefix of a known kind, or forty characters on end; blanks around dashes may be closed up first."""
     prefix = r"(?i)api[\s_-]*(?:test|live)|gh[pousr]\s*[_＿﹍﹎]|github|eyJ|[spr]k[\s_＿﹍﹎‐-―−-]*(?:live|test)|sk\s*[-‐-―−]|A(?:KIA|SIA|ROA|IDA)|://"
-    return text.rlike(spelled(prefix)) | text.rlike("[A-Za-z0-9+/_=-]{40}") | (text.rlike("[-_‐-―−＿﹍﹎]") & T.one_dash(text).rlike("[A-Za-z0-9+/_=-]{40}"))
+    # A part of each prefix, and a dash or underscore: what holds none of them is not searched.
+    part = _any([F.contains(low, F.lit(w)) for w in ("live", "test", "github", "eyj", "akia", "asia", "aroa", "aida", "://")])
+    dash, end = text.rlike("[-_‐-―−＿﹍﹎]"), "[A-Za-z0-9+/_=-]"
+    # Letters alone are two kinds of characters at most, and such a run is no token. Runs are tried at their beginnings.
+    forty = lambda t: F.concat(F.lit(" "), t).rlike(f"{end.replace('[', '[^')}{end}{{40}}")
+    return ((part | dash) & text.rlike(spelled(prefix))) | (text.rlike("[0-9+/_=-]") & forty(text)) | (dash & forty(T.one_dash(text)))
 
 
 def place_hits(text: Column, folded: Column) -> Column:
@@ -213,7 +219,7 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
     has = lambda *words: _any([F.contains(low, F.lit(w)) for w in words])
     many_digits = text.rlike("[0-9]") & (F.length(digits(text)) >= 9)
     word = lambda p: folded.rlike(spelled(p))
-    titled = F.arrays_overlap(F.split(folded, "[^a-z]+"), F.array(*map(F.lit, [*fixed.GIVEN_NAMES, *{T.plain(t) for t in fixed.TITLES.split("|")}])))
+    titled = F.concat(F.lit(" "), folded).rlike(f"[^a-z](?:{any_of([*fixed.GIVEN_NAMES, *[T.plain(t) for t in fixed.TITLES.split('|')]])})(?![a-z])")
     key_block = rf"{fixed.KEY_HEADER}(?:[\x00-\x{{10ffff}}]*?{fixed.KEY_END}|[^\n]*(?:\n[^\n]*){{0,{fixed.KEY_LINES}}})"
     session = lambda: bound(T.normalize_credential(text), lambda t: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(spelled(p)), F.lit(0)) for p in fixed.SESSIONS]))))
     # types, a cheap test that leaves them possible, and the search itself
@@ -228,7 +234,7 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
         (["tckn"], text.rlike("[0-9OoIl|SsBb]{11}"), lambda: _hits("tckn", located(text, fixed.TCKN))),
         (["vkn"], text.rlike("[0-9OoIl|SsBb]{10}"), lambda: _hits("vkn", located(text, fixed.VKN))),
         (["custom_rule"], many_digits & text.rlike("[A-Z0-9]{2}[0-9]{2}"), lambda: _hits("iban", F.concat(located(text, fixed.IBAN), located(text, fixed.IBAN_DAMAGED)))),
-        (["api_token"], _may_hold_token(text), lambda: _texts("api_token", api_token_texts(text))),
+        (["api_token"], _may_hold_token(text, low), lambda: _texts("api_token", api_token_texts(text))),
         (["connection_url"], has("://"), lambda: _texts("connection_url", connection_urls(text))),
         (["bearer_token"], has("bearer"), lambda: _hits("bearer_token", located(text, fixed.BEARER, 2))),
         (["env_secret"], has("="), lambda: _hits("env_secret", located(text, fixed.ENV, 4))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the plain ``words``; beginnings that they share are tried once, as a search tries each alternative at each place."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted({w for w in words if w}):
+        tails.setdefault(w[0], []).append(w[1:])
+    own = lambda c: c if c.isalnum() or c == " " else re.escape(c)
+    made = [own(c) + (f"(?:{any_of(rest)})" + ("?" if "" in rest else "") if any(rest) else "") for c, rest in tails.items()]
+    return "|".join(made)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<string> of all matches, in order."""
     return F.regexp_extract_all(text, F.lit(spelled(pattern)), F.lit(0))

@@ -208,15 +208,16 @@ def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     header = F.regexp_extract("text", spelled(fixed.KEY_HEADER), 0)
     head = F.contains(t, F.lit("---")) & (header != "") & ~checks.public_pem(header)
     broken = t.rlike("(?i)be[g6]|pr[i1l]|key") & checks.broken_key_header(t)
-    marked = lines.select(*keys, "line_index", "text", head.alias("_head"), broken.alias("_broken"), t.rlike(spelled(r"(?i)-{3,6}\s*END")).alias("_end"), checks.base64_line(t).alias("_body"))
-    # A window is a page's worth of lines and as many after it; only windows that may hold a key are laid out.
-    marked = marked.withColumn("_block", F.floor(F.col("line_index") / PAGE_LINES))
-    may = marked.groupBy(*keys, "_block").agg(F.max("_head").alias("_page"), F.max("_broken").alias("_b"), F.sum(F.col("_body").cast("int")).alias("_n")).where("_page or _b")
+    dashes = F.contains(t, F.lit("---"))
+    marked = lines.select(*keys, "line_index", "text", F.floor(F.col("line_index") / PAGE_LINES).alias("_block"))
+    # A window is a page's worth of lines and as many after it; only windows that may hold a key are laid out, and only their lines are looked at in full.
+    may = marked.where(head | broken).groupBy(*keys, "_block").agg(F.max(head).alias("_page"), F.max(broken).alias("_b")).where("_page or _b")
     asked = may.select(*keys, "_page", F.col("_block").alias("_window"), F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
+    marks = {"_head": head, "_broken": broken, "_end": dashes & t.rlike(spelled(r"(?i)-{3,6}\s*END")), "_body": checks.base64_line(t)}
     own, keys = keys, [*keys, "_window"]
     page = Window.partitionBy(*keys)
     order = page.orderBy("line_index")
-    rows = meet(marked, asked, [*own, "_block"]).withColumn("_row", F.row_number().over(order))
+    rows = meet(marked, asked, [*own, "_block"]).withColumns(marks).withColumn("_row", F.row_number().over(order))
     following = F.min(F.when(F.col("_end"), F.col("_row"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_last", F.when(F.col("_head"), F.coalesce(following, F.col("_row") + fixed.KEY_LINES)))
