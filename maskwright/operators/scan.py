@@ -9,6 +9,7 @@ from maskwright.functions import checks, detectors, fixed
 from maskwright.functions.patterns import SPACE
 from maskwright.operators import pages, review, spatial, words
 from maskwright.operators.spatial import BOX
+from maskwright.sources.tables import written
 
 HINTS = ["labeled", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed"]
 
@@ -60,25 +61,29 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     line ends. Type limits come last, as hidden types still cast shadows.
     """
     at = [*keys, "line_index"]
-    every = pages.words_of(lines, keys)
+    # Words are cut only from lines, or pages, that may hold what is sought over them: most hold nothing, and words are many times the lines.
+    cut = lambda some: pages.words_of(some, keys)
+    text = F.col("text")
     found = pages.detect_lines(lines, keys, rules=rules)
     found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", F.col("start").cast("int").alias("start"), "hint", *HINTS)
     placed = [found.where(F.col("start").isNotNull())]
 
-    wrapped, over = _over_line_ends(lines, keys, at, lines)
+    wrapped, over = _over_line_ends(pages.that_hold(lines, keys, text.rlike(WRAPS)), keys, at, lines)
     placed.append(over)
-    placed.append(_located(_made(words.values_beside_labels(every, keys), keys, "beside", F.col("type")), lines, at))
+    placed.append(_located(_made(words.values_beside_labels(cut(lines.where(words.may_be_beside(text))), keys), keys, "beside", F.col("type")), lines, at))
     if wordlist is not None:
         seeds = pages.seed_phrase_lines(lines, keys, wordlist)
         placed.append(_located(_made(seeds, keys, "seed", "seed_phrase", "span", hint=F.lit("seed")), lines, at))
     boxed = placed[0]
     for more in placed[1:]:
         boxed = boxed.unionByName(more)
-    boxed = pages.place(boxed, every, keys, grow=True)
+    # Read twice, and found at a far higher cost than it is kept at.
+    boxed = written(boxed, "placed")
+    boxed = pages.place(boxed, cut(pages.meet(lines, boxed.select(*at).distinct(), at, "left_semi")), keys, grow=True)
 
-    grouped = _made(words.grouped_secrets(every, keys), keys, "grouped", F.col("type"), rule_id=F.col("rule_id"), iban_checksum_valid=(F.col("rule_id") == "iban") & checks.iban_checksum(F.col("text")), iban_checksum_failed=F.coalesce((F.col("rule_id") == "iban") & ~checks.iban_checksum(F.col("text")), F.lit(False)))
-    phones = _made(words.phones_in_rows(every, keys).withColumnRenamed("row", "line_index"), keys, "row", "phone", ocr_corrected=F.col("ocr_corrected"))
-    pieces = _made(pages.fragments(every, keys), keys, "pieces", "ipv6")
+    grouped = _made(words.grouped_secrets(cut(lines.where(words.may_be_grouped(text))), keys), keys, "grouped", F.col("type"), rule_id=F.col("rule_id"), iban_checksum_valid=(F.col("rule_id") == "iban") & checks.iban_checksum(F.col("text")), iban_checksum_failed=F.coalesce((F.col("rule_id") == "iban") & ~checks.iban_checksum(F.col("text")), F.lit(False)))
+    phones = _made(words.phones_in_rows(cut(words.may_hold_phones(lines, keys)), keys).withColumnRenamed("row", "line_index"), keys, "row", "phone", ocr_corrected=F.col("ocr_corrected"))
+    pieces = _made(pages.fragments(cut(lines.where(text.rlike(":.*:"))), keys), keys, "pieces", "ipv6")
     union = boxed.unionByName(grouped).unionByName(phones).unionByName(pieces)
     union = union.withColumns({h: F.coalesce(h, F.lit(False)) for h in HINTS})
     judged = review.in_profile(review.add_review(pages.without_iban_heads(union, wrapped, keys), "confidence"))

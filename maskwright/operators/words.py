@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
-from maskwright.functions.patterns import SPACE, spelled
+from maskwright.functions.patterns import NOT_SPACE, SPACE, spelled
+from maskwright.operators.joins import meet
 from maskwright.operators.pages import candidates
 from maskwright.operators.spatial import BOX
 
@@ -27,6 +28,26 @@ CUT_WORDS = ["email", "api_token", "tckn", "ssn", "routing_number", "phone", "cr
 MAY_HOLD = r"[@0-9:_–-]|[A-ZÇĞİÖŞÜ][^ ]* +[A-ZÇĞİÖŞÜ]|(?i:\b(?:in|at)\b|ili|merkez|sehri|şehri)"
 
 
+def may_be_grouped(text: Column) -> Column:
+    """What the text of a line holds wherever ``grouped_secrets`` finds a value: the sign of an address, eleven digits or their likes, thirteen digits, or the glyphs of an account number."""
+    glyph, card = "[0-9OoIl|SsBb]", f"[0-9](?:[{SPACE[1:-1]}-]*[0-9]){{12}}"
+    iban = f"[A-Z0-9]{{2}}{SPACE}*[0-9]{{2}}(?:{SPACE}*[A-Z0-9]){{13}}"
+    return F.contains(text, F.lit("@")) | text.rlike(f"{glyph}(?:{SPACE}*{glyph}){{10}}") | (text.rlike("[0-9]") & (text.rlike(card) | text.rlike(iban)))
+
+
+def may_hold_phones(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of pages on which ``phones_in_rows`` may find a number: those with a digit and ten in all, of which letters O that stand alone may be some."""
+    alone = f"[OoΟοОоØø](?<!{NOT_SPACE}.)(?!{NOT_SPACE})"
+    n = F.length("text") - F.length(F.regexp_replace("text", f"[0-9]|{alone}", ""))
+    few = lines.groupBy(*keys).agg(F.sum(n).alias("_n"), F.max(F.col("text").rlike("[0-9]")).alias("_d")).where("_n >= 10 and _d").select(*keys)
+    return meet(lines, few, keys, "left_semi")
+
+
+def may_be_beside(text: Column) -> Column:
+    """Whether the words of a line may hold a label of ``values_beside_labels``: both have their letters, whatever blanks stand between."""
+    return text.rlike(spelled(r"(?i)session\s*id|api\s*(?:token|key)"))
+
+
 def grouped_secrets(words: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
     """keys, line_index, first_word, n_words, type, rule_id, text, box: runs of adjacent words that are one value as a whole.
 
