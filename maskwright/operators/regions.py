@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, fixed
@@ -359,38 +359,43 @@ def number_words(numbers: DataFrame, regions: DataFrame, keys: list[str]) -> Dat
 
 GRID = 64.0
 REACH = 20.0  # centres nearer than this are one place
+FEW = 32  # words of a page that are compared with each other without cells
 
 
 def merged_words(first: DataFrame, second: DataFrame, keys: list[str], order_col: str = "ordinal", numbers: bool = True) -> DataFrame:
     """``first`` and those words of ``second`` (both keys, text, x0..y1, ``order_col``) that stand where none was read before, in their order.
 
-    Two identity numbers are one only where their glyphs lie on each other (unless ``numbers`` is false). Rows that are equal in all of this are one. What ``first`` holds is dropped by an anti-join over the
-    cells that boxes reach into; words of ``second`` among themselves are taken in order, over those alone that meet another.
+    Two identity numbers are one only where their glyphs lie on each other (unless ``numbers`` is false). Rows that are equal in all of this are one.
+    Words meet in lists: of a page that holds few, else of each cell that boxes reach into. Words of ``second`` among themselves are taken in order,
+    those alone that meet another. All steps go by the page's keys or finer, so rows are shuffled by page and never again.
     """
     from maskwright.operators import spatial
 
     number = lambda c: (F.size(checks.tckn_evidence(F.coalesce(c, F.lit("")))) == 3) if numbers else F.lit(False)
-    box = lambda p, row=None: [F.col(f"{p}{c}") if row is None else row[c] for c in BOX]
-    same = lambda a, b, both: F.when(both, spatial.same_glyphs(a, b)).otherwise(spatial.duplicate(a, b))
-    named = second.where(F.trim(F.coalesce("text", F.lit(""))) != "").where(" and ".join(f"{c} is not null and not isnan({c})" for c in BOX))
-    named = named.withColumns({"_number": number(F.col("text")), "_id": F.struct(order_col, *BOX, "text")}).dropDuplicates([*keys, order_col, *BOX, "text"])
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - REACH) / GRID), F.floor((F.greatest(F.col(lo), F.col(hi)) + REACH) / GRID))
-    celled = lambda rows: rows.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
-    other = lambda rows, number_col, more: rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"), number_col.alias("_other"), *[F.col(c).alias(f"_o_{c}") for c in BOX], *more)
-    on = [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_cx") == F.col("_ox"), F.col("_cy") == F.col("_oy")]
-    near = same(box(""), box("_o_"), F.col("_number") & F.col("_other"))
-    held = other(celled(first.select(*keys, "text", *BOX)), number(F.col("text")), [])
-    taken = celled(named).join(held, [*on, near]).select(*keys, "_id").distinct()
-    free = meet(named, taken, [*keys, "_id"], "left_anti")
-    # Of the rest only words that have another near them need an order.
-    beside = other(celled(free), F.col("_number"), [F.col("_id").alias("_o_id")])
-    crowded = celled(free).join(beside, [*on, F.col("_id") != F.col("_o_id"), near]).select(*keys, "_id").distinct()
-    alone = meet(free, crowded, [*keys, "_id"], "left_anti")
-    names = [c for c in free.columns if c not in keys]
-    pages = meet(free, crowded, [*keys, "_id"], "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_id", *[c for c in names if c != "_id"]))).alias("_all"))
-    chosen = F.aggregate("_all", F.slice("_all", 1, 0), lambda out, w: F.when(F.exists(out, lambda k: same(box("", k), box("", w), k["_number"] & w["_number"])), out).otherwise(F.array_append(out, w)))
-    ordered = pages.select(*keys, F.explode(chosen).alias("_w")).select(*keys, *[F.col(f"_w.{c}").alias(c) for c in names])
-    return first.unionByName(alone.unionByName(ordered).drop("_number", "_id"), allowMissingColumns=True)
+    box = lambda row: [row[c] for c in BOX]
+    same = lambda a, b: F.when(a["_number"] & b["_number"], spatial.same_glyphs(box(a), box(b))).otherwise(spatial.duplicate(box(a), box(b)))
+    placed = lambda rows: rows.where(" and ".join(f"{c} is not null and not isnan({c})" for c in BOX)).withColumn("_number", number(F.col("text")))
+    page = Window.partitionBy(*keys)
+    names = [c for c in second.columns if c not in keys]
+    named = placed(second.where(F.trim(F.coalesce("text", F.lit(""))) != "")).withColumn("_id", F.struct(order_col, *BOX, "text"))
+    named = named.select(*keys, F.struct("_id", *names, "_number").alias("_w"))
+    held = placed(first).select(*keys, F.struct(*BOX, "_number").alias("_f"))
+    rows = named.unionByName(held, allowMissingColumns=True)
+    repeated = F.col("_w").isNotNull() & F.coalesce(F.lag("_w._id").over(page.orderBy("_w._id")).eqNullSafe(F.col("_w._id")), F.lit(False))
+    rows = rows.withColumns({"_again": repeated, "_n": F.count("*").over(page)}).where("not _again")
+    at = {c: F.coalesce(f"_w.{c}", f"_f.{c}") for c in BOX}
+    span = lambda lo, hi: F.when(F.col("_n") <= FEW, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor((at[lo] - REACH) / GRID), F.floor((F.greatest(at[lo], at[hi]) + REACH) / GRID)))
+    celled = rows.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    lists = celled.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("_w").alias("_ws"), F.collect_list("_f").alias("_fs"))
+    other = lambda w: F.exists("_ws", lambda o: (o["_id"] != w["_id"]) & same(w, o))
+    judged = F.transform("_ws", lambda w: F.struct(w.alias("w"), F.exists("_fs", lambda f: same(w, f)).alias("taken"), other(w).alias("crowded")))
+    each = lists.select(*keys, F.explode(judged).alias("_j")).groupBy(*keys, F.col("_j.w._id").alias("_id"))
+    free = each.agg(F.first("_j.w").alias("_w"), F.max("_j.taken").alias("_taken"), F.max("_j.crowded").alias("_crowded")).where("not _taken")
+    # Only words that have another near them need an order.
+    ordered = free.groupBy(*keys, F.when(~F.col("_crowded"), F.col("_id")).alias("_alone")).agg(F.sort_array(F.collect_list("_w")).alias("_all"))
+    chosen = F.aggregate("_all", F.slice("_all", 1, 0), lambda out, w: F.when(F.exists(out, lambda k: same(k, w)), out).otherwise(F.array_append(out, w)))
+    kept = ordered.select(*keys, F.explode(chosen).alias("_w")).select(*keys, *[F.col(f"_w.{c}").alias(c) for c in names])
+    return first.unionByName(kept, allowMissingColumns=True)
 
 
 def first_come(candidates: DataFrame, keys: list[str], order_col: str = "ordinal") -> DataFrame:

@@ -60,6 +60,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
 
 
+PART_BYTES = 1 << 20
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into as many parts as the planner's estimate of their bytes asks for, and no fewer than there are cores.
+
+    For windows and lists over narrow rows, which hold many times in a task what was moved to it: parts that are joined by moved bytes alone grow too large.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, min(size // PART_BYTES + 1, 20_000)), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a table of a query's own: in the cluster's shared folder, or on this machine where the master is local."""
     context = spark.sparkContext
