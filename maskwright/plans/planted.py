@@ -14,7 +14,7 @@ from maskwright.functions import checks, detectors, fixed
 from maskwright.functions import text as T
 from maskwright.operators import boxes, masking, pages, review, scan, spatial, words
 from maskwright.plans.catalog import line_boxes
-from maskwright.sources.tables import table, written
+from maskwright.sources.tables import dealt, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,7 +219,8 @@ def recognised_lines(spark, sf_dir):
 def address_pieces(spark, sf_dir):
     """Addresses put together from three scanned pieces."""
     text = F.concat(F.lit("see 2001 db8:: "), (F.col("o_orderkey") % 9000 + 1000).cast("string"))
-    words = pages.words_of(pages.lay_out(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey"), ["doc_id", "page"])
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", grows=8)
+    words = pages.words_of(pages.lay_out(orders.select("o_orderkey", text.alias("text")), "o_orderkey"), ["doc_id", "page"])
     return pages.fragments(words, ["doc_id", "page"]).select(F.col("doc_id").alias("k"), "text", F.col("x0").cast("int").alias("x0"))
 
 

@@ -63,13 +63,15 @@ def spread(rows: DataFrame) -> DataFrame:
 PART_BYTES = 1 << 20
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, grows: int = 1) -> DataFrame:
     """``rows`` shuffled by ``keys`` into as many parts as the planner's estimate of their bytes asks for, and no fewer than there are cores.
 
+    ``grows``: how many times wider than usual the rows become that are made of each.
+
     For windows and lists over narrow rows, which hold many times in a task what was moved to it: parts that are joined by moved bytes alone grow too large.
     """
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, min(size // PART_BYTES + 1, 20_000)), *keys)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, min(size * grows // PART_BYTES + 1, 20_000)), *keys)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
