@@ -138,7 +138,8 @@ def planted_seed_phrases(spark, sf_dir):
     k, at = F.col("c_custkey"), (F.col("c_custkey") % 14).cast("int")
     part = lambda a, n: F.array_join(F.slice(listed, at + a, F.lit(n)), " ")
     text = F.when(k % 3 == 0, F.concat(F.lit("x "), part(1, 7), F.lit("\n"), part(8, 5), F.lit(" y"))).when(k % 3 == 1, F.concat(F.lit("x "), part(1, 12))).otherwise(F.concat(part(1, 11), F.lit(" end")))
-    lines = pages.lay_out(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", grows=64)
+    lines = pages.lay_out(customers.select(k.alias("doc_id"), text.alias("text")))
     found = pages.seed_phrase_lines(lines, ["doc_id", "page"], spark.createDataFrame([(w,) for w in names], "word string"))
     return found.select(F.col("doc_id").alias("k"), "line_index", "text", "span")
 
