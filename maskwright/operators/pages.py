@@ -221,8 +221,8 @@ def seed_phrase_lines(lines: DataFrame, keys: list[str], wordlist: DataFrame, mo
     return single.unionByName(over.distinct())
 
 
-def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_index, text, span, start, block: one row for each line of a private key.
+def private_keys(lines: DataFrame, keys: list[str], carry: tuple = ()) -> DataFrame:
+    """keys, line_index, text, span, start, block and columns to ``carry``: one row for each line of a private key.
 
     A key goes from its header to the next end line, or over 40 lines where there is none. On pages without a readable header, a line
     with a word of one and two lines of key body or more right below is a damaged key, up to its end line. Keys that begin on one page
@@ -233,7 +233,8 @@ def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     head = F.contains(t, F.lit("---")) & (header != "") & ~checks.public_pem(header)
     broken = t.rlike("(?i)be[g6]|pr[i1l]|key") & checks.broken_key_header(t)
     dashes = F.contains(t, F.lit("---"))
-    marked = lines.select(*keys, "line_index", "text", F.floor(F.col("line_index") / PAGE_LINES).alias("_block"))
+    carried = [f"_c_{c}" for c in carry]
+    marked = lines.select(*keys, "line_index", "text", *[F.col(c).alias(f"_c_{c}") for c in carry], F.floor(F.col("line_index") / PAGE_LINES).alias("_block"))
     # A window is a page's worth of lines and as many after it; only windows that may hold a key are laid out, and only their lines are looked at in full.
     may = marked.where(head | broken).groupBy(*keys, "_block").agg(F.max(head).alias("_page"), F.max(broken).alias("_b")).where("_page or _b")
     asked = may.select(*keys, "_page", F.col("_block").alias("_window"), F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
@@ -259,17 +260,17 @@ def private_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
     # Of a key that two windows show, each line is returned once; a key is named by its first line.
     found = rows.withColumn("start", begin.cast("int")).withColumn("span", span).where("span <> ''")
     found = found.withColumn("block", F.min("line_index").over(Window.partitionBy(*keys, "block")))
-    return found.groupBy(*own, "line_index", "span", "start").agg(F.min("block").alias("block")).select(*own, "line_index", F.col("span").alias("text"), "span", "start", "block")
+    return found.groupBy(*own, "line_index", "span", "start", *carried).agg(F.min("block").alias("block")).select(*own, "line_index", F.col("span").alias("text"), "span", "start", "block", *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 
-def private_key_detections(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``private_keys`` in the columns of ``detectors.detect``."""
+def private_key_detections(lines: DataFrame, keys: list[str], carry: tuple = ()) -> DataFrame:
+    """The rows of ``private_keys`` in the columns of ``detectors.detect``, with columns to ``carry``."""
     from maskwright.functions import detectors
 
-    found = private_keys(lines, keys)
+    found = private_keys(lines, keys, carry)
     none, no = F.lit(None).cast("string"), F.lit(False)
     given = {"type": F.lit("private_key"), "rule_id": none, "label": F.lit(fixed.LABELS["private_key"]), "occurrence": F.lit(0), "listed": F.lit(True), "key": none, "needs_review": no, "hint": none}
-    return found.select(*keys, "line_index", "text", "span", "start", *[v.alias(k) for k, v in given.items()], *[no.alias(h) for h in ("labeled", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed")])
+    return found.select(*keys, "line_index", "text", "span", "start", *[v.alias(k) for k, v in given.items()], *[no.alias(h) for h in ("labeled", "ocr_corrected", "carrier_skipped", "iban_checksum_valid", "iban_checksum_failed")], *carry)
 
 
 def detect_lines(lines: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -277,13 +278,10 @@ def detect_lines(lines: DataFrame, keys: list[str], **options) -> DataFrame:
     from maskwright.functions import detectors
 
     found = detectors.detect(lines, [*keys, "line_index"], **options)
-    only, carry = options.get("only"), list(options.get("carry", ()))
+    only = options.get("only")
     if only is not None and "private_key" not in only:
         return found
-    over = private_key_detections(lines, keys)
-    if carry:
-        named = lines.select(*keys, "line_index", *[F.col(c).alias(f"_c_{c}") for c in carry])
-        over = meet(over, named.distinct(), [*keys, "line_index"]).select(*over.columns, *[F.col(f"_c_{c}").alias(c) for c in carry])
+    over = private_key_detections(lines, keys, tuple(options.get("carry", ())))
     return found.where("type <> 'private_key'").unionByName(over)
 
 
