@@ -107,7 +107,7 @@ def phone_hits(text: Column, blank_numbers: bool = True) -> Column:
     if not blank_numbers:
         return bound(T.rewrite_trunk_o(text), _phones)
     # Blanks of equal length: positions are those of the text.
-    address = rf"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\b"
+    address = rf"(?=[0-9])\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{{1,5}})?\b"
     return bound(blanked(text, address), lambda rest: bound(blanked(rest, fixed.CARD), lambda bare: bound(T.rewrite_trunk_o(bare), _phones)))
 
 
@@ -141,9 +141,17 @@ def _place_guard(text: Column, folded: Column) -> Column:
     """Tests without which neither a labelled place nor a province in context can be found, the cheap ones first."""
     provinces = any_of(fixed.PROVINCES)
     labelled = rf"(?<![a-z0-9])(?:{any_of(fixed.PLACE_LABELS).replace(' ', spelled(chr(92) + 's') + '+')}|{fixed.PLACE_CONTEXT_LABELS})(?![a-z0-9])\s*[:\-–]"
-    before, after = rf"(?<![a-z0-9])(?:in|at)\s+(?:{provinces})", rf"(?<![a-z0-9])(?:{provinces})\s+(?:ili|merkez|sehri)"
+    # A character before a word is cheaper to ask for than that there be none of a class: the text gets a blank in front.
+    before, after = rf"[^a-z0-9](?:in|at)\s+(?:{provinces})", rf"[^a-z0-9](?:{provinces})\s+(?:ili|merkez|sehri)"
     ending = _any([F.contains(folded, F.lit(w)) for w in ("ili", "merkez", "sehri")])
-    return (text.rlike("[:–-]") & folded.rlike(spelled(labelled))) | folded.rlike(spelled(before)) | (ending & folded.rlike(spelled(after)))
+    spaced = F.concat(F.lit(" "), folded)
+    return (_any([F.contains(text, F.lit(c)) for c in ":-–"]) & folded.rlike(spelled(labelled))) | spaced.rlike(spelled(before)) | (ending & spaced.rlike(spelled(after)))
+
+
+def _dashed(text: Column) -> Column:
+    """Whether a dash or underscore of any kind stands in the text; only texts with characters so far up are asked for those beyond ASCII."""
+    far = (F.octet_length(text) != F.length(text)) & text.rlike(r"[\u2010-\uffff]") & text.rlike("[‐-―−＿﹍﹎]")
+    return F.contains(text, F.lit("-")) | F.contains(text, F.lit("_")) | far
 
 
 def _may_hold_token(text: Column, low: Column) -> Column:
@@ -151,10 +159,11 @@ def _may_hold_token(text: Column, low: Column) -> Column:
     prefix = r"(?i)api[\s_-]*(?:test|live)|gh[pousr]\s*[_＿﹍﹎]|github|eyJ|[spr]k[\s_＿﹍﹎‐-―−-]*(?:live|test)|sk\s*[-‐-―−]|A(?:KIA|SIA|ROA|IDA)|://"
     # A part of each prefix, and a dash or underscore: what holds none of them is not searched.
     part = _any([F.contains(low, F.lit(w)) for w in ("live", "test", "github", "eyj", "akia", "asia", "aroa", "aida", "://")])
-    dash, end = text.rlike("[-_‐-―−＿﹍﹎]"), "[A-Za-z0-9+/_=-]"
+    end, prefixed = "[A-Za-z0-9+/_=-]", text.rlike(spelled(prefix))
     # Letters alone are two kinds of characters at most, and such a run is no token. Runs are tried at their beginnings.
     forty = lambda t: F.concat(F.lit(" "), t).rlike(f"{end.replace('[', '[^')}{end}{{40}}")
-    return ((part | dash) & text.rlike(spelled(prefix))) | (text.rlike("[0-9+/_=-]") & forty(text)) | (dash & forty(T.one_dash(text)))
+    plain = text.rlike("[0-9+/_=-]") & forty(text)
+    return F.when(_dashed(text), prefixed | plain | forty(T.one_dash(text))).otherwise((part & prefixed) | plain)
 
 
 def place_hits(text: Column, folded: Column) -> Column:
@@ -217,23 +226,37 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
     ``low`` and ``folded`` are the text in lower case and without Turkish marks.
     """
     has = lambda *words: _any([F.contains(low, F.lit(w)) for w in words])
-    many_digits = text.rlike("[0-9]") & (F.length(digits(text)) >= 9)
+    any_digit, nine_digits = text.rlike("[0-9]"), text.rlike("^(?:[^0-9]*+[0-9]){9}")
     word = lambda p: folded.rlike(spelled(p))
     titled = F.concat(F.lit(" "), folded).rlike(f"[^a-z](?:{any_of([*fixed.GIVEN_NAMES, *[T.plain(t) for t in fixed.TITLES.split('|')]])})(?![a-z])")
     key_block = rf"{fixed.KEY_HEADER}(?:[\x00-\x{{10ffff}}]*?{fixed.KEY_END}|[^\n]*(?:\n[^\n]*){{0,{fixed.KEY_LINES}}})"
     session = lambda: bound(T.normalize_credential(text), lambda t: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(spelled(p)), F.lit(0)) for p in fixed.SESSIONS]))))
-    # types, a cheap test that leaves them possible, and the search itself
+    # types, a cheap test that leaves them possible, and the search itself; tests that several share stand before all of them, and are made once
+    wanted = lambda families: [_if(test, found()) for types, test, found in families if only is None or set(types) & set(only)]
+
+    def behind(test: Column, families: list[Column]) -> list[Column]:
+        return [_if(test, F.concat(*families) if len(families) > 1 else families[0])] if families else []
+
+    long = wanted([
+        (["credit_card"], F.lit(True), lambda: _hits("credit_card", located(text, fixed.CARD))),
+        (["phone"], F.lit(True), lambda: _hits("phone", phone_hits(text))),
+        (["ssn"], F.lit(True), lambda: _hits("ssn", located(text, fixed.SSN))),
+        (["ssn", "routing_number"], F.lit(True), lambda: _hits("nine", located(text, fixed.NINE_DIGITS))),
+        (["custom_rule"], text.rlike("[A-Z0-9]{2}[0-9]{2}"), lambda: _hits("iban", F.concat(located(text, fixed.IBAN), located(text, fixed.IBAN_DAMAGED)))),
+    ])
+    own = lambda held: [(["custom_rule"], text.rlike("[0-9]{4}") if held else F.lit(True), lambda r=r: _hits(f"rule:{r.id}", located(text, ("(?i)" if r.ignore_case else "") + r.pattern))) for r in rules if r.enabled and (r.pattern == fixed.CUSTOM_ID) == held]
+    numbers = [
+        *wanted([(["ipv4"], text.rlike(spelled(r"[0-9]\s*[.·•]\s*[0-9]")), lambda: _hits("ipv4", located(text, fixed.IPV4)))]),
+        *behind(nine_digits, long),
+        *wanted(own(True)),
+    ]
+    glyphs = wanted([
+        (["tckn"], text.rlike("[0-9OoIl|SsBb]{11}"), lambda: _hits("tckn", located(text, fixed.TCKN))),
+        (["vkn"], F.lit(True), lambda: _hits("vkn", located(text, fixed.VKN))),
+    ])
     families = [
         (["email"], has("@"), lambda: _hits("email", located(text, fixed.EMAIL))),
-        (["ipv4"], text.rlike(spelled(r"[0-9]\s*[.·•]\s*[0-9]")), lambda: _hits("ipv4", located(text, fixed.IPV4))),
-        (["ipv6"], text.rlike("(?i):[0-9a-f:]*:"), lambda: _hits("ipv6", located(text, fixed.IPV6))),
-        (["credit_card"], many_digits, lambda: _hits("credit_card", located(text, fixed.CARD))),
-        (["phone"], many_digits, lambda: _hits("phone", phone_hits(text))),
-        (["ssn"], many_digits, lambda: _hits("ssn", located(text, fixed.SSN))),
-        (["ssn", "routing_number"], many_digits, lambda: _hits("nine", located(text, fixed.NINE_DIGITS))),
-        (["tckn"], text.rlike("[0-9OoIl|SsBb]{11}"), lambda: _hits("tckn", located(text, fixed.TCKN))),
-        (["vkn"], text.rlike("[0-9OoIl|SsBb]{10}"), lambda: _hits("vkn", located(text, fixed.VKN))),
-        (["custom_rule"], many_digits & text.rlike("[A-Z0-9]{2}[0-9]{2}"), lambda: _hits("iban", F.concat(located(text, fixed.IBAN), located(text, fixed.IBAN_DAMAGED)))),
+        (["ipv6"], has(":") & text.rlike("(?i):[0-9a-f:]*:"), lambda: _hits("ipv6", located(text, fixed.IPV6))),
         (["api_token"], _may_hold_token(text, low), lambda: _texts("api_token", api_token_texts(text))),
         (["connection_url"], has("://"), lambda: _texts("connection_url", connection_urls(text))),
         (["bearer_token"], has("bearer"), lambda: _hits("bearer_token", located(text, fixed.BEARER, 2))),
@@ -241,12 +264,12 @@ def raw_hits(text: Column, low: Column, folded: Column, rules: tuple[Rule, ...]
         (["passport"], has("pasaport", "passport"), lambda: _hits("passport", located(text, fixed.PASSPORT, 1))),
         (["session_id"], has("sess"), lambda: _texts("session_id", session())),
         (["private_key"], has("---"), lambda: _hits("private_key", located(text, key_block))),
-        (["person_name"], text.rlike("[:–-]") & word(_label_head(fixed.NAME_LABELS)), lambda: _texts("person_name", labelled_names(text, folded))),
+        (["person_name"], has(":", "-", "–") & word(_label_head(fixed.NAME_LABELS)), lambda: _texts("person_name", labelled_names(text, folded))),
         (["location"], _place_guard(text, folded), lambda: _texts("location", place_hits(text, folded))),
         (["person_name"], titled, lambda: _hits("name_pair", located(text, rf"(?iu)(?:\b({fixed.TITLES})\.?\s+)?\b({fixed.NAME_WORD})\s+({fixed.NAME_WORD})\b", 3))),
-        *[(["custom_rule"], text.rlike("[0-9]{4}") if r.pattern == fixed.CUSTOM_ID else F.lit(True), lambda r=r: _hits(f"rule:{r.id}", located(text, ("(?i)" if r.ignore_case else "") + r.pattern))) for r in rules if r.enabled],
+        *own(False),
     ]
-    return F.concat(F.array().cast(NONE), *[_if(test, found()) for types, test, found in families if only is None or set(types) & set(only)])
+    return F.concat(F.array().cast(NONE), *behind(any_digit, numbers), *behind(text.rlike("[0-9OoIl|SsBb]{10}"), glyphs), *wanted(families))
 
 
 @functools.lru_cache(maxsize=64)
@@ -271,7 +294,9 @@ def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tupl
     """
     # Lower-cased and folded text are read by many families: projections of their own build them once.
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
-    source = spread(rows.select(*keys, *kept, F.col(text_col).alias("_text"))).select(*keys, *[f"_c_{c}" for c in carry], F.coalesce("_text", F.lit("")).alias("_text")).withColumns({"_low": F.lower("_text"), "_fold": T.fold_turkish(F.col("_text"))})
+    source = spread(rows.select(*keys, *kept, F.col(text_col).alias("_text"))).select(*keys, *[f"_c_{c}" for c in carry], F.coalesce("_text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
+    # Folding is lower case alone in ASCII.
+    source = source.withColumn("_fold", F.when(F.octet_length("_text") == F.length("_text"), F.col("_low")).otherwise(T.fold_turkish(F.col("_text"))))
     hits = source.select(*keys, *[f"_c_{c}" for c in carry], "_text", F.inline(_search(rules, tuple(only) if only is not None else None, id(rows.sparkSession.sparkContext))))
     decided = _ibans(_decide(hits, rules)).where(F.col("type").isNotNull() if only is None else F.col("type").isin(only))
     return _unique(_everywhere(decided), keys, carry)

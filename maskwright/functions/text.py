@@ -42,9 +42,11 @@ def extend_name_suffix(line: Column, start: Column, size: Column) -> Column:
 
 
 def one_dash(text: Column) -> Column:
-    """Dashes and underscores of all kinds as one, without blanks around."""
+    """Dashes and underscores of all kinds as one, without blanks around; most texts are so already, and are not rewritten."""
+    far = (F.octet_length(text) != F.length(text)) & text.rlike("[‐‑‒–—−＿﹍﹎]")
     plain = F.regexp_replace(F.regexp_replace(text, "[‐‑‒–—−]", "-"), "[＿﹍﹎]", "_")
-    return F.regexp_replace(F.regexp_replace(plain, spelled(r"\s*_\s*"), "_"), spelled(r"\s*-\s*"), "-")
+    closed = F.regexp_replace(F.regexp_replace(plain, spelled(r"\s*_\s*"), "_"), spelled(r"\s*-\s*"), "-")
+    return F.when(far | text.rlike(spelled(r"[-_](?:\s|(?<=\s[-_]))")), closed).otherwise(text)
 
 
 def normalize_credential(text: Column) -> Column:
@@ -58,7 +60,7 @@ def correct_digits(text: Column) -> Column:
 
 def rewrite_trunk_o(text: Column) -> Column:
     """A letter O that stands alone before digits is a zero."""
-    return F.regexp_replace(text, spelled(r"(^|[^A-Za-z0-9])[OoΟοОоØø](?=\s*[0-9])"), "$10")
+    return F.regexp_replace(text, spelled(r"[OoΟοОоØø](?<![A-Za-z0-9][OoΟοОоØø])(?=\s*[0-9])"), "0")
 
 
 def compact_iban(text: Column) -> Column:

@@ -36,7 +36,9 @@ def _over_line_ends(lines: DataFrame, keys: list[str], at: list[str], named: Dat
     return wrapped, _located(numbers.unionByName(tokens), named, at)
 
 
-WRAPS = r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 -]*$|(?i:bearer)"
+def _may_wrap(text: Column) -> Column:
+    """Whether an account number or a bearer token may go on in the next line; most texts have no digit, which is soon seen."""
+    return (text.rlike("[0-9]") & text.rlike("[A-Za-z]{2}[0-9]{2}[A-Za-z0-9 -]*$")) | text.rlike("[bB][eE][aA][rR][eE][rR]")
 
 
 def detect_text(lines: DataFrame, keys: list[str], page_col: str = "page", **options) -> DataFrame:
@@ -46,7 +48,7 @@ def detect_text(lines: DataFrame, keys: list[str], page_col: str = "page", **opt
     """
     at, page = [*keys, "line_index"], [*keys, page_col]
     found = pages.detect_lines(lines, keys, **options)
-    few = pages.that_hold(pages.rolled(lines, page_col), page, F.col("text").rlike(WRAPS))
+    few = pages.that_hold(pages.rolled(lines, page_col), page, _may_wrap(F.col("text")))
     wrapped, over = _over_line_ends(few, page, at, lines)
     shown = {"occurrence": F.lit(0), "listed": F.lit(True), "key": F.lit(None).cast("string"), "needs_review": F.lit(False)}
     over = over.withColumns(shown).select(*found.columns) if not options.get("carry") else pages.meet(over.withColumns(shown), lines.select(*at, *options["carry"]).distinct(), at).select(*found.columns)
@@ -68,7 +70,7 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     found = found.select(*at, F.lit("line").alias("source"), "type", "rule_id", "label", "text", "span", F.col("start").cast("int").alias("start"), "hint", *HINTS)
     placed = [found.where(F.col("start").isNotNull())]
 
-    wrapped, over = _over_line_ends(pages.that_hold(lines, keys, text.rlike(WRAPS)), keys, at, lines)
+    wrapped, over = _over_line_ends(pages.that_hold(lines, keys, _may_wrap(text)), keys, at, lines)
     placed.append(over)
     placed.append(_located(_made(words.values_beside_labels(cut(lines.where(words.may_be_beside(text))), keys), keys, "beside", F.col("type")), lines, at))
     if wordlist is not None:
@@ -91,7 +93,8 @@ def scan(lines: DataFrame, keys: list[str], tool: list[str] | None = None, wordl
     single = spatial.deduplicate(judged.withColumn("ordinal", F.struct(order.alias("a"), F.col("line_index").alias("b"), F.coalesce("start", F.lit(0)).alias("c"), F.col("span").alias("d"))), keys)
     # What differs between two detections of a page is in the id whole, so no two share one.
     named = single.withColumn("id", F.sha2(F.concat_ws("\x00", "source", "type", F.coalesce("rule_id", F.lit("")), "line_index", F.coalesce("start", F.lit(-1)), "x0", "y0", "x1", "y1", "span", "text"), 256))
-    return review.for_tool(spatial.suppress(named, keys), tool or []).drop("ordinal")
+    # Suppression reads its rows three times.
+    return review.for_tool(spatial.suppress(written(named, "named"), keys), tool or []).drop("ordinal")
 
 
 def _located(rows: DataFrame, lines: DataFrame, at: list[str]) -> DataFrame:
