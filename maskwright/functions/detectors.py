@@ -285,12 +285,13 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tuple[Rule, ...] = tuple(SAMPLE_RULES), only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tuple[Rule, ...] = tuple(SAMPLE_RULES), only: list[str] | None = None, carry: tuple[str, ...] = (), every: bool = True) -> DataFrame:
     """keys, type, rule_id, label, text, span, start, occurrence, listed, labeled, needs_review, hint columns, and ``carry``.
 
     ``keys`` name the row (document, page, line). A match is returned at every place of its value; ``listed`` is true for the
     places that a list for readers shows, which has most types' values once. ``span`` is what stands at ``start`` in the
-    text; a null start means that the value is nowhere in it. A null text has no matches.
+    text; a null start means that the value is nowhere in it. A null text has no matches. Without ``every`` a match stands at its own place
+    alone: a value may also be a part of what is no match, as a card of a longer row of numbers.
     """
     # Lower-cased and folded text are read by many families: projections of their own build them once.
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
@@ -299,7 +300,7 @@ def detect(rows: DataFrame, keys: list[str], text_col: str = "text", rules: tupl
     source = source.withColumn("_fold", F.when(F.octet_length("_text") == F.length("_text"), F.col("_low")).otherwise(T.fold_turkish(F.col("_text"))))
     hits = source.select(*keys, *[f"_c_{c}" for c in carry], "_text", F.inline(_search(rules, tuple(only) if only is not None else None, id(rows.sparkSession.sparkContext))))
     decided = _ibans(_decide(hits, rules)).where(F.col("type").isNotNull() if only is None else F.col("type").isin(only))
-    return _unique(_everywhere(decided), keys, carry)
+    return _unique(_everywhere(decided, every), keys, carry)
 
 
 def accepted(hit: dict[str, Column], text: Column, rules: tuple[Rule, ...]) -> tuple[dict, dict[str, Column]]:
@@ -403,8 +404,8 @@ def _decide(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return out.withColumns({"start": F.col("start") + inner, "_part": part}).drop("_m", "raw", "g1", "g2", "g3", "g4")
 
 
-def _everywhere(rows: DataFrame) -> DataFrame:
-    """Each match at every place of its value in the text; values put together from pieces at the pieces' places.
+def _everywhere(rows: DataFrame, every: bool = True) -> DataFrame:
+    """Each match at every place of its value in the text, or at its own where it has one; values put together from pieces at the pieces' places.
 
     A value that is nowhere keeps a null start. Spans are the text's own characters.
     """
@@ -413,6 +414,8 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     own = F.array(F.struct(start.alias("start"), F.length(span).alias("size")).cast(PLACE[6:-1]))
     others = lambda exact: F.filter(exact, lambda x: (x["start"] >= start + F.length(span)) | (x["start"] + x["size"] <= start))
     found = bound(occurrences(text, span), lambda exact: F.when(start.isNotNull(), F.array_union(own, others(exact))).when(F.size(exact) > 0, exact).otherwise(loose_occurrences(text, span)))
+    if not every:
+        found = F.when(start.isNotNull(), own).otherwise(found)
     placed = rows.withColumn("_at", F.explode_outer(F.coalesce(found, none)))
     return placed.withColumns({"start": F.col("_at.start"), "span": F.coalesce(F.substring(text, F.col("_at.start") + 1, F.col("_at.size")), span)}).drop("_at")
 
