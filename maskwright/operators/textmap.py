@@ -6,6 +6,8 @@ words as an array; places are running sums over the page, whose size bounds them
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from maskwright.operators.spatial import BOX
 
 # How far a word's middle may lie from a line's, and the heights of buckets for items without line ends.
 BAND, LEAST_BAND, BUCKET, LEAST_BUCKET = 0.55, 5.0, 0.65, 6.0
+# Up to so many spans all are looked at sooner than a place is found by halving.
+FEW_SPANS = 32
 
 
 def visual_groups(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,14 +152,15 @@ def match_range(text: Column, match: Column, occurrence: Column) -> Column:
 def words_in_range(spans: Column, start: Column, end: Column) -> Column:
     """The spans that a range of the joined text touches.
 
-    Both bounds are found by halving, as spans are in order: the first that ends after ``start``, and how many begin before ``end``.
+    Both bounds are found by halving where there are many, as spans are in order: the first that ends after ``start``, and how many begin before ``end``.
     """
+    few = lambda r: F.filter(spans, lambda w: (w["end"] > r["a"]) & (w["start"] < r["b"]) & (r["a"] < r["b"]))
 
     def within(a: Column, b: Column) -> Column:
         first, beyond = _bound(spans, lambda w: w["end"] > a), _bound(spans, lambda w: w["start"] >= b)
         return bound(first, lambda at: F.slice(spans, at + 1, F.when(b > a, F.greatest(beyond - at, F.lit(0))).otherwise(0)))
 
-    return bound(F.struct(start.alias("a"), end.alias("b")), lambda r: within(r["a"], r["b"]))
+    return bound(F.struct(start.alias("a"), end.alias("b")), lambda r: F.when(F.size(spans) <= FEW_SPANS, few(r)).otherwise(within(r["a"], r["b"])))
 
 
 def _bound(spans: Column, test) -> Column:
@@ -180,16 +185,71 @@ def grown(matched: Column, spans: Column, most: int = pages.MOST_PIECES) -> Colu
     return bound(matched, longer)
 
 
+_BLANKS, _MARKS = f"{SPACE}", f"(?:{SPACE}|[_-])"
+_EVERY_BLANK = "".join(c for c in map(chr, range(0x10000)) if re.match(SPACE, c))
+
+
+def _readings(text: Column) -> Column:
+    """struct<f, short, at, bare, bare_at, o>: a text as ``match_range`` reads it, so that it is made once for all that is sought in it: folded, without blanks
+    and without dashes as well, each with the places (from 1) of the characters that stay; and the text with zeros for letters O that stand alone.
+    """
+
+    def cut(f: Column) -> Column:
+        places = F.transform(F.split(f, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
+
+        def kept(short: Column) -> Column:
+            at = lambda x: F.transform(x, lambda c: c["i"])
+            bare = F.filter(short, lambda x: (x["c"] != "-") & (x["c"] != "_"))
+            return bound(bare, lambda b: F.struct(f.alias("f"), F.regexp_replace(f, _BLANKS, "").alias("short"), at(short).alias("at"), F.regexp_replace(f, _MARKS, "").alias("bare"), at(b).alias("bare_at"), T.rewrite_trunk_o(text).alias("o")))
+
+        return bound(F.filter(places, lambda x: ~F.contains(F.lit(_EVERY_BLANK), x["c"])), kept)
+
+    return bound(T.fold_turkish(text), cut)
+
+
+def _first_range(text: Column, read: Column, match: Column) -> Column:
+    """``match_range`` of a value's first occurrence, over what ``_readings`` gave; zeros for letters O take the plain way."""
+    place = lambda start, size: F.struct(start.alias("start"), size.alias("size"))
+    apostrophe = "['’´`]"
+
+    def among(short: Column, kept: Column, needle: Column) -> Column:
+        found = bound(F.call_function("locate", needle, short), lambda at: F.when(at > 0, bound(F.get(kept, at - 1), lambda a: place(a - 1, F.get(kept, at + F.length(needle) - 2) - a + 1))))
+        return F.when(needle != "", found)
+
+    def sought(w: Column) -> Column:
+        whole = bound(F.call_function("locate", w, read["f"]), lambda at: F.when(at > 0, place(at - 1, F.length(w))))
+        short = bound(F.regexp_replace(w, _BLANKS, ""), lambda n: among(read["short"], read["at"], n))
+        bare = bound(F.regexp_replace(w, _MARKS, ""), lambda n: among(read["bare"], read["bare_at"], n))
+        return F.coalesce(whole, short, bare)
+
+    def ended(r: Column) -> Column:
+        after = F.substring(text, r["start"] + r["size"] + 1, F.lit(1))
+        return F.when(r.isNotNull(), place(r["start"], F.when(after.rlike(apostrophe), T.extend_name_suffix(text, r["start"], r["size"])).otherwise(r["size"])))
+
+    def over(value: Column) -> Column:
+        bare = F.regexp_replace(value, "[^0-9]", "")
+        zeros = (read["o"] != text) & F.startswith(bare, F.lit("0")) & (F.length(bare) >= 10)
+        plain = bound(bound(T.fold_turkish(value), sought), ended)
+        return F.when((value != "") & (text != ""), F.when(zeros, match_range(text, value, F.lit(0))).otherwise(plain))
+
+    return bound(F.trim(match), over)
+
+
 def match_boxes(matches: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """The columns of ``matches`` (keys, text, and type, occurrence where known) with line_index and box: one row for each line that a match touches.
 
     ``texts``: what ``joined_text`` gave. Matches of types whose tokens scanners cut take the pieces after them along. What is nowhere has no row.
     """
     own = [c for c in matches.columns if c not in keys]
-    met = meet(matches.select(*keys, *[F.col(c).alias(f"_m_{c}") for c in own]), texts.select(*keys, F.col("text").alias("_text"), "spans"), keys)
-    occurrence = F.col("_m_occurrence") if "occurrence" in own else F.lit(0)
+    sought = matches.select(*keys, *[F.col(c).alias(f"_m_{c}") for c in own])
+    if "occurrence" in own:
+        met = meet(sought, texts.select(*keys, F.col("text").alias("_text"), "spans"), keys)
+        found = match_range(F.col("_text"), F.col("_m_text"), F.col("_m_occurrence"))
+    else:
+        met = meet(sought, texts.select(*keys, F.col("text").alias("_text"), "spans", _readings(F.col("text")).alias("_read")), keys)
+        found = _first_range(F.col("_text"), F.col("_read"), F.col("_m_text"))
     # As rows of an array of one the range is worked out once; a filter over it would be worked out again below.
-    place = F.filter(F.array(match_range(F.col("_text"), F.col("_m_text"), occurrence)), lambda r: r.isNotNull())
+    place = F.filter(F.array(found), lambda r: r.isNotNull())
     met = met.select(*keys, *[f"_m_{c}" for c in own], "spans", F.explode(place).alias("_r"))
     touched = words_in_range(F.col("spans"), F.col("_r.start"), F.col("_r.start") + F.col("_r.size"))
     if "type" in own:
